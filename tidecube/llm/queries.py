@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecube.llm.common import table
+from tidecube.llm.quality_rules import judge_quality
 from tidecube.llm.url_filters import Rule, filter_urls
 
 URL_RULES = [
@@ -16,6 +17,11 @@ URL_RULES = [
 ]
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _rules = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
@@ -38,7 +44,10 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op10_url_filters": op10_url_filters}
+    return {
+        "op4_quality_rules": op4_quality_rules,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
