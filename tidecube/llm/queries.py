@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecube.llm.common import table
+from tidecube.llm.packing import pack
+from tidecube.llm.pii import find_pii, joined
 from tidecube.llm.quality_rules import judge_quality
+from tidecube.llm.token_files import new_folder, read_records, write_records
 from tidecube.llm.url_filters import Rule, filter_urls
 
 URL_RULES = [
@@ -22,6 +31,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@F.arrow_udf(T.LongType())
+def ids_crc32(ids: pa.Array) -> pa.Array:
+    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
+    flat, ends = np.asarray(ids.values).astype("<u4"), np.asarray(ids.offsets)
+    return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_records(table(spark, sf_dir, "documents"), new_folder(spark), end_id=2)
+    return read_records(spark, manifest).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+def pii_digest(found: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda x: x["base"])
+    number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rows = found.select("doc_id", "spans", base.alias("base"))
+    return rows.select("doc_id", number("email"), number("ip"), number("card"), number("phone"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), end_id=0)
+    return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
@@ -46,6 +83,9 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 def queries() -> dict:
     return {
         "op4_quality_rules": op4_quality_rules,
+        "op7_token_files": op7_token_files,
+        "op8_pii": op8_pii,
+        "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
 
