@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecube.llm.common import table
+from tidecube.llm.ngram_join import link_ngrams
 from tidecube.llm.packing import pack
 from tidecube.llm.pii import find_pii, joined
 from tidecube.llm.quality_rules import judge_quality
+from tidecube.llm.suffix_dedup import remove_repeats
 from tidecube.llm.token_files import new_folder, read_records, write_records
 from tidecube.llm.url_filters import Rule, filter_urls
 
@@ -26,11 +28,21 @@ URL_RULES = [
 ]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _rules = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_ngrams(table(spark, sf_dir, "documents"))
+
+
 @F.arrow_udf(T.LongType())
 def ids_crc32(ids: pa.Array) -> pa.Array:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
@@ -82,7 +94,9 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op6_ngram_join": op6_ngram_join,
         "op7_token_files": op7_token_files,
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
