@@ -89,7 +89,7 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
         task, enc, windows, made = TaskContext.get().partitionId(), encoder(path), Windows(size, open_windows, min_cut), 0
         for batch in batches:
             keys = batch.column("doc_id")
-            for at, texts in slices(batch, "text", 2 << 20):
+            for at, texts in slices(batch, "text"):
                 ids, counts = enc.encode(texts)
                 done, begin = [], 0
                 for i, c in enumerate(counts):

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecube.llm.common import table
+from tidecube.llm.decontaminate import find_copies
+from tidecube.llm.html_extract import extract_articles
 from tidecube.llm.ngram_join import link_ngrams
 from tidecube.llm.packing import pack
 from tidecube.llm.pii import find_pii, joined
+from tidecube.llm.preferences import format_preferences, neighbours
 from tidecube.llm.quality_rules import judge_quality
 from tidecube.llm.suffix_dedup import remove_repeats
 from tidecube.llm.token_files import new_folder, read_records, write_records
@@ -34,11 +37,48 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = format_preferences(turns, neighbours(turns))
+    return out.withColumns({c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))) for c in ("chosen_spans", "rejected_spans")})
+
+
+OP2_SQL = r"""
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS a, b.turns AS b,
+             len(list_filter(generate_series(1, least(len(a.turns), len(b.turns))), lambda i: a.turns[1:i] = b.turns[1:i])) AS n_prefix
+      FROM c a JOIN c b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+r AS (SELECT *, a[n_prefix + 1:] AS ca, b[n_prefix + 1:] AS cb FROM p),
+s AS (SELECT chosen_id, rejected_id, n_prefix,
+  array_to_string(list_transform(a[1:n_prefix], lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS prompt,
+  array_to_string(list_transform(ca, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS chosen,
+  array_to_string(list_transform(cb, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS rejected,
+  ca, cb FROM r)
+SELECT chosen_id, rejected_id, n_prefix, prompt, chosen, rejected,
+  coalesce(array_to_string(list_transform(list_filter(generate_series(1, len(ca)), lambda i: ca[i].role = 'assistant'),
+    lambda i: (coalesce(list_sum(list_transform(ca[1:i-1], lambda t: length(t.role) + length(t.text) + 13)), 0) + length(ca[i].role) + 5)::BIGINT || ':' ||
+         (coalesce(list_sum(list_transform(ca[1:i-1], lambda t: length(t.role) + length(t.text) + 13)), 0) + length(ca[i].role) + 5 + length(ca[i].text) + 7)::BIGINT), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(generate_series(1, len(cb)), lambda i: cb[i].role = 'assistant'),
+    lambda i: (coalesce(list_sum(list_transform(cb[1:i-1], lambda t: length(t.role) + length(t.text) + 13)), 0) + length(cb[i].role) + 5)::BIGINT || ':' ||
+         (coalesce(list_sum(list_transform(cb[1:i-1], lambda t: length(t.role) + length(t.text) + 13)), 0) + length(cb[i].role) + 5 + length(cb[i].text) + 7)::BIGINT), ','), '') AS rejected_spans
+FROM s
+"""
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _rules = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_ngrams(table(spark, sf_dir, "documents"))
 
@@ -95,7 +135,10 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_preferences": op2_preferences,
+        "op3_decontamination": op3_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op5_html_extraction": op5_html_extraction,
         "op6_ngram_join": op6_ngram_join,
         "op7_token_files": op7_token_files,
         "op8_pii": op8_pii,
@@ -106,4 +149,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     # The SQL of op10 holds while no page carries a canonical link or a refresh, as in these tables.
-    return {"op10_url_filters": OP10_SQL}
+    return {"op2_preferences": OP2_SQL, "op10_url_filters": OP10_SQL}

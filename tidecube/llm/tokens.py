@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import os
 import re
 
@@ -10,10 +12,43 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Two white-space characters of which one is a plain space: there a space may not begin a token, so such texts are
-#: encoded whole. Any other space between two words begins a token and texts can be cut there without changing ids.
-UNSAFE = re.compile(r" [\s\u180e]|[\s\u180e] ")
-CACHE = 150_000
+#: Stands for a line break that begins a piece while texts are cut; texts that hold it are encoded whole.
+BREAK = "\x01"
+#: Parts pieces that are encoded together: always a token of its own between pieces that hold no tab.
+TAB = "\t"
+JOINED = 2000
+#: Pieces whose ids are kept from batch to batch, at most twice this many; words likewise.
+CACHE = 100_000
+#: Pieces that are one word of Latin letters and marks after it: words of the tokenizer whatever Unicode version it has.
+PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+#: Pieces that keep a text from being cut: empty, with white space at an end, with a tab or a stand-in inside.
+SPACES = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+APART = rf"^\x01?$|^\x01?[{SPACES}]|[{SPACES}]$|\t|(?s:.)\x01"
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, the rest from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class Kept:
+    """A dictionary of two generations: what has not been asked for during the last one is forgotten."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
 
 
 def default_path() -> str:
@@ -23,7 +58,12 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes batches of texts. Each distinct word of a batch is encoded once; up to CACHE words are kept for later batches."""
+    """Encodes batches of texts, each distinct piece of a batch once.
+
+    The tokenizer's words never begin with white space other than one space, and a single space or line break between
+    two other characters always begins a word or is one. So texts can be cut before these without changing ids. Where
+    white space meets white space, the whole text is encoded by itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,44 +71,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = words
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.cache.update(zip(part, self._encode(part)))
-        return [self.cache[w] for w in words]
+        tab = self.tokenizer.encode(TAB, add_special_tokens=False).ids
+        kind = json.loads(self.tokenizer.to_str())
+        byte_level = kind["normalizer"] is None and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"]
+        self.tab = tab[0] if len(tab) == 1 and byte_level else None
+        self.letters, self.model = byte_letters(), self.tokenizer.model
+        self.known, self.words = Kept(), Kept()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and the number of ids of each: many pieces at a time, parted by tabs."""
+        if not texts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        table, missing = [], []
+        young, old, word, plain = self.known.young, self.known.old, self.word, PLAIN.fullmatch
+        for i, t in enumerate(texts):
+            found = young.get(t)
+            if found is None:
+                found = old.get(t)
+                if found is None:
+                    if m := plain(t):
+                        found = word(m[1]) + word(m[2]) if m[2] else word(t)
+                    else:
+                        missing.append(i)
+                young[t] = found
+            table.append(found)
+        for k in range(0, len(missing), 8 * JOINED):
+            part = missing[k : k + 8 * JOINED]
+            runs = [[texts[i] for i in part[j : j + JOINED]] for j in range(0, len(part), JOINED)]
+            ids = np.concatenate(self.whole([TAB.join(r) + TAB for r in runs]))
+            ends, data = np.flatnonzero(ids == self.tab).tolist(), ids.tobytes()
+            for i, a, b in zip(part, [-1, *ends], ends):
+                table[i] = young[texts[i]] = data[4 * a + 4 : 4 * b]
+        self.known.turn()
+        self.words.turn()
+        return np.frombuffer(b"".join(table), np.int32), np.array([len(x) for x in table], np.int64) // 4
+
+    def word(self, text: str) -> bytes:
+        """Ids of one word of the tokenizer."""
+        found = self.words.get(text)
+        if found is None:
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+            found = self.words.young[text] = array.array("i", [x.id for x in tokens]).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (int32), and the number of ids of each."""
-        whole = [i for i, t in enumerate(texts) if UNSAFE.search(t)]
-        if whole:
-            coded = dict(zip(whole, self._encode([texts[i] for i in whole])))
-            rest = [t for i, t in enumerate(texts) if i not in coded]
-            ids, counts = self.encode(rest)
-            parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(rest) else [])
-            each = [np.frombuffer(coded[i], np.int32) if i in coded else next(parts) for i in range(len(texts))]
-            return np.concatenate([np.empty(0, np.int32), *each]), np.array([len(x) for x in each], np.int64)
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        cut = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " + BREAK)
+        lists = pc.split_pattern(cut, " ")
         offsets = np.asarray(lists.offsets)
         coded = lists.flatten().dictionary_encode()
         codes = np.asarray(coded.indices).astype(np.int64)
-        known = [" " + w for w in coded.dictionary.to_pylist()]
-        firsts = {}
-        codes[offsets[:-1]] = [firsts.setdefault(t.split(" ", 1)[0], len(known) + len(firsts)) for t in texts]
-        table = self._words(known + list(firsts)) if len(known) + len(firsts) <= CACHE else self._encode(known + list(firsts))
-        size = np.array([len(b) // 4 for b in table], np.int64)
-        flat, begin = np.frombuffer(b"".join(table), np.int32), np.cumsum(size) - size
-        per = size[codes]
+        words = coded.dictionary.to_pylist()
+        apart = np.asarray(pc.match_substring_regex(coded.dictionary, APART))
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets)) if apart.any() else None
+        odd = np.unique(owner[apart[codes]]) if apart.any() else np.empty(0, np.int64)
+        if any(BREAK in t for t in texts):
+            odd = np.union1d(odd, [i for i, t in enumerate(texts) if BREAK in t]).astype(np.int64)
+        if len(odd) or self.tab is None:  # rare
+            odd = {int(i) for i in odd} if self.tab is not None else set(range(len(texts)))
+            coded = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])))
+            ids, counts = self.encode([t for i, t in enumerate(texts) if i not in odd])
+            parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+            each = [coded[i] if i in odd else next(parts) for i in range(len(texts))]
+            return np.concatenate(each).astype(np.int32), np.array([len(x) for x in each], np.int64)
+        firsts: dict[str, int] = {}
+        codes[offsets[:-1]] = [firsts.setdefault(words[c], len(words) + len(firsts)) for c in codes[offsets[:-1]]]
+        flat, size = self.pieces(["\n" + w[1:] if w[0] == BREAK else " " + w for w in words] + list(firsts))
+        begin, per = np.cumsum(size) - size, size[codes]
         ends = np.cumsum(per)
         at = np.repeat(begin[codes] - (ends - per), per) + np.arange(ends[-1])
         total = np.concatenate([[0], ends])
@@ -81,7 +155,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 6 << 20):
     """(row number, texts) of consecutive rows with about limit characters at a time; null texts are empty."""
     texts, first, size = [], 0, 0
     values = batch.column(column)
