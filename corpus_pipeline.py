@@ -1,7 +1,71 @@
-"""Filled below."""
-STAGES = []
+"""From raw documents to packed token sequences: quality rules, near duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the columns
+of documents. Rows without a doc_id cannot be named in a decision about other rows: they pass the stages that drop
+documents and are redacted and packed like any other.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidecube.llm.common import table, written
+from tidecube.llm.decontaminate import find_copies
+from tidecube.llm.ngram_join import link_ngrams
+from tidecube.llm.packing import pack
+from tidecube.llm.pii import redact_pii
+from tidecube.llm.quality_rules import judge_quality
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in dropped; columns as they are."""
+    return docs.join(written(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base limits or the learned decision list reject."""
+    judged, _rules = judge_quality(docs, table(spark, sf_dir, "labels"))
+    return without(docs, judged.where("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents that five-word shingles link at 0.8."""
+    return without(docs, link_ngrams(docs).where("doc_id <> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a copy of a benchmark item, edited or not."""
+    return without(docs, find_copies(docs, table(spark, sf_dir, "benchmark")))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data, disguised or not, by the name of its kind; n_chars follows."""
+    out = redact_pii(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of 1024."""
+    return pack(docs, end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("packing", packing),
+]
+
+#: Learned rules, alignment and tokens are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs

@@ -101,17 +101,20 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def keep_rare(self, frequency: np.ndarray, most: float, least_seeds: int) -> Items:
-        """Only seeds in `most` documents at most, and of each item the least_seeds rarest in any case."""
+        """Of the seeds that any document has: those in `most` documents at most, and of each item the least_seeds rarest."""
+        self.take(frequency[np.searchsorted(self.distinct, self.gram)] > 0)
         f = frequency[np.searchsorted(self.distinct, self.gram)]
         order = np.lexsort((self.place, self.gram, f, self.item))
+        new = np.diff(self.item[order], prepend=-1) != 0
         rank = np.empty(len(order), np.int64)
-        new = np.concatenate([[True], self.item[order][1:] != self.item[order][:-1]]) if len(order) else np.empty(0, bool)
-        rank[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else []
-        keep = (f <= most) | (rank < least_seeds)
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+        rank[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        self.take((f <= most) | (rank < least_seeds))
         self.distinct = np.unique(self.gram)
         return self
 
+    def take(self, keep: np.ndarray) -> None:
+        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+
 
 def found_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
@@ -152,7 +155,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     """Copies of benchmark(item_id, text) in docs(doc_id, text): doc_id, item_id, score, start, end.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z as a-z. Seeds are n-grams of items that
-    are in rare_share of all documents at most, and for each item its least_seeds rarest. Around every seed in a text
+    are in rare_share of all documents at most, and for each item its least_seeds rarest that are in any. Around every seed in a text
     the item is aligned (match 2, other word -1, gap -1); where the best score is at least `least` of the item's full
     score, the pair is returned once, with that share as score and its bytes in the text. Null and empty texts and items
     of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id is kept; extra

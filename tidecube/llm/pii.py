@@ -136,7 +136,7 @@ def at_and_dot(t: Traced) -> Traced:
 
 
 def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, base). A span of the normalised text is added where no base span overlaps it."""
+    """(start, kind, end, base). A span of the normalised text is added unless it lies in a base span."""
     base = base_spans(text)
     low = text.lower()
     odd, words, disguised = ODD.search(text), "plus" in low or SPELLED.search(low), "dot" in low or BRACKETS.search(low) or " @" in low or "@ " in low
@@ -148,10 +148,9 @@ def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
         t = step(t)
     if t.text == text:
         return out
-    ends = [e for _, _, e in base]
     for s, k, e in base_spans(t.text):
         s, e = int(t.begin[s:e].min()), int(t.end[s:e].max())
-        if not any(s < e2 and s2 < e for s2, _, e2 in base if e2 in ends):
+        if not any(s2 <= s and e <= e2 for s2, _, e2 in base):
             out.append((s, k, e, False))
     return sorted(set(out))
 

@@ -135,9 +135,9 @@ def learn_rules(
 
     Two thirds of the rows grow rules, one third prunes them; which, follows a hash of doc_id. A rule grows by the
     condition with the best information gain among bins - 1 quantile thresholds of every feature, until it covers no
-    good row, gains nothing or has max_conditions. Then trailing conditions go while that raises (p - n) / (p + n) on
-    the pruning rows. A rule is taken if it covers min_covered rows and min_precision of them are bad, on the growing
-    and the pruning rows together; covered rows leave, and the next rule is grown. Rows with a null label are ignored.
+    good row, gains nothing or has max_conditions. Of its beginnings that cover min_covered rows, min_precision of them
+    bad, on the growing and the pruning rows together, the one with the best (p - n) / (p + n) on the pruning rows is
+    taken, the shortest of equals; covered rows leave, and the next rule is grown. Rows with a null label are ignored.
     Without bad or without good rows there is nothing to learn and the list is empty.
     """
     rows = labelled.where("bad is not null").select("doc_id", "bad", *features)
@@ -177,7 +177,7 @@ def learn_rules(
             for k, at in enumerate(cuts[f]):
                 low = [low[j] + hist[f].get(k, [0, 0])[j] for j in (0, 1)]
                 for op, (n, p) in (("<=", low), (">", [total[0] - low[0], total[1] - low[1]])):
-                    if p >= min_covered and n + p < sum(total):
+                    if 2 * p >= min_covered and n + p < sum(total):
                         gain = p * (math.log2((p + 0.5) / (p + n + 1.0)) - base)
                         if gain > out[0] + 1e-9:
                             out = (gain, (f, op, at), n, p)
@@ -200,12 +200,12 @@ def learn_rules(
         for k in range(1, len(rule.conditions) + 1):
             c = counts(left & as_bins(Rule(rule.conditions[:k])).column())
             p, n = c["prune", 1], c["prune", 0]
-            worth.append(((p - n) / (p + n) if p + n else -1.0, -k, c))
-        value, k, c = max(worth, key=lambda x: x[:2])
-        bad, good = c["grow", 1] + c["prune", 1], c["grow", 0] + c["prune", 0]
-        if bad + good < min_covered or bad < min_precision * (bad + good):
+            bad, good = c["grow", 1] + p, c["grow", 0] + n
+            if bad + good >= min_covered and bad >= min_precision * (bad + good):
+                worth.append(((p - n) / (p + n) if p + n else -1.0, -k))
+        if not worth:
             break
-        rule = Rule(rule.conditions[:-k])
+        rule = Rule(rule.conditions[: -max(worth)[1]])
         taken.append(rule)
         left = left & ~as_bins(rule).column()
     return taken

@@ -244,11 +244,11 @@ def judge_stretches(sent: pa.Table, length: int) -> list[tuple]:
             continue
         n = int.from_bytes(r["data"][:8], "little")
         heads.append(np.frombuffer(r["data"], STRETCH, n, 8))
-        owners.append(np.full(n, r["block"]))
+        owners.append((r["block"], n))
         texts.append(np.frombuffer(r["data"], np.uint8, offset=8 + n * STRETCH.itemsize))
     if not heads:
         return out
-    head, owner, text = np.concatenate(heads), np.concatenate(owners), np.concatenate(texts)
+    head, text = np.concatenate(heads), np.concatenate(texts)
     size = head["size"].astype(np.int64)
     begin = np.cumsum(size) - size
     #: equal stretches once, with their smallest document
@@ -258,7 +258,7 @@ def judge_stretches(sent: pa.Table, length: int) -> list[tuple]:
     which = np.empty(len(head), np.int64)
     which[order] = np.cumsum(new) - 1
     one = order[new]
-    least = np.repeat(head["doc"][one][:, None], length, 1)
+    least = np.repeat(head["doc"][one][:, None], 32, 1)
     #: an anchor with a single stretch needs no comparison
     by_key = np.argsort(head["key"][one], kind="stable")
     k = head["key"][one][by_key]
@@ -283,14 +283,16 @@ def judge_stretches(sent: pa.Table, length: int) -> list[tuple]:
         smallest = np.minimum.reduceat(doc, np.flatnonzero(border))[np.cumsum(border) - 1]
         rows = order[valid]
         least[many[stretch[rows]], window[rows]] = smallest[valid]
-    windows = size - length + 1
-    for block in np.unique(owner):
-        mine = np.flatnonzero(owner == block)
-        hit = (least[which[mine], :32] < head["doc"][mine][:, None]) & (np.arange(32) < windows[mine][:, None])
+    at = 0
+    for block, n in owners:
+        mine = slice(at, at + n)
+        at += n
+        windows = size[mine] - length + 1
+        hit = (least[which[mine]] < head["doc"][mine][:, None]) & (np.arange(32) < windows[:, None])
         bits = (hit.astype(np.uint64) << np.arange(32, dtype=np.uint64)).sum(1, dtype=np.uint64).astype("<u4")
         some = bits > 0
         if some.any():
-            out.append((-1, int(block), COVER, cover(head["at"][mine][some].astype(np.int64), bits[some])))
+            out.append((-1, block, COVER, cover(head["at"][mine][some].astype(np.int64), bits[some])))
     return out
 
 
@@ -378,14 +380,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
         if group.num_rows:
             block = Block(group, length)
             gone = {int(x) for r in told if r["kind"] == COPIES for x in np.frombuffer(r["data"], "<i8")}
-            change = np.zeros(len(block.text) + 1, np.int32)
+            starts = np.zeros(len(block.text) + length, bool)
             for r in told:
                 if r["kind"] == COVER:
                     at, bits = np.frombuffer(r["data"], "<u4").reshape(2, -1)
                     w, k = np.nonzero((bits[:, None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1))
-                    starts = at[w].astype(np.int64) + k
-                    change += np.bincount(starts, minlength=len(change)).astype(np.int32) - np.bincount(starts + length, minlength=len(change)).astype(np.int32)
-            removed = np.cumsum(change[:-1]) > 0
+                    starts[at[w].astype(np.int64) + k] = True
+            removed = starts[: len(block.text)].copy()  # a byte is removed if a marked window begins at most length - 1 before
+            reach = 1
+            while reach < length:
+                step = min(reach, length - reach)
+                removed[step:] |= removed[:-step].copy()
+                reach += step
             start = 0
             for i, data in enumerate(block.data):
                 mask = removed[start : start + len(data)]
