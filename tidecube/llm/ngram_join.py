@@ -8,8 +8,9 @@ shingle among the first of either, in this order, of which any two alike sets sh
    documents, to buckets of shingles, which answer with frequency classes of 3 bits.
 2. A document whose rare end lies wholly in shingles that no other document has can have no partner. The others are
    written, with their first shingles and their fragments.
-3. Every list of documents with a common first shingle is tied to its smallest member; what is alike is one component.
-   Then pairs across components that share a first shingle are counted as well. So groups of copies cost a pair for
+3. In a few rounds every document is paired with one other: the most central one, by frequency of its shingles, among
+   those with a common first shingle that are not of its component yet. What is alike becomes one component. Then all
+   pairs across components that share a first shingle are counted as well. So groups of copies cost a few pairs for
    each member, no link between different components is missed, and nothing is compared within one.
 
 Exact copies of whole texts join their first text's document and take no part in it.
@@ -150,7 +151,7 @@ def classes_of(sent: pa.Table) -> pa.Table:
     return messages(out)
 
 
-def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 8, block_bytes: int = 6 << 20) -> DataFrame:
+def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 8, rounds: int = 4, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of docs(doc_id, text), one row for each distinct doc_id.
 
     Words part at ASCII white space, A-Z count as a-z. A set is the distinct shingles of `words` words, the whole text
@@ -193,7 +194,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
         return group.select(["bucket", "block", "data"]) if group.column("bucket")[0].as_py() < 0 else classes_of(group)
 
     def judge(_key, group: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
         told = told.to_pylist()
         drop = [np.frombuffer(r["data"], "<i8") for r in told if r["bucket"] < 0]
         group = alive(group, pa.table({"doc_id": pa.array(np.concatenate(drop) if drop else [], pa.int64())}))
@@ -208,6 +209,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
         kind = kind[np.searchsorted(b.known, b.gram)]
         alone = np.bincount(b.doc, kind == 0, len(b.ids)).astype(np.int64)
         need = b.size - (b.size * percent + 99) // 100 + 1
+        score = np.bincount(b.doc, kind, len(b.ids)) * 1000 // np.maximum(b.size, 1)
         ends = np.cumsum(b.size)
         prefix, parts = [None] * len(b.ids), [None] * len(b.ids)
         for i in np.flatnonzero((b.size > 0) & (alone < need)):
@@ -218,15 +220,15 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
             shared = gram[rank > 0]
             #: fragments are ranges of the hash, equal in number of possible values
             parts[i] = np.split(shared, np.searchsorted(shared, [(f << 54) // fragments for f in range(1, fragments)]))
-        return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.size, pa.int64()), pa.array(prefix, schema.field(2).type), pa.array(parts, schema.field(3).type)], schema=schema)
+        return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.size, pa.int64()), pa.array(score.astype(np.int64)), pa.array(prefix, schema.field(3).type), pa.array(parts, schema.field(4).type)], schema=schema)
 
     by = lambda df: fresh(df).groupBy("block")
     sent = by(kept).cogroup(by(gone)).applyInArrow(send, MESSAGE)
     told = sent.groupBy("bucket").applyInArrow(answer, MESSAGE)
-    sets = by(kept).cogroup(by(told)).applyInArrow(judge, "doc_id long, n long, prefix array<long>, parts array<array<long>>")
+    sets = by(kept).cogroup(by(told)).applyInArrow(judge, "doc_id long, n long, score long, prefix array<long>, parts array<array<long>>")
     sets = written(sets, "sets")
 
-    first_grams = sets.where("prefix is not null").select(F.explode("prefix").alias("gram"), "doc_id", "n")
+    first_grams = sets.where("prefix is not null").select(F.explode("prefix").alias("gram"), "doc_id", "n", "score")
     pieces = sets.where("parts is not null").select("doc_id", "n", F.posexplode("parts").alias("part", "grams"))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -238,25 +240,48 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
         return summed.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
 
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    heads = first_grams.groupBy("gram").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    star = first_grams.join(heads.select("gram", F.col("head.doc_id").alias("a"), F.col("head.n").alias("na")), "gram")
-    star = star.select("a", F.col("doc_id").alias("b"), "na", F.col("n").alias("nb")).where("a <> b").where(near).distinct()
-    star = written(star, "pairs")
-    links = written(alike(star), "links")
+    ordered = lambda df: df.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nb")
+    ).distinct()
+    lists, links, tried = first_grams, None, None
+
+    def divided(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
+        """Members of lists that hold several components, with c, their own, and t1 and t2: the most central member of the
+        list and the most central one of another component than t1's."""
+        plain = lists.select("gram", "doc_id", "n", "score")
+        own = plain.withColumn("c", F.col("doc_id"))
+        if groups is not None:
+            own = plain.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        each = own.groupBy("gram", "c").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n")).alias("best"))
+        first = each.groupBy("gram").agg(F.max(F.struct("best", "c")).alias("t1"), F.count("*").alias("k")).where("k > 1").drop("k")
+        second = each.join(first, "gram").where("c <> t1.c").groupBy("gram").agg(F.first("t1").alias("t1"), F.max(F.struct("best", "c")).alias("t2"))
+        return written(own.join(second, "gram"), "lists")
+
+    for _ in range(rounds):
+        groups = None if links is None else written(connected_components(links), "groups")
+        lists = divided(lists, groups)
+        head = F.when(F.col("c") == F.col("t1.c"), F.col("t2.best")).otherwise(F.col("t1.best"))
+        pairs = lists.select("doc_id", "n", head.alias("h")).select(F.col("doc_id").alias("a"), F.col("n").alias("na"), (-F.col("h.minus")).alias("b"), F.col("h.n").alias("nb"), F.col("h.score").alias("score")).where(near).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried.select(F.col("a"), F.col("b")), (F.least(pairs["a"], pairs["b"]) == tried["a"]) & (F.greatest(pairs["a"], pairs["b"]) == tried["b"]), "left_anti")
+        pairs = pairs.groupBy("a", "na").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"), "nb")).alias("h")).select("a", "na", (-F.col("h.minus")).alias("b"), F.col("h.nb").alias("nb"))
+        pairs = written(ordered(pairs), "pairs")
+        found = written(alike(pairs), "links")
+        tried = pairs.select("a", "b") if tried is None else written(tried.unionByName(pairs.select("a", "b")), "tried")
+        links = found if links is None else written(links.unionByName(found), "links")
+        if found.isEmpty():
+            break
 
     groups = written(connected_components(links), "groups")
-    member = first_grams.join(groups, first_grams["doc_id"] == groups["node"], "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    mixed_lists = member.groupBy("gram", "c").agg(F.count("*").alias("m")).groupBy("gram").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    mixed_lists = written(member.join(mixed_lists.select("gram", F.col("top.c").alias("main")), "gram"), "mixed")
-    other = mixed_lists.where("c <> main").select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    each = mixed_lists.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = other.join(each, (other["gram"] == each["gram"]) & F.expr(f"ca <> cb and {near}"))
-    turn = F.col("a") > F.col("b")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb"))
-    cross = written(cross.distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    lists = divided(lists, groups)
+    main = F.col("t1.c")
+    other = lists.where(F.col("c") != main).select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    each = lists.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    cross = other.join(each, (other["gram"] == each["gram"]) & F.expr(f"ca <> cb and {near}")).select("a", "b", "na", "nb")
+    cross = written(ordered(cross).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(alike(cross), "links")
     if not more.isEmpty():
-        groups = written(connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+        groups = written(connected_components(links.unionByName(more)), "groups")
 
     known = sets.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

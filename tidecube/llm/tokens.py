@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import array
 import functools
-import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +16,11 @@ BREAK = "\x01"
 #: Parts pieces that are encoded together: always a token of its own between pieces that hold no tab.
 TAB = "\t"
 JOINED = 2000
-#: Pieces whose ids are kept from batch to batch, at most twice this many; words likewise.
-CACHE = 100_000
-#: Pieces that are one word of Latin letters and marks after it: words of the tokenizer whatever Unicode version it has.
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
+#: Pieces that are one word of Latin letters or figures and ASCII marks after it, but for the apostrophe: words of the
+#: tokenizer whatever Unicode version it has.
+PLAIN = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))([!-&(-/:-@\[-`{-~]*)")
+#: Words whose ids are kept from slice to slice: those of the last two slices or more, this many at least.
+KEPT = 80_000
 #: Pieces that keep a text from being cut: empty, with white space at an end, with a tab or a stand-in inside.
 SPACES = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 APART = rf"^\x01?$|^\x01?[{SPACES}]|[{SPACES}]$|\t|(?s:.)\x01"
@@ -33,24 +33,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Kept:
-    """A dictionary of two generations: what has not been asked for during the last one is forgotten."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
-        return found
-
-    def turn(self) -> None:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-
-
 def default_path() -> str:
     import public_tokenizers
 
@@ -58,7 +40,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct piece of a batch once.
+    """Encodes batches of texts, each distinct word of a batch once.
 
     The tokenizer's words never begin with white space other than one space, and a single space or line break between
     two other characters always begins a word or is one. So texts can be cut before these without changing ids. Where
@@ -68,85 +50,95 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         tab = self.tokenizer.encode(TAB, add_special_tokens=False).ids
-        kind = json.loads(self.tokenizer.to_str())
-        byte_level = kind["normalizer"] is None and (kind["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not kind["pre_tokenizer"]["add_prefix_space"]
+        before = self.tokenizer.pre_tokenizer
+        byte_level = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
         self.tab = tab[0] if len(tab) == 1 and byte_level else None
-        self.letters, self.model = byte_letters(), self.tokenizer.model
-        self.known, self.words = Kept(), Kept()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after another, and the number of ids of each: many pieces at a time, parted by tabs."""
-        if not texts:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        table, missing = [], []
-        young, old, word, plain = self.known.young, self.known.old, self.word, PLAIN.fullmatch
-        for i, t in enumerate(texts):
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Ids of words of the tokenizer, whose letters are spelled in bytes for its model."""
+        young, old, tokenize, space = self.young, self.old, self.model.tokenize, self.letters[32]
+        out = []
+        for t in texts:
             found = young.get(t)
             if found is None:
                 found = old.get(t)
                 if found is None:
-                    if m := plain(t):
-                        found = word(m[1]) + word(m[2]) if m[2] else word(t)
-                    else:
-                        missing.append(i)
+                    spelled = (space + t[1:] if t[0] == " " else t) if t.isascii() else t.encode().decode("latin-1").translate(self.letters)
+                    found = array("i", [x.id for x in tokenize(spelled)]).tobytes()
                 young[t] = found
-            table.append(found)
-        for k in range(0, len(missing), 8 * JOINED):
-            part = missing[k : k + 8 * JOINED]
+            out.append(found)
+        if len(young) > KEPT:
+            self.old, self.young = young, {}
+        return out
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and the number of ids of each. Words with marks after them share the ids of
+        the word; other pieces are encoded as they are, parted by tabs."""
+        number: dict[str, int] = {}
+        parts, others = [], []
+        for i, t in enumerate(texts):
+            m = PLAIN.fullmatch(t)
+            if m:
+                marks = m[2]
+                parts.append((number.setdefault(m[1], len(number)), number.setdefault(marks, len(number)) if marks else -1))
+            else:
+                parts.append(None)
+                others.append(i)
+        known = [*self.words(list(number)), b""]
+        table = [known[p[0]] + known[p[1]] if p else b"" for p in parts]
+        for k in range(0, len(others), 8 * JOINED):
+            part = others[k : k + 8 * JOINED]
             runs = [[texts[i] for i in part[j : j + JOINED]] for j in range(0, len(part), JOINED)]
             ids = np.concatenate(self.whole([TAB.join(r) + TAB for r in runs]))
             ends, data = np.flatnonzero(ids == self.tab).tolist(), ids.tobytes()
             for i, a, b in zip(part, [-1, *ends], ends):
-                table[i] = young[texts[i]] = data[4 * a + 4 : 4 * b]
-        self.known.turn()
-        self.words.turn()
+                table[i] = data[4 * a + 4 : 4 * b]
         return np.frombuffer(b"".join(table), np.int32), np.array([len(x) for x in table], np.int64) // 4
 
-    def word(self, text: str) -> bytes:
-        """Ids of one word of the tokenizer."""
-        found = self.words.get(text)
-        if found is None:
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            found = self.words.young[text] = array.array("i", [x.id for x in tokens]).tobytes()
-        return found
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (int32), and the number of ids of each."""
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        cut = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " + BREAK)
+        cut = pc.replace_substring(pa.array(texts, pa.string()), "\n", " " + BREAK)
         lists = pc.split_pattern(cut, " ")
-        offsets = np.asarray(lists.offsets)
-        coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        words = coded.dictionary.to_pylist()
+        del cut
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        del lists
+        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
         apart = np.asarray(pc.match_substring_regex(coded.dictionary, APART))
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets)) if apart.any() else None
-        odd = np.unique(owner[apart[codes]]) if apart.any() else np.empty(0, np.int64)
-        if any(BREAK in t for t in texts):
-            odd = np.union1d(odd, [i for i, t in enumerate(texts) if BREAK in t]).astype(np.int64)
-        if len(odd) or self.tab is None:  # rare
-            odd = {int(i) for i in odd} if self.tab is not None else set(range(len(texts)))
-            coded = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])))
+        odd = {i for i, t in enumerate(texts) if BREAK in t} if self.tab is not None else set(range(len(texts)))
+        if apart.any():
+            odd |= set(np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets))[apart[codes]]).tolist())
+        if odd:
+            whole = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])))
             ids, counts = self.encode([t for i, t in enumerate(texts) if i not in odd])
             parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
-            each = [coded[i] if i in odd else next(parts) for i in range(len(texts))]
+            each = [whole[i] if i in odd else next(parts) for i in range(len(texts))]
             return np.concatenate(each).astype(np.int32), np.array([len(x) for x in each], np.int64)
         firsts: dict[str, int] = {}
-        codes[offsets[:-1]] = [firsts.setdefault(words[c], len(words) + len(firsts)) for c in codes[offsets[:-1]]]
+        codes = codes.copy()
+        codes[offsets[:-1]] = [firsts.setdefault(words[c], len(words) + len(firsts)) for c in codes[offsets[:-1]].tolist()]
         flat, size = self.pieces(["\n" + w[1:] if w[0] == BREAK else " " + w for w in words] + list(firsts))
-        begin, per = np.cumsum(size) - size, size[codes]
-        ends = np.cumsum(per)
-        at = np.repeat(begin[codes] - (ends - per), per) + np.arange(ends[-1])
-        total = np.concatenate([[0], ends])
-        return flat[at], total[offsets[1:]] - total[offsets[:-1]]
+        begin, out = np.cumsum(size) - size, []
+        counts = np.add.reduceat(size[codes], offsets[:-1])
+        for a in range(0, len(codes), 500_000):
+            code = codes[a : a + 500_000]
+            per = size[code]
+            ends = np.cumsum(per)
+            out.append(flat[np.repeat(begin[code] - (ends - per), per) + np.arange(ends[-1])])
+        return np.concatenate(out), counts
 
 
 @functools.lru_cache(maxsize=2)
