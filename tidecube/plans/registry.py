@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecube.plans import cleaning_queries, cube_queries, forecast_queries, io_queries, serving_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = [cube_queries, cleaning_queries, forecast_queries, serving_queries, io_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: fn for part in PARTS for name, (fn, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
