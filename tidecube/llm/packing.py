@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecube.llm.common import written
-from tidecube.llm.tokens import default_path, encoder, slices
+from tidecube.llm.tokens import default_path, encoder, slices, with_ends
 
 PIECE = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -67,7 +67,10 @@ def rows_of(windows, schema: pa.Schema, number, extra: dict | None = None):
             for name, v in (extra or {}).items():
                 out[name].append(v)
             offset += len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+    ids = out["ids"]
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.empty(0, np.int32))
+    return pa.RecordBatch.from_arrays([lists if f.name == "ids" else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
 def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64, min_cut: int = 8, merge: int = 16, tokenizer: str | None = None) -> DataFrame:
@@ -91,10 +94,11 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
             keys = batch.column("doc_id")
             for at, texts in slices(batch, "text"):
                 ids, counts = enc.encode(texts)
+                ids, ends = with_ends(ids, counts, end_id)
                 done, begin = [], 0
-                for i, c in enumerate(counts):
-                    done += windows.put(keys[at + i].as_py(), np.append(ids[begin : begin + c], end_id).astype(np.int32))
-                    begin += c
+                for key, end in zip(keys.slice(at, len(texts)).to_pylist(), ends.tolist()):
+                    done += windows.put(key, ids[begin:end])
+                    begin = end
                 for k in range(0, len(done), 512):
                     part = done[k : k + 512]
                     yield rows_of(part, schema, lambda j, m=made: (task << 36) + m + j, {"task": None})

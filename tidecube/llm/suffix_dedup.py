@@ -314,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    buckets = max(1, -(-blocks // 2))
+    buckets = blocks
     wide = length + (length - K)
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))

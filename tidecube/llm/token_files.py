@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecube.llm.common import shared_dir
-from tidecube.llm.tokens import default_path, encoder, slices
+from tidecube.llm.tokens import default_path, encoder, slices, with_ends
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_ids", "<u8")])
 MASK = 0xA282EAD8
@@ -80,15 +80,17 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
                     store.create_dir(base, recursive=True)
                     data, entries = store.open_output_stream(names[0]), store.open_output_stream(names[1])
                 ids, counts = enc.encode(texts)
-                each, at = np.zeros(len(texts), ENTRY), 0
-                for i, c in enumerate(counts):
-                    record = frame(np.append(ids[at : at + c], end_id).astype(kind).tobytes())
-                    key = keys[first + i].as_py()
-                    each[i] = (key or 0, key is not None, offset, c + 1)
-                    data.write(record)
-                    offset, at = offset + len(record), at + c
-                entries.write(each.tobytes())
-                tokens, count = tokens + int(counts.sum()) + len(texts), count + len(texts)
+                ids, ends = with_ends(ids, counts, end_id)
+                flat, width = ids.astype(kind).tobytes(), int(kind[2])
+                each, records, at = [], [], 0
+                for key, end in zip(keys.slice(first, len(texts)).to_pylist(), ends.tolist()):
+                    record = frame(flat[width * at : width * end])
+                    each.append((key or 0, key is not None, offset, end - at))
+                    records.append(record)
+                    offset, at = offset + len(record), end
+                data.write(b"".join(records))
+                entries.write(np.array(each, ENTRY).tobytes())
+                tokens, count = tokens + len(ids), count + len(texts)
         if data is not None:
             data.close()
             entries.close()

@@ -147,16 +147,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids with end_id after each text's, and where each text's end."""
+    ends = np.cumsum(counts + 1)
+    out = np.full(len(ids) + len(counts), end_id, np.int32)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, ends
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 6 << 20):
-    """(row number, texts) of consecutive rows with about limit characters at a time; null texts are empty."""
-    texts, first, size = [], 0, 0
+    """(row number, texts) of consecutive rows with about limit bytes at a time; null texts are empty."""
     values = batch.column(column)
-    for i in range(batch.num_rows):
-        t = values[i].as_py() or ""
-        texts.append(t)
-        size += len(t)
-        if size >= limit:
-            yield first, texts
-            texts, first, size = [], i + 1, 0
-    if texts:
-        yield first, texts
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64))
+    first = 0
+    while first < len(values):
+        before = sizes[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield first, pc.fill_null(values.slice(first, stop - first), "").to_pylist()
+        first = stop
