@@ -18,6 +18,8 @@ Exact copies of whole texts join their first text's document and take no part in
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,7 +153,7 @@ def classes_of(sent: pa.Table) -> pa.Table:
     return messages(out)
 
 
-def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 8, rounds: int = 4, block_bytes: int = 6 << 20) -> DataFrame:
+def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: int = 8, rounds: int = 3, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_shingles and component_id of docs(doc_id, text), one row for each distinct doc_id.
 
     Words part at ASCII white space, A-Z count as a-z. A set is the distinct shingles of `words` words, the whole text
@@ -194,7 +196,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
         return group.select(["bucket", "block", "data"]) if group.column("bucket")[0].as_py() < 0 else classes_of(group)
 
     def judge(_key, group: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("alone", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.list_(pa.int64())))])
         told = told.to_pylist()
         drop = [np.frombuffer(r["data"], "<i8") for r in told if r["bucket"] < 0]
         group = alive(group, pa.table({"doc_id": pa.array(np.concatenate(drop) if drop else [], pa.int64())}))
@@ -220,15 +222,20 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
             shared = gram[rank > 0]
             #: fragments are ranges of the hash, equal in number of possible values
             parts[i] = np.split(shared, np.searchsorted(shared, [(f << 54) // fragments for f in range(1, fragments)]))
-        return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.size, pa.int64()), pa.array(score.astype(np.int64)), pa.array(prefix, schema.field(3).type), pa.array(parts, schema.field(4).type)], schema=schema)
+        return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.size, pa.int64()), pa.array(score.astype(np.int64)), pa.array(alone), pa.array(prefix, schema.field(4).type), pa.array(parts, schema.field(5).type)], schema=schema)
 
     by = lambda df: fresh(df).groupBy("block")
     sent = by(kept).cogroup(by(gone)).applyInArrow(send, MESSAGE)
     told = sent.groupBy("bucket").applyInArrow(answer, MESSAGE)
-    sets = by(kept).cogroup(by(told)).applyInArrow(judge, "doc_id long, n long, score long, prefix array<long>, parts array<array<long>>")
+    sets = by(kept).cogroup(by(told)).applyInArrow(judge, "doc_id long, n long, score long, alone long, prefix array<long>, parts array<array<long>>")
     sets = written(sets, "sets")
 
-    first_grams = sets.where("prefix is not null").select(F.explode("prefix").alias("gram"), "doc_id", "n", "score")
+    #: rest: shingles of the document from this one on in the order. Two sets of na and nb shingles that link share at
+    #: least percent * (na + nb) / (100 + percent); the first that they share leaves each with that many. So a partner
+    #: has `most` shingles at most, and `least` at least.
+    first_grams = sets.where("prefix is not null").select("doc_id", "n", "score", F.posexplode("prefix").alias("k", "gram"), "alone")
+    first_grams = first_grams.select("gram", "doc_id", "n", "score", (F.col("n") - F.col("alone") - F.col("k")).alias("rest"))
+    first_grams = first_grams.withColumns({"least": F.expr(f"({percent} * n + 99) div 100"), "most": F.least(F.expr(f"100 * n div {percent}"), F.expr(f"((100 + {percent}) * rest) div {percent} - n"))}).where("least <= most")
     pieces = sets.where("parts is not null").select("doc_id", "n", F.posexplode("parts").alias("part", "grams"))
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -239,49 +246,56 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
         summed = common.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("o"))
         return summed.where(f"100 * o >= {percent} * (na + nb - o)").select("a", "b")
 
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     ordered = lambda df: df.select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(F.col("a") > F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nb")
     ).distinct()
-    lists, links, tried = first_grams, None, None
+    lists, groups, found, tried = first_grams, None, None, None
+
+    def join_up(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components of what is grouped and the links found since."""
+        stars = [] if groups is None else [groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        return written(connected_components(reduce(DataFrame.unionByName, stars, found)), "groups")
 
     def divided(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
         """Members of lists that hold several components, with c, their own, and t1 and t2: the most central member of the
         list and the most central one of another component than t1's."""
-        plain = lists.select("gram", "doc_id", "n", "score")
+        plain = lists.select("gram", "doc_id", "n", "score", "least", "most")
         own = plain.withColumn("c", F.col("doc_id"))
         if groups is not None:
             own = plain.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        each = own.groupBy("gram", "c").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n")).alias("best"))
+        each = own.groupBy("gram", "c").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n", "least", "most")).alias("best"))
         first = each.groupBy("gram").agg(F.max(F.struct("best", "c")).alias("t1"), F.count("*").alias("k")).where("k > 1").drop("k")
         second = each.join(first, "gram").where("c <> t1.c").groupBy("gram").agg(F.first("t1").alias("t1"), F.max(F.struct("best", "c")).alias("t2"))
         return written(own.join(second, "gram"), "lists")
 
     for _ in range(rounds):
-        groups = None if links is None else written(connected_components(links), "groups")
+        groups = None if found is None else join_up(groups, found)
         lists = divided(lists, groups)
         head = F.when(F.col("c") == F.col("t1.c"), F.col("t2.best")).otherwise(F.col("t1.best"))
-        pairs = lists.select("doc_id", "n", head.alias("h")).select(F.col("doc_id").alias("a"), F.col("n").alias("na"), (-F.col("h.minus")).alias("b"), F.col("h.n").alias("nb"), F.col("h.score").alias("score")).where(near).distinct()
+        pairs = lists.select("doc_id", "n", "least", "most", head.alias("h")).where("h.n between least and most and n between h.least and h.most").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), (-F.col("h.minus")).alias("b"), F.col("h.n").alias("nb"), F.col("h.score").alias("score")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select(F.col("a"), F.col("b")), (F.least(pairs["a"], pairs["b"]) == tried["a"]) & (F.greatest(pairs["a"], pairs["b"]) == tried["b"]), "left_anti")
         pairs = pairs.groupBy("a", "na").agg(F.max(F.struct("score", (-F.col("b")).alias("minus"), "nb")).alias("h")).select("a", "na", (-F.col("h.minus")).alias("b"), F.col("h.nb").alias("nb"))
         pairs = written(ordered(pairs), "pairs")
         found = written(alike(pairs), "links")
         tried = pairs.select("a", "b") if tried is None else written(tried.unionByName(pairs.select("a", "b")), "tried")
-        links = found if links is None else written(links.unionByName(found), "links")
         if found.isEmpty():
             break
 
-    groups = written(connected_components(links), "groups")
+    groups = join_up(groups, found)
     lists = divided(lists, groups)
     main = F.col("t1.c")
-    other = lists.where(F.col("c") != main).select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    each = lists.select("gram", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = other.join(each, (other["gram"] == each["gram"]) & F.expr(f"ca <> cb and {near}")).select("a", "b", "na", "nb")
+    #: sizes in classes of a twentieth, so that a member only meets those of sizes that it can link with
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
+    other = lists.where(F.col("c") != main).withColumn("k", F.explode(F.sequence(size_class(F.col("least")), size_class(F.col("most")))))
+    other = other.select("gram", "k", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"))
+    each = lists.select("gram", size_class(F.col("n")).alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    fits = F.expr("ca <> cb and nb between la and ma and na between lb and mb")
+    cross = other.join(each, (other["gram"] == each["gram"]) & (other["k"] == each["k"]) & fits).select("a", "b", "na", "nb")
     cross = written(ordered(cross).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = written(alike(cross), "links")
     if not more.isEmpty():
-        groups = written(connected_components(links.unionByName(more)), "groups")
+        groups = join_up(groups, more)
 
     known = sets.select("doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
