@@ -147,13 +147,13 @@ def test_alignment_matches_plain_smith_waterman():
 def test_decontamination_finds_edited_copies_only(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
-    items = [(i, " ".join(word() for _ in range(rng.randint(15, 50)))) for i in range(20)]
+    items = [(i, " ".join(word() + rng.choice(["", "é", "ß"]) for _ in range(rng.randint(15, 50)))) for i in range(20)]
     rows, planted = [], set()
     for i in range(200):
         words = [word() for _ in range(150)]
         if i % 5 == 0:
             item = rng.choice(items)
-            copy = item[1].upper().split()
+            copy = item[1].upper().replace("SS", "ß").split()
             for k in rng.sample(range(len(copy)), len(copy) // 5):
                 copy[k] = word()
             if rng.random() < 0.3:
@@ -162,11 +162,11 @@ def test_decontamination_finds_edited_copies_only(spark):
             words[at:at] = copy
             planted.add((i, item[0]))
         rows.append((i, " ".join(words)))
-    rows += [(900, None), (901, ""), (902, items[0][1]), (902, items[0][1]), (903, "the " * 5000)]
+    rows += [(900, None), (901, ""), (902, items[0][1]), (902, items[0][1]), (903, "the " * 5000), (904, "İ " + items[1][1])]
     docs = frame(spark, rows)
     bench = spark.createDataFrame([*items, (50, None), (51, "the the"), (None, "")], "item_id long, text string")
     got = find_copies(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == planted | {(902, 0)}
+    assert {(r.doc_id, r.item_id) for r in got} == planted | {(902, 0), (904, 1)}
     assert [r.score for r in got if r.doc_id == 902] == [1.0, 1.0]
     several = find_copies(docs, bench, max_bytes=700).collect()
     assert sorted(map(tuple, several)) == sorted(map(tuple, got))

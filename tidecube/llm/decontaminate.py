@@ -22,9 +22,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def byte_codes() -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of bytes, A-Z as a-z; what is neither an ASCII letter or digit nor beyond ASCII parts words."""
+    """Numbers of bytes; what is neither an ASCII letter or digit nor beyond ASCII parts words."""
     codes = mixed(np.arange(1, 257, dtype=np.uint64))
-    codes[65:91] = codes[97:123]
     apart = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
     return codes, apart
 
@@ -44,6 +43,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return out[:n]
 
 
+def folded(text: str) -> bytes:
+    """UTF-8 in lower case, every character as many bytes as before."""
+    data, low = text.encode("utf-8", "surrogatepass"), text.lower().encode("utf-8", "surrogatepass")
+    if len(low) != len(data):
+        size = lambda c: len(c.encode("utf-8", "surrogatepass"))
+        low = "".join(x if size(x := c.lower()) == size(c) else c for c in text).encode("utf-8", "surrogatepass")
+    return low
+
+
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first and end bytes of the words."""
     b = np.frombuffer(text, np.uint8)
@@ -91,7 +99,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
         self.ids = [i for i, _ in rows]
-        self.words = [words_of((t or "").encode("utf-8", "surrogatepass"))[0] for _, t in rows]
+        self.words = [words_of(folded(t or ""))[0] for _, t in rows]
         each = [(grams_of(w, n), i) for i, w in enumerate(self.words) if len(w) >= n]
         gram = np.concatenate([np.empty(0, np.uint64), *[g for g, _ in each]])
         item = np.concatenate([np.empty(0, np.int64), *[np.full(len(g), i) for g, i in each]])
@@ -124,8 +132,7 @@ def found_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def search(text: str, items: Items, n: int, least: float):
     """(item, score as a share of the full score, first and end byte) of every item that the text has a copy of."""
-    data = text.encode("utf-8", "surrogatepass")
-    words, starts, ends = words_of(data)
+    words, starts, ends = words_of(folded(text))
     grams = grams_of(words, n)
     places = np.flatnonzero(found_in(grams, items.distinct))
     ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -154,7 +161,7 @@ def search(text: str, items: Items, n: int, least: float):
 def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, rare_share: float = 0.001, least_seeds: int = 16, max_bytes: int = 16 << 20) -> DataFrame:
     """Copies of benchmark(item_id, text) in docs(doc_id, text): doc_id, item_id, score, start, end.
 
-    Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z as a-z. Seeds are n-grams of items that
+    Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are n-grams of items that
     are in rare_share of all documents at most, and for each item its least_seeds rarest that are in any. Around every seed in a text
     the item is aligned (match 2, other word -1, gap -1); where the best score is at least `least` of the item's full
     score, the pair is returned once, with that share as score and its bytes in the text. Null and empty texts and items
@@ -181,7 +188,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
             for batch in batches:
                 for t in batch.column("text"):
                     if t.is_valid:
-                        grams = grams_of(words_of(t.as_py().encode("utf-8", "surrogatepass"))[0], n)
+                        grams = grams_of(words_of(folded(t.as_py()))[0], n)
                         seen[np.searchsorted(known.distinct, np.unique(grams[found_in(grams, known.distinct)]))] += 1
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["seed", "n"])
