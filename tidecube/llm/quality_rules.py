@@ -134,15 +134,16 @@ def learn_rules(
     """Sequential covering over labelled(doc_id, the features, bad 0/1).
 
     Two thirds of the rows grow rules, one third prunes them; which, follows a hash of doc_id. A rule grows by the
-    condition with the best information gain among bins - 1 quantile thresholds of every feature, until it covers no
+    condition with the best information gain among thresholds halfway between quantiles of every feature, until it covers no
     good row, gains nothing or has max_conditions. Of its beginnings that cover min_covered rows, min_precision of them
     bad, on the growing and the pruning rows together, the one with the best (p - n) / (p + n) on the pruning rows is
     taken, the shortest of equals; covered rows leave, and the next rule is grown. Rows with a null label are ignored.
     Without bad or without good rows there is nothing to learn and the list is empty.
     """
     rows = labelled.where("bad is not null").select("doc_id", "bad", *features)
-    cuts = rows.select(*[F.percentile_approx(F.col(f).cast("double"), [(i + 1) / bins for i in range(bins - 1)], 10000).alias(f) for f in features]).first()
+    cuts = rows.select(*[F.percentile_approx(F.col(f).cast("double"), [i / bins for i in range(bins + 1)], 10000).alias(f) for f in features]).first()
     cuts = {f: sorted(set(cuts[f] or [])) for f in features}
+    cuts = {f: [(a + b) / 2 for a, b in zip(c, c[1:])] for f, c in cuts.items()}
     #: bin of a value: thresholds below it, so that value > cuts[k] is bin > k
     bin_of = lambda f: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]), lambda c: F.col(f) > c)) if cuts[f] else F.lit(0)
     rows = rows.select(
