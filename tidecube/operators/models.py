@@ -48,3 +48,28 @@ def sweep(train: DataFrame, test: DataFrame, names: list[str] | None = None) ->
 
 def holdout(df: DataFrame, train_years: list[int], test_year: int) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("pickup_year").isin(train_years)), df.where(F.col("pickup_year") == test_year)
+
+
+def evaluated(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> dict[str, float]:
+    """rmse, mae and r2 by Spark's evaluator, one pass each; metrics.regression_metrics has them in one."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    return {m: RegressionEvaluator(labelCol=label, predictionCol=prediction, metricName=m).evaluate(predictions) for m in ("rmse", "mae", "r2")}
+
+
+def plain_forest(train: DataFrame, numbers: list[str]) -> PipelineModel:
+    """A forest on plain numbers, without encoded zones."""
+    parts = [VectorAssembler(inputCols=numbers, outputCol="features", handleInvalid="skip"), RandomForestRegressor(numTrees=30, maxDepth=8, seed=42)]
+    return Pipeline(stages=parts).fit(train)
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as written to path and loaded again."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def scored_holdout(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """test with actual_trip_count, predicted_trip_count, prediction_error and absolute_error."""
+    rows = model.transform(test).withColumns({"actual_trip_count": F.col("label"), "predicted_trip_count": F.col("prediction")})
+    return metrics.with_errors(rows).drop("features", "zone_index", "zone_vector", "prediction")
