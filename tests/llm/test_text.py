@@ -323,6 +323,14 @@ def test_redaction_and_digest(spark):
     assert pii.redact_pii(frame(spark, [])).count() == 0
 
 
+def test_narrow_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (None, "x")], "doc_id int, text string")
+    assert {r.doc_id for r in remove_repeats(docs).collect()} == {1, 2, None}
+    assert {r.component_id for r in link_ngrams(docs).collect()} == {1, None}
+    assert pack(docs, end_id=0).count() == 3 and len(write_records(docs, new_folder(spark), end_id=2)) >= 1
+    assert find_copies(docs, spark.createDataFrame([(7, "a b c d e f")], "item_id int, text string")).count() == 2
+
+
 def test_crc_is_of_little_endian_ids(spark):
     got = spark.createDataFrame([([1, 70000],), ([],)], "ids array<int>").select(queries.ids_crc32("ids").alias("c")).collect()
     assert [r.c for r in got] == [zlib.crc32(np.array([1, 70000], "<u4").tobytes()), 0]

@@ -171,8 +171,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     """
     schema = "doc_id long, item_id long, score double, start long, end long"
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, largest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     if not total:
         return spark.createDataFrame([], schema)

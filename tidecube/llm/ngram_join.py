@@ -162,7 +162,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
     nothing; rows that share a doc_id are one document with the shingles of all; rows without a doc_id are one row with
     null doc_id and component_id; extra columns are dropped; an empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = max(1, -(-blocks // 2))

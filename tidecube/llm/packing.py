@@ -134,7 +134,7 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
         plain = pa.schema(FIELDS)
         return pa.Table.from_batches([rows_of(done, plain, lambda j: (1 << 62) + (number << 32) + j)])
 
-    pieces = written(docs.select("doc_id", "text").mapInArrow(first, f"{PIECE}, task long"), "pieces")
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, f"{PIECE}, task long"), "pieces")
     closed = pieces.where("task is null").drop("task")
     merged = pieces.where("task is not null").groupBy(F.expr(f"task div {merge}")).applyInArrow(last, PIECE)
     return closed.unionByName(merged)

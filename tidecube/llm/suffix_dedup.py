@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     """
     if not K < length <= K + 31:
         raise ValueError(f"length must be in {K + 1}..{K + 31}")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     buckets = blocks

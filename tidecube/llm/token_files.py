@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidecube.llm.common import shared_dir
 from tidecube.llm.tokens import default_path, encoder, slices, with_ends
@@ -99,7 +100,7 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    ranges = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ranges.mapInArrow(write, "part int, file string, index string, width int, n_docs long, n_tokens long").collect()
     manifest, start = [], 0
     for r in sorted(made, key=lambda r: r["part"]):
