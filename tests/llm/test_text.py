@@ -233,6 +233,8 @@ def test_token_files_round_trip(spark):
     expect = [x + [2] for x in reference_ids([t or "" for _, t in order])]
     assert [(r.doc_id, list(r.ids)) for r in got] == [(i, x) for (i, _), x in zip(order, expect)]
     assert [r.start for r in got] == [sum(map(len, expect[:k])) for k in range(len(expect))]
+    raw = {r.start: bytes(r.ids) for r in read_records(spark, manifest, binary=True).collect()}
+    assert raw == {r.start: np.array(r.ids, "<u4").tobytes() for r in got}
     entry = max(manifest, key=lambda m: m["n_docs"])
     first = sum(m["n_docs"] for m in manifest if m["part"] < entry["part"])
     assert read_at(entry, 1).tolist() == expect[first + 1]
@@ -305,10 +307,17 @@ def test_disguises_map_back_to_source_characters():
         "ring plus one four one five five five five two six seven one now": "plus one four one five five five five two six seven one",
         "\uff11\uff19\uff12.168.\uff10.1!": "\uff11\uff19\uff12.168.\uff10.1",
         "bo\u200bb @ example.com": "bo\u200bb @ example.com",
+        "see loogm.24 at mail6.example.com!": "loogm.24 at mail6.example.com",
+        "JOHN.DOE AT EXAMPLE DOT COM": "JOHN.DOE AT EXAMPLE DOT COM",
+        "john(dot)doe(at)example(dot)com": "john(dot)doe(at)example(dot)com",
+        "host one nine two dot one six eight dot zero dot one is": "one nine two dot one six eight dot zero dot one",
+        "host 192 dot 168 dot 0 dot 1 is": "192 dot 168 dot 0 dot 1",
+        "4111\u00a01111\u00a01111\u00a01111": "4111\u00a01111\u00a01111\u00a01111",
+        "\uff0b1 (319) 555-5132": "\uff0b1 (319) 555-5132",
     }
     for text, expect in cases.items():
         assert expect in [text[s:e] for s, _, e, _ in pii.all_spans(text)], text
-    for text in ("Look at this. dot com", "one two many", "at noon", "1 2 3", "\u0430\u0431\u0432"):
+    for text in ("Look at this. dot com", "one two many", "at noon", "He was at example.com today", "look at this dot on the map", "1 2 3", "\u0430\u0431\u0432"):
         assert pii.all_spans(text) == []
 
 

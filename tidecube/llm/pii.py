@@ -74,20 +74,26 @@ HOMOGLYPHS = {
     "–": "-", "—": "-", "―": "-", "−": "-", "。": ".",
 }
 UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+TOP_DOMAINS = set("com org net edu gov mil int info biz io co ai app dev eu us uk de fr es it nl be at ch pl pt se no fi dk ie cz gr ro hu ru ua tr in cn jp kr tw hk sg au nz ca mx br ar cl za me tv".split())
 # End of fixed values.
 ODD = re.compile(
-    r"[\u00ad\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010-\u2015\u2070-\u209f"
+    r"[\u00a0\u00ad\u2000-\u200a\u202f\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2010-\u2015\u2070-\u209f"
     r"\u200b-\u200d\u2060\u2212\u2460-\u24ff\u3002\ufe00-\ufe0f\ufeff\uff00-\uffef\U0001d400-\U0001d7ff]"
 )
 
 DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 DIGIT = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
-#: Three spelled digits at least in a row; figures and "oh" may stand between them.
-SPELLED = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b{DIGIT}(?:[\s,.-]{{1,3}}(?:{DIGIT}|oh|double\s{DIGIT}|[0-9]+)\b){{2,}}|(?:\bplus\s+)(?=[0-9])")
-SPELLED_PART = re.compile(rf"(?i)(plus)|(double)\s({DIGIT})|({DIGIT}|oh)\b|([0-9])|[^0-9a-z]+")
+#: Three spelled digits at least in a row; figures, "oh" and dots may stand between them.
+BETWEEN = r"(?:[\s,.-]{1,3}|\s+(?:dot|point)\s+)"
+SPELLED = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b{DIGIT}(?:{BETWEEN}(?:{DIGIT}|oh|double\s{DIGIT}|[0-9]+)\b){{2,}}|(?:\bplus\s+)(?=[0-9])")
+SPELLED_PART = re.compile(rf"(?i)(plus)|(double)\s({DIGIT})|({DIGIT}|oh)\b|([0-9])|(?:^|(?<=[\s,.-]))(dot|point)\b|[^0-9a-z]+")
 BRACKETS = re.compile(r"(?i)\s*[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*")
-SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])")
+SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])")
 SPOKEN_PART = re.compile(r"(?i)\s+(at|dot)\s+|\s*(@)\s*")
+#: A name that is no plain word: then "at" before a host is enough.
+NAME = re.compile(r"(?i)[a-z0-9]+[._%+-][a-z0-9]+|[a-z]+[0-9]+")
+AT_HOST = re.compile(r"(?i)[a-z0-9]\s+at\s+[a-z0-9-]+\.[a-z0-9-]")
+SPOKEN_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9])")
 
 
 class Traced:
@@ -120,7 +126,7 @@ def spelled(t: Traced) -> Traced:
     edits = []
     for m in SPELLED.finditer(t.text):
         for p in SPELLED_PART.finditer(t.text, m.start(), m.end()):
-            new = "+" if p[1] else DIGITS[p[3].lower()] * 2 if p[2] else DIGITS[p[4].lower()] if p[4] else p[5] or ""
+            new = "+" if p[1] else DIGITS[p[3].lower()] * 2 if p[2] else DIGITS[p[4].lower()] if p[4] else "." if p[6] else p[5] or ""
             if new != p[0]:
                 edits.append((p.start(), p.end(), new))
     return t.rewrite(edits)
@@ -130,8 +136,10 @@ def at_and_dot(t: Traced) -> Traced:
     t = t.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in BRACKETS.finditer(t.text)])
     edits = []
     for m in SPOKEN.finditer(t.text):
-        if m[1].strip() == "@" or re.search(r"(?i)\sdot\s", m[0]):
+        if m[2].strip() == "@" or NAME.fullmatch(m[1]) or (re.search(r"(?i)\sdot\s", m[0]) and re.split(r"[\s.]", m[0])[-1].lower() in TOP_DOMAINS):
             edits += [(p.start(), p.end(), "." if (p[1] or "").lower() == "dot" else "@") for p in SPOKEN_PART.finditer(t.text, m.start(), m.end())]
+    t = t.rewrite([(s, e, new) for s, e, new in edits if t.text[s:e] != new])
+    edits = [(p.start(), p.end(), ".") for m in SPOKEN_IP.finditer(t.text) for p in SPOKEN_PART.finditer(t.text, m.start(), m.end())]
     return t.rewrite([(s, e, new) for s, e, new in edits if t.text[s:e] != new])
 
 
@@ -139,7 +147,7 @@ def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base). A span of the normalised text is added unless it lies in a base span."""
     base = base_spans(text)
     low = text.lower()
-    odd, words, disguised = ODD.search(text), "plus" in low or SPELLED.search(low), "dot" in low or BRACKETS.search(low) or " @" in low or "@ " in low
+    odd, words, disguised = ODD.search(text), "plus" in low or SPELLED.search(low), "dot" in low or " @" in low or "@ " in low or BRACKETS.search(low) or (" at " in low and AT_HOST.search(low))
     out = [(s, k, e, True) for s, k, e in base]
     if not (odd or words or disguised):
         return out

@@ -92,7 +92,7 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(table(spark, sf_dir, "documents"), new_folder(spark), end_id=2)
-    return read_records(spark, manifest).select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    return read_records(spark, manifest, binary=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
         data, entries, offset, tokens, count = None, None, 0, 0, 0
         for batch in batches:
             keys = batch.column("doc_id")
-            for first, texts in slices(batch, "text"):
+            for first, texts in slices(batch, "text", 4 << 20):
                 if data is None:
                     store.create_dir(base, recursive=True)
                     data, entries = store.open_output_stream(names[0]), store.open_output_stream(names[1])
@@ -109,8 +109,12 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
     return manifest
 
 
-def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """doc_id, start (ids of all records before it), n_tokens and ids of every record, checksums verified; a task reads whole files."""
+def read_records(spark: SparkSession, manifest: list[dict], binary: bool = False) -> DataFrame:
+    """doc_id, start (ids of all records before it), n_tokens and ids of every record, checksums verified.
+
+    ids are an array, or with binary their little-endian unsigned 32-bit integers. A task reads whole files, a few
+    records at a time.
+    """
     columns = "part int, file string, index string, width int, n_docs long, n_tokens long, start long"
     files = spark.createDataFrame([[m[c.split()[0]] for c in columns.split(", ")] for m in manifest], columns)
 
@@ -124,7 +128,7 @@ def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     at, done = m["start"], 0
                     while done < len(index):
                         keys, counts, flat = [], [], []
-                        while done < len(index) and sum(counts) < 500_000:
+                        while done < len(index) and sum(counts) < 200_000:
                             ids = np.frombuffer(unframe(f.read, name), f"<u{m['width']}").astype(np.int32)
                             e = index[done]
                             if len(ids) != e["n_ids"]:
@@ -134,11 +138,14 @@ def read_records(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                             flat.append(ids)
                             done += 1
                         ends = np.cumsum(counts)
-                        lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), np.concatenate(flat))
+                        if binary:
+                            lists = pa.array([x.astype("<u4").tobytes() for x in flat], pa.binary())
+                        else:
+                            lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), np.concatenate(flat))
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at + ends - counts, pa.int64()), pa.array(counts, pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids"])
                         at += int(ends[-1])
 
-    schema = "doc_id long, start long, n_tokens long, ids array<int>"
+    schema = f"doc_id long, start long, n_tokens long, ids {'binary' if binary else 'array<int>'}"
     if not manifest:
         return spark.createDataFrame([], schema)
     return files.repartition(len(manifest), "part").mapInArrow(read, schema)
