@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """This application's folder in the one that driver and executors share: spark.checkpoint.dir, set here only where it
+    is unset. Whoever ends the application may delete it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = "/tmp/checkpoints/tidecube"
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/tidecube-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
