@@ -105,6 +105,7 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
                     made += len(part)
         if left := windows.rest():
             yield rows_of(left, schema, lambda j: (task << 36) + made + j, {"task": task})
+        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
 
     def last(group: pa.Table) -> pa.Table:
         from_rows = sorted(group.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))

@@ -169,18 +169,19 @@ def pii_spans(texts: pa.Array) -> pa.Array:
     return pa.array(rows, ARROW)
 
 
-@F.arrow_udf(T.StringType())
-def redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def redact(text: str) -> str:
     """Each span replaced by its kind in brackets; of spans that overlap, the first is named and all are covered."""
-    out = []
-    for t, found in zip(texts, spans):
-        t, parts, at = t.as_py(), [], 0
-        for x in sorted(found.as_py() or [], key=lambda x: (x["start"], -x["end"])):
-            if x["start"] >= at:
-                parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
-            at = max(at, x["end"])
-        out.append(None if t is None else "".join([*parts, t[at:]]))
-    return pa.array(out, pa.string())
+    parts, at = [], 0
+    for start, kind, end, _base in sorted(all_spans(text), key=lambda x: (x[0], -x[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+@F.arrow_udf(T.StringType())
+def redacted(texts: pa.Array) -> pa.Array:
+    return pa.array([redact(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -194,8 +195,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """docs with the spans of find_pii replaced in text; a null text stays null."""
-    name = "__spans"
-    return docs.withColumn(name, pii_spans("text")).withColumn("text", redacted("text", name)).drop(name)
+    return docs.withColumn("text", redacted("text"))
 
 
 def joined(spans: Column) -> Column:
