@@ -171,6 +171,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
     once = rows.select("doc_id", F.when(F.col("text").rlike(WORD), F.sha2("text", 256)).alias("h"))
     once = once.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("h").alias("h")).where("n = 1 and h is not null").drop("n")
     first = once.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first")  # so that the join below can split what many copies of one text make large
     copies = written(once.join(first, "h").where("doc_id > first").select("doc_id", "first"), "copies")
 
     fresh = lambda df: df.toDF(*df.columns)

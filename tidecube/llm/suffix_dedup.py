@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecube.llm.common import written
+
 K = 24
 NULL_ID = np.iinfo(np.int64).max
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -320,6 +322,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     copy = rows.where(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("h"))
     first = copy.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "first")  # so that the join below can split what many copies of one text make large
     copy = copy.join(first, "h").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id").toDF("block", "doc_id")
 
     def send_keys(_key, group: pa.Table, copies: pa.Table) -> pa.Table:
