@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tidecube-{spark.sparkContext.applicationId}"
 
 
+def free_memory() -> None:
+    """Gives back to the system what this process has freed: workers wait for tasks of other stages with what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

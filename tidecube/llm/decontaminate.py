@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecube.llm.common import free_memory
+
 CODE_BASE = 0x5851F42D4C957F2D
 CODE_BACK = pow(CODE_BASE, -1, 1 << 64)
 MATCH, MISS, GAP = 2, -1, -1
@@ -207,7 +209,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
                         found += [(key.as_py(), *x) for x in search(t.as_py(), known, n, least)]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "start", "end"])
-            pa.default_memory_pool().release_unused()
+            free_memory()
 
         out.append(rows.mapInArrow(score, schema))
     return reduce(DataFrame.unionByName, out)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecube.llm.common import WORD, connected_components, written
+from tidecube.llm.common import WORD, connected_components, free_memory, written
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D
@@ -223,7 +223,7 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
             shared = gram[rank > 0]
             #: fragments are ranges of the hash, equal in number of possible values
             parts[i] = np.split(shared, np.searchsorted(shared, [(f << 54) // fragments for f in range(1, fragments)]))
-        pa.default_memory_pool().release_unused()  # the worker may wait for its next group for long
+        free_memory()
         return pa.Table.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.size, pa.int64()), pa.array(score.astype(np.int64)), pa.array(alone), pa.array(prefix, schema.field(4).type), pa.array(parts, schema.field(5).type)], schema=schema)
 
     by = lambda df: fresh(df).groupBy("block")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecube.llm.common import written
+from tidecube.llm.common import free_memory, written
 from tidecube.llm.tokens import default_path, encoder, slices, with_ends
 
 PIECE = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
@@ -89,6 +89,7 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
     def first(batches):
         from pyspark import TaskContext
 
+        free_memory()
         task, enc, windows, made = TaskContext.get().partitionId(), encoder(path), Windows(size, open_windows, min_cut), 0
         for batch in batches:
             keys = batch.column("doc_id")
@@ -103,9 +104,11 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
                     part = done[k : k + 512]
                     yield rows_of(part, schema, lambda j, m=made: (task << 36) + m + j, {"task": None})
                     made += len(part)
+                del ids, done, texts
+                free_memory()
         if left := windows.rest():
             yield rows_of(left, schema, lambda j: (task << 36) + made + j, {"task": task})
-        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
+        free_memory()
 
     def last(group: pa.Table) -> pa.Table:
         from_rows = sorted(group.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecube.llm.common import free_memory
+
 KINDS = ("email", "ip", "card", "phone")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())]))
 ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
@@ -181,6 +183,7 @@ def redact(text: str) -> str:
 
 @F.arrow_udf(T.StringType())
 def redacted(texts: pa.Array) -> pa.Array:
+    free_memory()
     return pa.array([redact(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecube.llm.common import shared_dir
+from tidecube.llm.common import free_memory, shared_dir
 from tidecube.llm.tokens import default_path, encoder, slices, with_ends
 
 ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("n_ids", "<u8")])
@@ -98,7 +98,7 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
             scheme = folder.split("://")[0] + "://" if "://" in folder else ""
             rows = [{"part": part, "file": scheme + names[0], "index": scheme + names[1], "width": int(kind[2]), "n_docs": count, "n_tokens": tokens}]
             yield pa.RecordBatch.from_pylist(rows, schema)
-        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
+        free_memory()
 
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
