@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from tidecube.operators import forecast, metrics, models
 from tidecube.operators.schema import rounded
 from tidecube.plans.cube_queries import longs, r
-from tidecube.plans.proxies import GRID, ORDERS, ZONES, orders_demand, orders_grid, table, zones
+from tidecube.plans.proxies import FULL_GRID, GRID, ORDERS, ZONES, also_full, full_grid, orders_demand, orders_grid, table, zones
 
 QUERIES: dict = {}
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, full_sql: str | None = None):
     def add(f):
-        QUERIES[name] = (f, sql)
+        if sql and GRID in sql:
+            also_full(QUERIES, name, f, sql, full_sql)
+        else:
+            QUERIES[name] = (f, sql)
         return f
 
     return add
@@ -26,8 +29,8 @@ def f1(spark, sf):
 
 
 @query("f3_zero_filled_grid", f"WITH {GRID} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, trip_count, CAST(month_index AS BIGINT) AS month_index FROM g")
-def f3(spark, sf):
-    return longs(orders_grid(spark, sf).select("PULocationID", "pickup_date", "pickup_hour", "trip_count", "month_index"), "pickup_hour", "month_index")
+def f3(spark, sf, grid=orders_grid):
+    return longs(grid(spark, sf).select("PULocationID", "pickup_date", "pickup_hour", "trip_count", "month_index"), "pickup_hour", "month_index")
 
 
 def window_query(name, keys, measure, alias):
@@ -35,8 +38,8 @@ def window_query(name, keys, measure, alias):
     ints = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in [*keys, "month_index"])
 
     @query(name, f"WITH {GRID}, m AS (SELECT {k}, month_index, avg({measure}) AS v FROM g GROUP BY ALL) SELECT {ints}, {r(f'avg(v) OVER (PARTITION BY {k} ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS {alias} FROM m")
-    def f(spark, sf):
-        out = forecast.expanding(orders_grid(spark, sf), keys, **{alias: F.avg(F.expr(measure))})
+    def f(spark, sf, grid=orders_grid):
+        out = forecast.expanding(grid(spark, sf), keys, **{alias: F.avg(F.expr(measure))})
         return longs(out, *keys, "month_index").withColumn(alias, rounded(alias, 4))
 
 
@@ -48,8 +51,8 @@ window_query("w7_hour_history", ["pickup_hour"], "trip_count", "hour_avg")
 
 
 @query("f5_previous_month", f"WITH {GRID} SELECT PULocationID, CAST(pickup_hour AS BIGINT) AS pickup_hour, CAST(month_index + 1 AS BIGINT) AS month_index, {r('avg(trip_count)')} AS previous_month_location_hour_avg FROM g GROUP BY ALL")
-def f5(spark, sf):
-    out = longs(forecast.previous_month(orders_grid(spark, sf)), "pickup_hour", "month_index")
+def f5(spark, sf, grid=orders_grid):
+    out = longs(forecast.previous_month(grid(spark, sf)), "pickup_hour", "month_index")
     return out.withColumn("previous_month_location_hour_avg", rounded("previous_month_location_hour_avg", 4))
 
 
@@ -66,14 +69,14 @@ f AS (SELECT *, coalesce(hlh_v, la) AS lh, coalesce(hld_v, hlh_v, la) AS ld, coa
 
 
 @query("f6_history_features", f"{FEATURES_SQL} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, trip_count, {r('la')} AS location_avg, {r('lh')} AS location_hour_avg, {r('ld')} AS location_dow_hour_avg, {r('pmo')} AS previous_month_location_hour_avg, {r('zr')} AS location_hour_zero_rate FROM f")
-def f6(spark, sf):
-    out = forecast.with_history(orders_grid(spark, sf))
+def f6(spark, sf, grid=orders_grid):
+    out = forecast.with_history(grid(spark, sf))
     names = ["location_avg", "location_hour_avg", "location_dow_hour_avg", "previous_month_location_hour_avg", "location_hour_zero_rate"]
     return longs(out.select("PULocationID", "pickup_date", "pickup_hour", "trip_count", *[rounded(c, 4).alias(c) for c in names]), "pickup_hour")
 
 
-def naive_predictions(spark, sf):
-    full = forecast.with_history(orders_grid(spark, sf)).where("pickup_year >= 1997")
+def naive_predictions(spark, sf, grid=orders_grid):
+    full = forecast.with_history(grid(spark, sf)).where("pickup_year >= 1997")
     return metrics.with_errors(full.withColumns({"actual_trip_count": F.col("trip_count"), "predicted_trip_count": F.round(F.col("location_dow_hour_avg").cast("decimal(30,10)"), 4).cast("double")}))
 
 
@@ -82,44 +85,48 @@ ERRORS = f"count(*) AS row_count, {r('avg(abs(e))')} AS mae, {r('sqrt(avg(e * e)
 
 
 @query("a31_regression_metrics", f"{NAIVE_SQL} SELECT count(*) AS n, {r('sqrt(sum(e * e) / count(*))')} AS rmse, {r('sum(abs(e)) / count(*)')} AS mae, {r('CASE WHEN sum(a * a) - sum(a) * sum(a) / count(*) > 0 THEN 1 - sum(e * e) / (sum(a * a) - sum(a) * sum(a) / count(*)) ELSE 0.0 END')} AS r2 FROM p")
-def a31(spark, sf):
-    return metrics.regression_metrics(naive_predictions(spark, sf), "actual_trip_count", "predicted_trip_count")
+def a31(spark, sf, grid=orders_grid):
+    return metrics.regression_metrics(naive_predictions(spark, sf, grid), "actual_trip_count", "predicted_trip_count")
 
 
 @query("a33_prediction_summary", f"{NAIVE_SQL} SELECT {ERRORS}, {r('corr(a, q)', 6)} AS corr FROM p")
-def a33(spark, sf):
-    return metrics.summary(naive_predictions(spark, sf))
+def a33(spark, sf, grid=orders_grid):
+    return metrics.summary(naive_predictions(spark, sf, grid))
 
 
 @query("a34_zero_actual", f"{NAIVE_SQL} SELECT count(*) AS row_count, {r('avg(q)')} AS avg_prediction, max(q) AS max_prediction, {r('avg(CASE WHEN q >= 0.1 THEN 1.0 ELSE 0.0 END) * 100')} AS pct_at_least FROM p WHERE a = 0")
-def a34(spark, sf):
-    return metrics.zero_actual_summary(naive_predictions(spark, sf), 0.1)
+def a34(spark, sf, grid=orders_grid):
+    return metrics.zero_actual_summary(naive_predictions(spark, sf, grid), 0.1)
 
 
-@query("a35_error_by_bucket", f"{NAIVE_SQL} SELECT CASE WHEN a < 10 THEN '0-9' ELSE '10+' END AS bucket, CAST(1 AS BIGINT) AS bucket_order, {ERRORS} FROM p GROUP BY 1")
-def a35(spark, sf):
-    return longs(metrics.by_bucket(naive_predictions(spark, sf)), "bucket_order")
+A35_FULL = f"""{NAIVE_SQL.replace(GRID, FULL_GRID)} SELECT CASE WHEN a < 10 THEN '0-9' WHEN a < 50 THEN '10-49' WHEN a < 100 THEN '50-99' WHEN a < 250 THEN '100-249' ELSE '250+' END AS bucket,
+  CAST(CASE WHEN a < 10 THEN 1 WHEN a < 50 THEN 2 WHEN a < 100 THEN 3 WHEN a < 250 THEN 4 ELSE 5 END AS BIGINT) AS bucket_order, {ERRORS} FROM p GROUP BY 1, 2"""
+
+
+@query("a35_error_by_bucket", f"{NAIVE_SQL} SELECT CASE WHEN a < 10 THEN '0-9' ELSE '10+' END AS bucket, CAST(1 AS BIGINT) AS bucket_order, {ERRORS} FROM p GROUP BY 1", A35_FULL)
+def a35(spark, sf, grid=orders_grid):
+    return longs(metrics.by_bucket(naive_predictions(spark, sf, grid)), "bucket_order")
 
 
 @query("a36_worst_locations", f"{NAIVE_SQL} SELECT PULocationID, {ERRORS} FROM p GROUP BY 1 HAVING count(*) >= 20 ORDER BY mae DESC, PULocationID LIMIT 3")
-def a36(spark, sf):
-    return metrics.by_keys(naive_predictions(spark, sf), "PULocationID", at_least=20).orderBy(F.desc("mae"), "PULocationID").limit(3)
+def a36(spark, sf, grid=orders_grid):
+    return metrics.by_keys(naive_predictions(spark, sf, grid), "PULocationID", at_least=20).orderBy(F.desc("mae"), "PULocationID").limit(3)
 
 
 @query("a38_by_hour", f"{NAIVE_SQL} SELECT CAST(pickup_hour AS BIGINT) AS pickup_hour, {r('avg(a)')} AS actual, {r('avg(q)')} AS predicted FROM p GROUP BY 1")
-def a38(spark, sf):
-    rows = naive_predictions(spark, sf).groupBy("pickup_hour").agg(rounded(F.avg("actual_trip_count"), 4).alias("actual"), rounded(F.avg("predicted_trip_count"), 4).alias("predicted"))
+def a38(spark, sf, grid=orders_grid):
+    rows = naive_predictions(spark, sf, grid).groupBy("pickup_hour").agg(rounded(F.avg("actual_trip_count"), 4).alias("actual"), rounded(F.avg("predicted_trip_count"), 4).alias("predicted"))
     return longs(rows, "pickup_hour")
 
 
 @query("w3_location_ranking", f"{NAIVE_SQL}, {ZONES}, l AS (SELECT PULocationID, {ERRORS} FROM p GROUP BY 1) SELECT PULocationID, row_count, mae, rmse, bias, borough, zone, row_number() OVER (ORDER BY mae, rmse, zone NULLS LAST, PULocationID) AS accuracy_rank FROM l LEFT JOIN z ON PULocationID = location_id")
-def w3(spark, sf):
-    return longs(metrics.location_ranking(metrics.by_keys(naive_predictions(spark, sf), "PULocationID"), zones(spark, sf)), "accuracy_rank")
+def w3(spark, sf, grid=orders_grid):
+    return longs(metrics.location_ranking(metrics.by_keys(naive_predictions(spark, sf, grid), "PULocationID"), zones(spark, sf)), "accuracy_rank")
 
 
 @query("t4_largest_errors", f"{NAIVE_SQL} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, {r('abs(e)')} AS absolute_error FROM p ORDER BY absolute_error DESC, PULocationID, pickup_date, pickup_hour LIMIT 10")
-def t4(spark, sf):
-    rows = naive_predictions(spark, sf).select("PULocationID", "pickup_date", "pickup_hour", rounded("absolute_error", 4).alias("absolute_error"))
+def t4(spark, sf, grid=orders_grid):
+    rows = naive_predictions(spark, sf, grid).select("PULocationID", "pickup_date", "pickup_hour", rounded("absolute_error", 4).alias("absolute_error"))
     return longs(rows.orderBy(F.desc("absolute_error"), "PULocationID", "pickup_date", "pickup_hour").limit(10), "pickup_hour")
 
 
@@ -127,8 +134,8 @@ GRID12 = "s AS (SELECT zn.PULocationID, m.pickup_month, d.pickup_day_of_week, h.
 
 
 @query("f9_serving_grid", f"WITH {GRID}, {GRID12} SELECT PULocationID, CAST(pickup_month AS BIGINT) AS pickup_month, CAST(pickup_day_of_week AS BIGINT) AS pickup_day_of_week, CAST(pickup_hour AS BIGINT) AS pickup_hour, CAST(previous_month AS BIGINT) AS previous_month, pickup_day_of_week IN (1, 7) AS is_weekend FROM s")
-def f9(spark, sf):
-    out = forecast.serving_grid(orders_grid(spark, sf), 2002, [1, 2, 7]).drop("pickup_year")
+def f9(spark, sf, grid=orders_grid):
+    out = forecast.serving_grid(grid(spark, sf), 2002, [1, 2, 7]).drop("pickup_year")
     return longs(out, "pickup_month", "pickup_day_of_week", "pickup_hour", "previous_month")
 
 
@@ -137,21 +144,21 @@ a4 AS (SELECT PULocationID, pickup_month AS previous_month, pickup_hour, avg(tri
 F_INTS = "CAST(pickup_month AS BIGINT) AS pickup_month, CAST(pickup_day_of_week AS BIGINT) AS pickup_day_of_week, CAST(pickup_hour AS BIGINT) AS pickup_hour"
 
 
-def future(spark, sf):
-    full = orders_grid(spark, sf)
+def future(spark, sf, grid=orders_grid):
+    full = grid(spark, sf)
     return forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2, 7]), full)
 
 
 @query("f10_forecast_features", f"{FORECAST_SQL} SELECT PULocationID, {F_INTS}, {r('la')} AS location_avg, {r('lh')} AS location_hour_avg, {r('ld')} AS location_dow_hour_avg, {r('pm')} AS previous_month_location_hour_avg FROM f")
-def f10(spark, sf):
+def f10(spark, sf, grid=orders_grid):
     names = ["location_avg", "location_hour_avg", "location_dow_hour_avg", "previous_month_location_hour_avg"]
-    out = future(spark, sf).select("PULocationID", "pickup_month", "pickup_day_of_week", "pickup_hour", *[rounded(c, 4).alias(c) for c in names])
+    out = future(spark, sf, grid).select("PULocationID", "pickup_month", "pickup_day_of_week", "pickup_hour", *[rounded(c, 4).alias(c) for c in names])
     return longs(out, "pickup_month", "pickup_day_of_week", "pickup_hour")
 
 
 @query("f11_scored_forecast", f"{FORECAST_SQL}, p AS (SELECT *, {r('greatest((ld - 0.05) * 100, 0.0)', 2)} AS q FROM f) SELECT PULocationID, {F_INTS}, q AS predicted_trip_count, CASE WHEN q < 20 THEN 'low' WHEN q < 50 THEN 'medium' WHEN q < 100 THEN 'high' ELSE 'very_high' END AS demand_level, borough, zone FROM p LEFT JOIN z ON PULocationID = location_id")
-def f11(spark, sf):
-    out = forecast.scored(future(spark, sf).withColumn("prediction", (F.col("location_dow_hour_avg") - 0.05) * 100), zones(spark, sf))
+def f11(spark, sf, grid=orders_grid):
+    out = forecast.scored(future(spark, sf, grid).withColumn("prediction", (F.col("location_dow_hour_avg") - 0.05) * 100), zones(spark, sf))
     return longs(out.select("PULocationID", "pickup_month", "pickup_day_of_week", "pickup_hour", "predicted_trip_count", "demand_level", "borough", "zone"), "pickup_month", "pickup_day_of_week", "pickup_hour")
 
 
@@ -165,6 +172,6 @@ def t12(spark, sf):
 
 @query("m6_model_sweep", None)
 def m6(spark, sf):
-    rows = forecast.with_history(orders_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
+    rows = forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
     train, test = models.holdout(rows, [1995, 1996, 1997, 1998, 1999], 2000)
-    return models.sweep(train.persist(), test.persist(), ["linear_ridge", "forest_20_5", "boosted_10_2"])
+    return models.sweep(train.persist(), test.persist())

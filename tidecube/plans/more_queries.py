@@ -11,16 +11,19 @@ from tidecube.operators.schema import rounded
 from tidecube.plans.cube_queries import INTS, longs, r
 from tidecube.plans.forecast_queries import ERRORS, NAIVE_SQL, naive_predictions
 from tidecube.plans.io_queries import CUBE_SUMS, fresh, sums
-from tidecube.plans.proxies import CUBE, GRID, ORDERS, TRIPS, ZONES, demand, orders_demand, orders_grid, table, trips, zones
+from tidecube.plans.proxies import CUBE, GRID, ORDERS, TRIPS, ZONES, also_full, demand, full_grid, orders_demand, orders_grid, table, trips, zones
 from tidecube.plans.serving_queries import BASE, serving_rows
 from tidecube.sources import files
 
 QUERIES: dict = {}
 
 
-def query(name: str, sql: str | None):
+def query(name: str, sql: str | None, full_sql: str | None = None):
     def add(f):
-        QUERIES[name] = (f, sql)
+        if sql and GRID in sql:
+            also_full(QUERIES, name, f, sql, full_sql)
+        else:
+            QUERIES[name] = (f, sql)
         return f
 
     return add
@@ -123,8 +126,8 @@ def j2(spark, sf):
 
 
 @query("j4_grid_join", f"WITH {GRID} SELECT count(*) AS n, sum(trip_count) AS trips, count_if(trip_count = 0) AS zeros FROM g")
-def j4(spark, sf):
-    return orders_grid(spark, sf).agg(F.count("*").alias("n"), F.sum("trip_count").alias("trips"), F.count_if(F.col("trip_count") == 0).alias("zeros"))
+def j4(spark, sf, grid=orders_grid):
+    return grid(spark, sf).agg(F.count("*").alias("n"), F.sum("trip_count").alias("trips"), F.count_if(F.col("trip_count") == 0).alias("zeros"))
 
 
 @query("j8_holiday_orders", "SELECT holiday_name, count(*) AS n FROM orders JOIN (VALUES ('Midsummer', DATE '1996-06-24'), ('New Year', DATE '1997-01-01')) h(holiday_name, d) ON CAST(o_orderdate AS DATE) = d GROUP BY 1")
@@ -145,8 +148,8 @@ def a29(spark, sf):
 
 
 @query("a37_location_accuracy", f"{NAIVE_SQL} SELECT PULocationID, {ERRORS} FROM p GROUP BY 1")
-def a37(spark, sf):
-    return metrics.by_keys(naive_predictions(spark, sf), "PULocationID")
+def a37(spark, sf, grid=orders_grid):
+    return metrics.by_keys(naive_predictions(spark, sf, grid), "PULocationID")
 
 
 @query("a39_baseline", f"WITH {CUBE} SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in INTS if c != 'pickup_year')}, source_name, PULocationID, {r('avg(trip_count)')} AS predicted_trip_count, any_value(is_weekend) AS is_weekend FROM c GROUP BY ALL")
@@ -180,13 +183,13 @@ def f2(spark, sf):
 
 
 @query("f7_naive_baseline", f"{NAIVE_SQL} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, q AS prediction FROM p")
-def f7(spark, sf):
-    rows = models.naive(naive_predictions(spark, sf)).select("PULocationID", "pickup_date", "pickup_hour", rounded("prediction", 4).alias("prediction"))
+def f7(spark, sf, grid=orders_grid):
+    rows = models.naive(naive_predictions(spark, sf, grid)).select("PULocationID", "pickup_date", "pickup_hour", rounded("prediction", 4).alias("prediction"))
     return longs(rows, "pickup_hour")
 
 
 def labelled(spark, sf):
-    return forecast.with_history(orders_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string"), "is_weekend_int": F.col("is_weekend").cast("int")})
+    return forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string"), "is_weekend_int": F.col("is_weekend").cast("int")})
 
 
 @query("m7_plain_forest", None)
@@ -205,7 +208,7 @@ def m8(spark, sf):
 
 @query("m9_refit_forecast", None)
 def m9(spark, sf):
-    full = orders_grid(spark, sf)
+    full = full_grid(spark, sf)
     model = models.fit(labelled(spark, sf), models.configurations()["linear_plain"])
     target = forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2]), full).withColumn("zone", F.col("PULocationID").cast("string"))
     out = forecast.scored(model.transform(target).drop("zone"), zones(spark, sf))
@@ -214,5 +217,5 @@ def m9(spark, sf):
 
 @query("a32_evaluator", None)
 def a32(spark, sf):
-    rows = naive_predictions(spark, sf).selectExpr("actual_trip_count as label", "predicted_trip_count as prediction")
+    rows = naive_predictions(spark, sf, full_grid).selectExpr("actual_trip_count as label", "predicted_trip_count as prediction")
     return spark.createDataFrame(list(models.evaluated(rows).items()), "metric string, value double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ ORDERS = "o AS (SELECT CAST(c_nationkey AS BIGINT) AS PULocationID, CAST(o_order
 
 
 def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zones 0 to 4 on every 30th day of the year, hours 0 to 5: zero-filled."""
+    """A sample for quick looks: zones 0 to 4 on every 30th day of the year, hours 0 to 5, zero-filled."""
     return forecast.grid(orders_demand(spark, sf_dir).where("PULocationID < 5"), stride=30, hours=6)
 
 
@@ -99,3 +101,19 @@ GRID = ORDERS + """, d5 AS (SELECT * FROM o WHERE PULocationID < 5),
 g AS (SELECT zn.PULocationID, dt.pickup_date, h.pickup_hour, coalesce(d5.trip_count, 0.0) AS trip_count, year(dt.pickup_date) AS pickup_year, month(dt.pickup_date) AS pickup_month, dayofweek(dt.pickup_date) + 1 AS pickup_day_of_week, year(dt.pickup_date) * 12 + month(dt.pickup_date) AS month_index
   FROM (SELECT DISTINCT PULocationID FROM d5) zn CROSS JOIN (SELECT DISTINCT pickup_date FROM d5 WHERE dayofyear(pickup_date) % 30 = 1) dt CROSS JOIN (SELECT unnest(generate_series(0, 5)) AS pickup_hour) h
   LEFT JOIN d5 ON d5.PULocationID = zn.PULocationID AND d5.pickup_date = dt.pickup_date AND d5.pickup_hour = h.pickup_hour)"""
+
+
+def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All zones, dates and hours: zero-filled."""
+    return forecast.grid(orders_demand(spark, sf_dir))
+
+
+FULL_GRID = ORDERS + """, g AS (SELECT zn.PULocationID, dt.pickup_date, h.pickup_hour, coalesce(o.trip_count, 0.0) AS trip_count, year(dt.pickup_date) AS pickup_year, month(dt.pickup_date) AS pickup_month, dayofweek(dt.pickup_date) + 1 AS pickup_day_of_week, year(dt.pickup_date) * 12 + month(dt.pickup_date) AS month_index
+  FROM (SELECT DISTINCT PULocationID FROM o) zn CROSS JOIN (SELECT DISTINCT pickup_date FROM o) dt CROSS JOIN (SELECT unnest(generate_series(0, 23)) AS pickup_hour) h
+  LEFT JOIN o ON o.PULocationID = zn.PULocationID AND o.pickup_date = dt.pickup_date AND o.pickup_hour = h.pickup_hour)"""
+
+
+def also_full(queries: dict, name: str, f, sql: str, full_sql: str | None = None) -> None:
+    """Registers a query of the sample grid, and as NAME_full the same over the full grid."""
+    queries[name] = (f, sql)
+    queries[f"{name}_full"] = (functools.partial(f, grid=full_grid), full_sql or sql.replace(GRID, FULL_GRID))
