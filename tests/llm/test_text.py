@@ -343,3 +343,14 @@ def test_narrow_ids(spark):
 def test_crc_is_of_little_endian_ids(spark):
     got = spark.createDataFrame([([1, 70000],), ([],)], "ids array<int>").select(queries.ids_crc32("ids").alias("c")).collect()
     assert [r.c for r in got] == [zlib.crc32(np.array([1, 70000], "<u4").tobytes()), 0]
+
+
+def test_decontamination_finds_copies_of_what_is_in_many_documents(spark):
+    """100 documents have the first 60 % of an item, 20 all of it: the rarest trigrams are all in the last part."""
+    item = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([f"x{i}", *item[: 36 if i < 100 else 60], f"y{i}"])) for i in range(120)]
+    rows += [(i, f"other text {i} of its own") for i in range(120, 200)]
+    found = find_copies(frame(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.score for r in found} == {i: 0.6 if i < 100 else 1.0 for i in range(120)}
+    alone = find_copies(frame(spark, rows[:1]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.score) for r in alone] == [(0, 0.6)]

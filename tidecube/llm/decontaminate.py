@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-grams of test items find places in training texts, local alignment scores them."""
+"""Benchmark decontamination: n-grams of test items find places in training texts, local alignment scores them."""
 
 from __future__ import annotations
 
@@ -110,21 +110,6 @@ class Items:
         self.gram, self.item, self.place = gram[order], item[order], place[order]
         self.distinct = np.unique(self.gram)
 
-    def keep_rare(self, frequency: np.ndarray, most: float, least_seeds: int) -> Items:
-        """Of the seeds that any document has: those in `most` documents at most, and of each item the least_seeds rarest."""
-        self.take(frequency[np.searchsorted(self.distinct, self.gram)] > 0)
-        f = frequency[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.place, self.gram, f, self.item))
-        new = np.diff(self.item[order], prepend=-1) != 0
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        self.take((f <= most) | (rank < least_seeds))
-        self.distinct = np.unique(self.gram)
-        return self
-
-    def take(self, keep: np.ndarray) -> None:
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-
 
 def found_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
@@ -152,21 +137,24 @@ def search(text: str, items: Items, n: int, least: float):
             if s <= b and e:
                 b = max(b, e)
                 continue
-            score, x, y = align(items.words[item], words[a:b])
-            if score > best[0]:
-                best = (score, a + x, a + y)
+            # no alignment scores more than a match of every word of the item that the stretch has
+            if MATCH * np.isin(items.words[item], words[a:b]).sum() >= least * full:
+                score, x, y = align(items.words[item], words[a:b])
+                if score > best[0]:
+                    best = (score, a + x, a + y)
             a, b = s, e
         if best[0] >= least * full:
             yield items.ids[item], best[0] / full, int(starts[best[1]]), int(ends[best[2] - 1])
 
 
-def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, rare_share: float = 0.001, least_seeds: int = 16, max_bytes: int = 16 << 20) -> DataFrame:
+def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, max_bytes: int = 16 << 20) -> DataFrame:
     """Copies of benchmark(item_id, text) in docs(doc_id, text): doc_id, item_id, score, start, end.
 
-    Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are n-grams of items that
-    are in rare_share of all documents at most, and for each item its least_seeds rarest that are in any. Around every seed in a text
-    the item is aligned (match 2, other word -1, gap -1); where the best score is at least `least` of the item's full
-    score, the pair is returned once, with that share as score and its bytes in the text. Null and empty texts and items
+    Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are all n-grams of the
+    items, however frequent, so a text is judged alike in any table. Around every seed in a text the item is aligned
+    (match 2, other word -1, gap -1), unless the words there cannot reach the score; where the best score is at least
+    `least` of the item's full score, the pair is returned once, with that share as score and its bytes in the text. A
+    copy that has no n words in a row from the item is not found. Null and empty texts and items
     of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id is kept; extra
     columns are dropped; empty tables give an empty result. Items are sent to the tasks max_bytes of text at a time, so
     a larger benchmark takes several passes.
@@ -178,29 +166,12 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     total, largest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     if not total:
         return spark.createDataFrame([], schema)
-    n_docs = rows.count()
     passes = -(-total // max_bytes)
     out = []
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         known = Items([tuple(r) for r in part.collect()], n)
 
-        def count(batches, known=known):
-            seen = np.zeros(len(known.distinct), np.int64)
-            for batch in batches:
-                for t in batch.column("text"):
-                    if t.is_valid:
-                        grams = grams_of(words_of(folded(t.as_py()))[0], n)
-                        seen[np.searchsorted(known.distinct, np.unique(grams[found_in(grams, known.distinct)]))] += 1
-            some = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["seed", "n"])
-
-        frequency = np.zeros(len(known.distinct), np.int64)
-        counted = rows.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        for r in counted.toLocalIterator():  # as many rows as seeds of this pass at most
-            frequency[r["seed"]] = r["n"]
-        known = known.keep_rare(frequency, rare_share * n_docs, least_seeds)
-
         def score(batches, known=known):
             for batch in batches:
                 found = []
