@@ -47,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 1024."""
-    return pack(docs, end_id=0, lean=True)
+    return pack(docs, end_id=0, lean=True, special=True)
 
 
 STAGES = [

@@ -354,3 +354,23 @@ def test_decontamination_finds_copies_of_what_is_in_many_documents(spark):
     assert {r.doc_id: r.score for r in found} == {i: 0.6 if i < 100 else 1.0 for i in range(120)}
     alone = find_copies(frame(spark, rows[:1]), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert [(r.doc_id, r.score) for r in alone] == [(0, 0.6)]
+
+
+def test_registered_token_queries_encode_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    library = Tokenizer.from_file(default_path())
+    texts = [*ODD, "a <|endoftext|> b", "a<|endoftext|><|endoftext|>b c", "a <|endof text|> b", "a <|endoftext|\n> b"]
+    expect = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert expect[-4] == [64, 220, 50256, 275]
+    ids, counts = encoder(default_path(), special=True).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expect
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.op7_token_files(spark, str(tmp_path)).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {i: crc(x + [2]) for i, x in enumerate(expect)}
+    assert {r.doc_id: r.doc_tokens for r in queries.op9_packing(spark, str(tmp_path)).collect()} == {i: len(x) + 1 for i, x in enumerate(expect)}
+    pieces = corpus_pipeline.packing(spark, frame(spark, [(1, texts[-4])]), "").collect()
+    assert [x for r in sorted(pieces, key=lambda r: r.start) for x in r.ids] == expect[-4] + [0]

@@ -73,13 +73,14 @@ def rows_of(windows, schema: pa.Schema, number, extra: dict | None = None):
     return pa.RecordBatch.from_arrays([lists if f.name == "ids" else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
 
-def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64, min_cut: int = 8, merge: int = 16, tokenizer: str | None = None, lean: bool = False) -> DataFrame:
+def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64, min_cut: int = 8, merge: int = 16, tokenizer: str | None = None, lean: bool = False, special: bool = False) -> DataFrame:
     """Pieces of docs(doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Each partition keeps open_windows windows. A document's whole windows are sequences of their own; its rest goes to
     the window that it fits best. Where none fits, the fullest is emitted, filled by a cut if its gap is at least
     min_cut ids. What is left open at the end is merged, the leftovers of `merge` partitions at a time, by cutting; the
     end of each such merge becomes sequences whose lengths are powers of two, which need no padding.
+    special: special tokens in texts are encoded as such, as the tokenizer's library does; else as plain text.
     lean: memory goes back to the system after every few texts, a tenth slower, for workers that keep much from other stages.
     Null and empty texts are one piece with end_id alone; a null doc_id is kept; repeated rows are packed each; extra
     columns are dropped; an empty table gives no pieces.
@@ -91,7 +92,7 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
         from pyspark import TaskContext
 
         free_memory()
-        task, enc, windows, made = TaskContext.get().partitionId(), encoder(path), Windows(size, open_windows, min_cut), 0
+        task, enc, windows, made = TaskContext.get().partitionId(), encoder(path, special), Windows(size, open_windows, min_cut), 0
         for batch in batches:
             keys = batch.column("doc_id")
             for at, texts in slices(batch, "text"):

@@ -91,7 +91,7 @@ def ids_crc32(ids: pa.Array) -> pa.Array:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_records(table(spark, sf_dir, "documents"), new_folder(spark), end_id=2)
+    manifest = write_records(table(spark, sf_dir, "documents"), new_folder(spark), end_id=2, special=True)
     return read_records(spark, manifest, binary=True).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -107,7 +107,7 @@ def pii_digest(found: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), end_id=0)
+    pieces = pack(table(spark, sf_dir, "documents"), end_id=0, special=True)
     return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

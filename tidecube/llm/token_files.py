@@ -52,14 +52,15 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | None = None, n_files: int | None = None) -> list[dict]:
+def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | None = None, n_files: int | None = None, special: bool = False) -> list[dict]:
     """Writes docs(doc_id, text) in ascending doc_id order, each with end_id, as n_files ranges of doc_id at most.
 
     Returns one manifest entry for each file: file, index, width, n_docs, n_tokens and start, the number of ids in the
     files before it. Null texts are empty, so a record always has end_id; a null doc_id sorts first and is marked in the
     index; equal doc_ids follow the order of their texts; extra columns are left out; an empty table gives no files. A file's name is
     new for each attempt of a task and only files of attempts that ended are in the manifest, so a lost executor leaves
-    no half file behind that anyone reads.
+    no half file behind that anyone reads. special: special tokens in texts are encoded as such, as the tokenizer's
+    library does; else as plain text.
     """
     spark = docs.sparkSession
     path = tokenizer or default_path()
@@ -70,7 +71,7 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
 
         store, base = open_fs(folder)
         part, tag = TaskContext.get().partitionId(), uuid.uuid4().hex
-        enc = encoder(path)
+        enc = encoder(path, special)
         kind = "<u2" if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else "<u4"
         names = [f"{base}/{part:06d}-{tag}.{x}" for x in ("records", "index")]
         data, entries, offset, tokens, count = None, None, 0, 0, 0

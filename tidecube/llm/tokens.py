@@ -44,20 +44,22 @@ class Encoder:
 
     The tokenizer's words never begin with white space other than one space, and a single space or line break between
     two other characters always begins a word or is one. So texts can be cut before these without changing ids. Where
-    white space meets white space, the whole text is encoded by itself.
+    white space meets white space, or a token stands that the tokenizer looks for in the text itself, the whole text is
+    encoded by itself. special: special tokens in a text are such tokens, as the library has it; else they are plain text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
         tab = self.tokenizer.encode(TAB, add_special_tokens=False).ids
         before = self.tokenizer.pre_tokenizer
         byte_level = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
-        self.tab = tab[0] if len(tab) == 1 and byte_level else None
+        self.tab = tab[0] if len(tab) == 1 and byte_level and not any(TAB in x for x in self.added) else None
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -118,7 +120,7 @@ class Encoder:
         del lists
         codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
         apart = np.asarray(pc.match_substring_regex(coded.dictionary, APART))
-        odd = {i for i, t in enumerate(texts) if BREAK in t} if self.tab is not None else set(range(len(texts)))
+        odd = {i for i, t in enumerate(texts) if BREAK in t or any(x in t for x in self.added)} if self.tab is not None else set(range(len(texts)))
         if apart.any():
             odd |= set(np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets))[apart[codes]]).tolist())
         if odd:
@@ -142,9 +144,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process."""
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    """One encoder for each worker process and kind."""
+    return Encoder(path, special)
 
 
 def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
