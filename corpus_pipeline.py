@@ -23,20 +23,32 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(written(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a hash of doc_id and text; null without a doc_id."""
+    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs but for the rows whose row_key is in dropped: other texts of a doc_id stay."""
+    gone = written(dropped.select("row_key").where("row_key is not null").distinct(), "dropped")
+    return keyed(docs).join(gone, "row_key", "left_anti").select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base limits or the learned decision list reject."""
-    judged, _rules = judge_quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, judged.where("not kept"))
+    judged, _rules = judge_quality(keyed(docs), table(spark, sf_dir, "labels"), ["row_key"])
+    return without_rows(docs, judged.where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents that five-word shingles link at 0.8."""
+    """Keeps the smallest doc_id of each group of documents that five-word shingles link at 0.8; all rows of a doc_id are one document."""
     return without(docs, link_ngrams(docs).where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a copy of a benchmark item, edited or not."""
-    return without(docs, find_copies(docs, table(spark, sf_dir, "benchmark")))
+    rows = keyed(docs).where("row_key is not null").select(F.col("row_key").alias("doc_id"), "text")
+    return without_rows(docs, find_copies(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

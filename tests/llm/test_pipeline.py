@@ -61,3 +61,12 @@ def test_quality_held_out(spark):
     test = out.join(labels.where("pmod(xxhash64(doc_id, 1), 2) = 1"), "doc_id").where("not base_failed").groupBy("quality", "kept").count().collect()
     n = {(r["quality"], r["kept"]): r["count"] for r in test}
     assert rules and n.get((1, False), 0) <= 0.03 * n[1, True] and n.get((0, True), 0) <= 0.15 * n.get((0, False), 0)
+
+
+def test_other_texts_of_a_doc_id_are_kept(spark, tmp_path):
+    item, long = "one two three four five six seven eight nine ten", " ".join(f"w{k}" for k in range(60))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(5, f"{item} end"), (5, long), (5, None), (None, item), (6, long)], "doc_id long, text string")
+    assert sorted(map(tuple, cp.decontamination(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(5, long), (5, None), (None, item), (6, long)], key=str)
+    assert sorted(map(tuple, cp.quality(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(5, long), (None, item), (6, long)], key=str)

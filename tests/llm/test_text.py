@@ -374,3 +374,12 @@ def test_registered_token_queries_encode_as_the_library_does(spark, tmp_path):
     assert {r.doc_id: r.doc_tokens for r in queries.op9_packing(spark, str(tmp_path)).collect()} == {i: len(x) + 1 for i, x in enumerate(expect)}
     pieces = corpus_pipeline.packing(spark, frame(spark, [(1, texts[-4])]), "").collect()
     assert [x for r in sorted(pieces, key=lambda r: r.start) for x in r.ids] == expect[-4] + [0]
+
+
+def test_suffix_dedup_of_a_doc_id_with_a_copied_and_a_unique_text(spark):
+    copy, own = "a passage that another document has word for word, all of it ", "what only this row has, until a later document repeats it in full"
+    rows = [(1, copy), (5, copy), (5, own), (5, "short"), (9, f"before {own} after"), (9, copy)]
+    got = remove_repeats(frame(spark, rows)).collect()
+    mine = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
+    assert mine == removed(rows, 50)
+    assert (5, len(own), 0, 0, own.encode()) in mine and (5, 5, 0, 0, b"short") in mine

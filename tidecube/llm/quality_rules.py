@@ -59,8 +59,8 @@ def repeated_words(hashes: Column) -> Column:
     return let(window_hashes(hashes), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), sorted_out(g)).otherwise(F.lit(0).cast("long")))
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every text (null: no words)."""
+def text_statistics(docs: DataFrame, also: list[str] = []) -> DataFrame:
+    """doc_id, the columns `also` and the statistics of every text (null: no words)."""
     text = F.coalesce("text", F.lit(""))
     count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     words = F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -71,6 +71,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     dup_lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
         "doc_id",
+        *also,
         of_words.alias("of_words"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         count(SYMBOLS).cast("long").alias("n_symbols"),
@@ -79,14 +80,14 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         count("0123456789").alias("n_digits"),
         count("!").alias("n_bang"),
     )
-    return rows.select("doc_id", "of_words.*", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_digits", "n_bang")
+    return rows.select("doc_id", *also, "of_words.*", "word_chars", "n_symbols", "n_dup_lines", "n_upper", "n_digits", "n_bang")
 
 
-def with_ratios(rows: DataFrame) -> DataFrame:
+def with_ratios(rows: DataFrame, also: list[str] = []) -> DataFrame:
     """text_statistics with the ratios of FEATURES."""
     over = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *also, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         over("word_chars", "n_words").alias("mean_word"),
         over("n_symbols", "n_words").alias("symbol_ratio"),
         over("n_dup_lines", "n_words").alias("dup_line_ratio"),
@@ -212,15 +213,15 @@ def learn_rules(
     return taken
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
+def judge_quality(docs: DataFrame, labels: DataFrame, also: list[str] = []) -> tuple[DataFrame, list[Rule]]:
     """Statistics, base_failed and kept for every row of docs(doc_id, text), and the learned decision list.
 
     labels(doc_id, quality): quality 0 is bad, 1 good; null is no label. base_failed: under 20 words, or over 30 % of
     words in repeated windows. kept: not base_failed, and no rule rejects it. Null and empty texts have no words and
-    fail; a doc_id that is there several times is judged row by row; extra columns are dropped; an empty table gives an
+    fail; a doc_id that is there several times is judged row by row; extra columns but `also` are dropped; an empty table gives an
     empty result. All labelled rows take part in learning, as counts.
     """
-    stats = with_ratios(written(text_statistics(docs), "statistics"))
+    stats = with_ratios(written(text_statistics(docs, also), "statistics"), also)
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rules = learn_rules(stats.join(known, "doc_id").withColumn("bad", (F.col("quality") == 0).cast("int")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -13,11 +13,14 @@ The work runs over blocks of documents (dealt by a hash of doc_id) and buckets o
    length ends it. The rows between two borders are equal windows; the smallest doc_id of each decides.
 5. The block covers the bytes and cuts the texts.
 
-Exact copies of a whole text are found by a hash beforehand (an aggregation with partial sums) and take no part in it.
+Exact copies of a whole text are found by a hash beforehand (an aggregation with partial sums) and take no part in it;
+of rows that share a doc_id, only those with that text are such copies.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,11 +119,17 @@ class Block:
         self.text = np.frombuffer(b"".join(self.data), np.uint8)
         self.length = length
 
-    def runs(self, copies: set):
-        """Anchor runs without those of documents that are whole copies."""
+    def rows_of(self, copies: set) -> np.ndarray:
+        """Places of the rows whose doc_id and text are in copies, as (doc_id, SHA-256)."""
+        ids = {i for i, _ in copies}
+        found = [k for k, i in enumerate(self.ids.tolist()) if i in ids and not self.null[k] and (i, hashlib.sha256(self.data[k]).hexdigest()) in copies]
+        return np.array(found, np.int64)
+
+    def runs(self, copies: np.ndarray):
+        """Anchor runs without those of rows that are whole copies."""
         key, first, last, doc = anchors(self.text, self.ends, self.length)
-        if copies:
-            keep = ~np.isin(self.ids[doc], np.fromiter(copies, np.int64))
+        if len(copies):
+            keep = ~np.isin(doc, copies)
             key, first, last, doc = key[keep], first[keep], last[keep], doc[keep]
         return key, first, last, doc
 
@@ -323,16 +332,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     copy = rows.where(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("h"))
     first = copy.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first")  # so that the join below can split what many copies of one text make large
-    copy = copy.join(first, "h").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id").toDF("block", "doc_id")
+    copy = copy.join(first, "h").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "h").toDF("block", "doc_id", "h")
 
     def send_keys(_key, group: pa.Table, copies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return messages([])
-        number, gone = group.column("block")[0].as_py(), set(copies.column("doc_id").to_pylist())
-        block = Block(group, length)
+        number, block = group.column("block")[0].as_py(), Block(group, length)
+        gone = block.rows_of(set(zip(copies.column("doc_id").to_pylist(), copies.column("h").to_pylist())))
         key, _first, _last, doc = block.runs(gone)
         key, counts = block.distinct(key, doc)
-        out = [(number % buckets, number, COPIES, np.fromiter(gone, "<i8").tobytes())]
+        out = [(number % buckets, number, COPIES, gone.astype("<i8").tobytes())]
         return messages(out + [(b, number, KEYS, pack_keys(key[at], counts[at])) for b, at in by_bucket(key, buckets)])
 
     def send_stretches(_key, group: pa.Table, told: pa.Table) -> pa.Table:
@@ -340,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
             return messages([])
         number, block = group.column("block")[0].as_py(), Block(group, length)
         told = told.to_pylist()
-        gone = {int(x) for r in told if r["kind"] == COPIES for x in np.frombuffer(r["data"], "<i8")}
+        gone = np.array([x for r in told if r["kind"] == COPIES for x in np.frombuffer(r["data"], "<i8")], np.int64)
         key, begin, end, doc = block.runs(gone)
         known, _counts = block.distinct(key, doc)
         state = np.zeros(len(known), np.uint8)
@@ -358,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
         owner = np.concatenate([doc[some], np.repeat(doc[hot_ones], per)])
         same = stretch_hashes(block.text, at, size, wide)
         key = np.concatenate([key[some], same[len(some) :]])
-        out = [(number % buckets, number, COPIES, np.array(sorted(gone), "<i8").tobytes())]
+        out = [(number % buckets, number, COPIES, np.sort(gone).astype("<i8").tobytes())]
         #: of equal stretches in the block, those of larger documents are covered whole
         order = np.lexsort((block.ids[owner], same))
         new = np.ones(len(order), bool)
@@ -400,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
                 mask = removed[start : start + len(data)]
                 start += len(data)
                 key = None if block.null[i] else int(block.ids[i])
-                if key in gone:
+                if i in gone:
                     rows.append((key, len(data), [{"start": 0, "end": len(data)}], b""))
                 elif not mask.any():
                     rows.append((key, len(data), [], data))
