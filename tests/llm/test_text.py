@@ -383,3 +383,18 @@ def test_suffix_dedup_of_a_doc_id_with_a_copied_and_a_unique_text(spark):
     mine = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got)
     assert mine == removed(rows, 50)
     assert (5, len(own), 0, 0, own.encode()) in mine and (5, 5, 0, 0, b"short") in mine
+
+
+def test_compound_classes_of_whole_pages_do_not_hide_the_article(spark):
+    whole = [
+        ("<body class='has-sidebar search-results'>", "<article>", "</article>"),
+        ("<body><div id=page class=no-sidebar>", "<article>", "</article></div>"),
+        ("<body>", "<article class='post comments-open'>", "</article>"),
+        ("<body>", "<main class=search-page>", "</main>"),
+        ("<body class=search><div class=nav-wrap>", "<div role=main class=social-x>", "</div></div>"),
+    ]
+    marks = "<div class=related-posts><p>no {k}</p></div><div class=sidebar-left>no {k}</div>"
+    rows = [(10 * h + k, f"http://h{h}.org/{k}", f"<html>{a}{marks.format(k=k)}{b}<p>text {k}</p><div class=share-bar>no</div>{c}</body></html>") for h, (a, b, c) in enumerate(whole) for k in range(2)]
+    rows.append((90, "http://i.org/1", "<html><body><article><p>text 0</p></article><div class=related-posts><article>no</article></div><div class=comments><article class=comment><p>no</p></article></div></body></html>"))
+    got = {r.page_id: r.text for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i % 10}" for i, _, _ in rows}

@@ -191,24 +191,42 @@ def merge(a: Node, b: Node) -> Node:
     return Node(a.kind, often, fold(out), None)
 
 
-def marked(kind: str) -> bool:
-    name = re.split(r"[.#@]", kind)[0]
-    return name in NEVER or any(w in MARKS for part in re.split(r"[.#@]", kind)[1:] for w in re.split(r"[-_:]+", part))
+def name_of(kind: str) -> str:
+    return re.split(r"[.#@]", kind)[0]
+
+
+def marked(kind: str, exact: bool = False) -> bool:
+    """Whether the kind names what is not the article. exact: by a whole class, id or role, not by a part of one."""
+    return name_of(kind) in NEVER or any(w in MARKS for part in re.split(r"[.#@]", kind)[1:] for w in ([part] if exact else re.split(r"[-_:]+", part)))
+
+
+def is_article(kind: str) -> bool:
+    return name_of(kind) in ("article", "main") or "@main" in kind or "@article" in kind
 
 
 def article_slots(wrapper: Node) -> tuple[list[str], list[str]]:
-    """Paths of the article's slots, and paths of other texts that vary and stand in nothing that is marked."""
+    """Paths of the article's slots, and paths of other texts that vary and stand in nothing that is marked.
+
+    html and body are marked by nothing; article, main and what holds all of the wrapper's articles only by a whole name.
+    """
     inside, beside = [], []
 
+    def articles(node: Node) -> int:
+        """Of outermost articles; counted once for each element."""
+        return sum(1 if is_article(c.kind) else articles(c) for c in node.children if c.kind != "#text")
+
+    every = articles(wrapper)
+
     def walk(node: Node, path: str, off: bool, article: bool):
         for c in node.children:
             if c.kind == "#text":
                 if not off:
                     (inside if article else beside if c.text is None else []).append(path)
                 continue
-            name = re.split(r"[.#@]", c.kind)[0]
-            is_article = article or name in ("article", "main") or "@main" in c.kind or "@article" in c.kind
-            walk(c, f"{path}/{c.kind}", off or marked(c.kind) or (name == "header" and not article), is_article)
+            name, own = name_of(c.kind), is_article(c.kind)
+            holds_all = own or (not article and every and articles(c) == every)
+            not_it = False if name in ("html", "body") else marked(c.kind, exact=bool(holds_all))
+            walk(c, f"{path}/{c.kind}", off or not_it or (name == "header" and not article), article or own)
 
     walk(wrapper, "", False, False)
     return sorted(set(inside)), sorted(set(beside))
