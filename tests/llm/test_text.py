@@ -398,3 +398,22 @@ def test_compound_classes_of_whole_pages_do_not_hide_the_article(spark):
     rows.append((90, "http://i.org/1", "<html><body><article><p>text 0</p></article><div class=related-posts><article>no</article></div><div class=comments><article class=comment><p>no</p></article></div></body></html>"))
     got = {r.page_id: r.text for r in extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"text {i % 10}" for i, _, _ in rows}
+
+
+def test_html_of_hosts_without_article(spark):
+    wrap = "<html><body><div class=menu>m</div><div><p>template</p></div>{}</body></html>"
+    start = "w " * 60
+    rows = [
+        (1, "http://a.org/1", "<div><h1>T</h1><p>a</p></div>"),
+        (2, "http://b.org/1", wrap.format(f"<h1>{start}one</h1><blockquote>lone</blockquote>")),
+        (3, "http://b.org/2", wrap.format(f"<h1>{start}two</h1><pre>code</pre>")),
+        (4, "http://b.org/3", wrap.format("<h1>three</h1>")),
+        (5, "http://c.org/1", "<div><h1>T</h1><p>a</p></div>"),
+        (6, "http://c.org/2", "<div><h1>T</h1><p>a</p></div>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    expect = {1: "T\n\na", 2: f"{start}one\n\nlone", 3: f"{start}two\n\ncode", 4: "three", 5: "T\n\na", 6: "T\n\na"}
+    for parts in (1, 6):
+        assert {r.page_id: r.text for r in extract_articles(pages.repartition(parts)).collect()} == expect
+    two = extract_articles(pages.where("page_id in (2, 3)")).collect()
+    assert {r.page_id: r.text for r in two} == {i: expect[i] for i in (2, 3)}

@@ -10,9 +10,11 @@ The wrapper tells which slots are the article; every page is then read along it.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,19 +39,22 @@ MARKS = set("ad ads adbox advert advertisement adverts sponsor sponsored promo b
 
 
 class Node:
-    """An element: kind, how often ('' once, ? at most once, + and * repeated), children; a text is a child of kind #text."""
+    """An element: kind, how often ('' once, ? at most once, + and * repeated), children; a text is a child of kind #text.
 
-    __slots__ = ("kind", "often", "children", "text")
+    text: a hash of the whole text if all pages that have one there have the same; seen: on one page, or on 2 and more.
+    """
+
+    __slots__ = ("kind", "often", "children", "text", "seen")
 
-    def __init__(self, kind: str, often: str = "", children=None, text: str | None = None):
-        self.kind, self.often, self.children, self.text = kind, often, children if children is not None else [], text
+    def __init__(self, kind: str, often: str = "", children=None, text: str | None = None, seen: int = 1):
+        self.kind, self.often, self.children, self.text, self.seen = kind, often, children if children is not None else [], text, seen
 
     def plain(self):
-        return [self.kind, self.often, self.text, [c.plain() for c in self.children]]
+        return [self.kind, self.often, self.text, [c.plain() for c in self.children], self.seen]
 
     @staticmethod
     def of(x) -> Node:
-        return Node(x[0], x[1], [Node.of(c) for c in x[3]], x[2])
+        return Node(x[0], x[1], [Node.of(c) for c in x[3]], x[2], x[4])
 
     def pattern(self) -> str:
         if self.kind == "#text":
@@ -116,6 +121,10 @@ def events(page: str):
     yield from close(0)
 
 
+def text_hash(text: str) -> str:
+    return hashlib.blake2b(SPACE.sub(" ", text.strip()).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def tree(page: str) -> Node:
     """The page as a wrapper of its own: repeated neighbours folded."""
     root = Node("#page")
@@ -130,7 +139,7 @@ def tree(page: str) -> Node:
                 if top.children and top.children[-1].kind == "#text":
                     top.children[-1].text = None
                 else:
-                    top.children.append(Node("#text", text=SPACE.sub(" ", text.strip())[:80]))
+                    top.children.append(Node("#text", text=text_hash(text)))
         else:
             node = Node(kind)
             top.children.append(node)
@@ -140,7 +149,7 @@ def tree(page: str) -> Node:
 
 
 def repeated(a: Node, b: Node, often: str) -> Node:
-    out = merge(a, b)
+    out = merge(a, b, max)
     out.often = often
     return out
 
@@ -161,18 +170,19 @@ def fold(children: list[Node]) -> list[Node]:
 
 
 def optional(c: Node) -> Node:
-    return Node(c.kind, {"": "?", "+": "*"}.get(c.often, c.often) if c.kind != "#text" else "", c.children, c.text)
+    return Node(c.kind, {"": "?", "+": "*"}.get(c.often, c.often) if c.kind != "#text" else "", c.children, c.text, c.seen)
 
 
-def merge(a: Node, b: Node) -> Node:
-    """The wrapper of both: children aligned in order (longest common subsequence of kinds)."""
+def merge(a: Node, b: Node, seen=lambda x, y: min(2, x + y)) -> Node:
+    """The wrapper of both: children aligned in order (longest common subsequence of kinds). seen: on how many pages what
+    both have is; places of one page are put together by max."""
     both = a.often + b.often
     often = "*" if "*" in both or ("?" in both and "+" in both) else "+" if "+" in both else "?" if "?" in both else ""
     if a.kind == "#text":
-        return Node("#text", "", [], a.text if a.text == b.text else None)
+        return Node("#text", "", [], a.text if a.text == b.text else None, seen(a.seen, b.seen))
     x, y = a.children, b.children
     if [c.kind for c in x] == [c.kind for c in y]:
-        return Node(a.kind, often, [merge(c, d) for c, d in zip(x, y)], None)
+        return Node(a.kind, often, [merge(c, d, seen) for c, d in zip(x, y)], None)
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -180,7 +190,7 @@ def merge(a: Node, b: Node) -> Node:
     out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].kind == y[j].kind:
-            out.append(merge(x[i], y[j]))
+            out.append(merge(x[i], y[j], seen))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and table[i + 1][j] >= table[i][j + 1]):
             out.append(optional(x[i]))
@@ -205,11 +215,14 @@ def is_article(kind: str) -> bool:
 
 
 def article_slots(wrapper: Node) -> tuple[list[str], list[str]]:
-    """Paths of the article's slots, and paths of other texts that vary and stand in nothing that is marked.
+    """Paths of the article's texts, and paths of other texts that are no template and stand in nothing that is marked.
+
+    A text is a template if it is on two pages or more and the same on all that have its path; where all pages of a host
+    are alike, nothing is. What is below article and main is the article's, template or not: its headings may well recur.
 
     html and body are marked by nothing; article, main and what holds all of the wrapper's articles only by a whole name.
     """
-    inside, beside = [], []
+    inside, beside, alike = [], [], []
 
     def articles(node: Node) -> int:
         """Of outermost articles; counted once for each element."""
@@ -221,7 +234,7 @@ def article_slots(wrapper: Node) -> tuple[list[str], list[str]]:
         for c in node.children:
             if c.kind == "#text":
                 if not off:
-                    (inside if article else beside if c.text is None else []).append(path)
+                    (inside if article else beside if c.text is None or c.seen < 2 else alike).append(path)
                 continue
             name, own = name_of(c.kind), is_article(c.kind)
             holds_all = own or (not article and every and articles(c) == every)
@@ -229,7 +242,7 @@ def article_slots(wrapper: Node) -> tuple[list[str], list[str]]:
             walk(c, f"{path}/{c.kind}", off or not_it or (name == "header" and not article), article or own)
 
     walk(wrapper, "", False, False)
-    return sorted(set(inside)), sorted(set(beside))
+    return sorted(set(inside)), sorted(set(beside or ([] if inside else alike)))
 
 
 def article_text(page: str, inside: set[str], beside: set[str]) -> str:
@@ -280,7 +293,8 @@ def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
         yield out()
 
     def joined(group: pa.Table) -> Node:
-        parts = [Node.of(json.loads(w)) for w in sorted(set(group.column("wrapper").to_pylist()))]
+        often = Counter(group.column("wrapper").to_pylist())
+        parts = [Node.of(json.loads(w)) for w in sorted(often) for _ in range(min(2, often[w]))]  # a third adds nothing
         out = parts[0]
         for p in parts[1:]:
             out = merge(out, p)
