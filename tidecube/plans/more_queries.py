@@ -64,7 +64,7 @@ def s23(spark, sf):
 @query("k1_k3_parquet", CUBE_SUMS)
 def k1(spark, sf):
     at = fresh(spark)
-    demand(spark, sf).coalesce(1).write.mode("overwrite").parquet(at)
+    demand(spark, sf).write.mode("overwrite").parquet(at)
     return sums(spark.read.parquet(at))
 
 
