@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidecube.llm.common import free_memory, written
 from tidecube.llm.tokens import default_path, encoder, slices, with_ends
 
-PIECE = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 FIELDS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
@@ -47,7 +46,7 @@ class Windows:
             if take:
                 self.open[w].append((doc_id, start, ids[start : start + take], n))
                 start += take
-            if gap == take or not take or (take == gap):
+            if gap == take or not take:
                 yield self.open.pop(w)
             else:
                 bisect.insort(self.gaps, (gap - take, w))
@@ -56,24 +55,28 @@ class Windows:
         return [self.open[w] for w in sorted(self.open)]
 
 
-def rows_of(windows, schema: pa.Schema, number, extra: dict | None = None):
-    """A record batch with a row for each piece; number(k): the id of the k-th window."""
-    out: dict = {name: [] for name in schema.names}
-    for k, pieces in enumerate(windows):
-        offset = 0
-        for doc_id, start, ids, total in pieces:
-            for name, v in (("doc_id", doc_id), ("start", start), ("length", len(ids)), ("ids", ids), ("doc_tokens", total), ("sequence_id", number(k)), ("offset", offset)):
-                out[name].append(v)
-            for name, v in (extra or {}).items():
-                out[name].append(v)
-            offset += len(ids)
-    ids = out["ids"]
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.empty(0, np.int32))
-    return pa.RecordBatch.from_arrays([lists if f.name == "ids" else pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-
-def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64, min_cut: int = 8, merge: int = 16, tokenizer: str | None = None, lean: bool = False, special: bool = False) -> DataFrame:
+def rows_of(windows: list, schema: pa.Schema, first: int, task: int | None = None) -> pa.RecordBatch:
+    """A record batch with a row for each piece; windows are numbered from first on."""
+    pieces = [p for w in windows for p in w]
+    per = np.array([len(w) for w in windows], np.int64)
+    length = np.array([len(p[2]) for p in pieces], np.int64)
+    ends = np.cumsum(length)
+    begins = ends - length
+    heads = begins[np.cumsum(per) - per] if len(pieces) else begins
+    flat = np.concatenate([p[2] for p in pieces]) if pieces else np.empty(0, np.int32)
+    offsets = np.concatenate([[0], ends])
+    if pa.types.is_binary(schema.field("ids").type):
+        ids = pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(flat.astype("<u4"))])
+    else:
+        ids = pa.ListArray.from_arrays(offsets.astype(np.int32), flat)
+    columns = {
+        "doc_id": [p[0] for p in pieces], "start": [p[1] for p in pieces], "length": length, "ids": ids, "doc_tokens": [p[3] for p in pieces],
+        "sequence_id": np.repeat(first + np.arange(len(windows)), per), "offset": begins - np.repeat(heads, per), "task": [task] * len(pieces),
+    }
+    return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
+
+
+def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64, min_cut: int = 8, merge: int = 16, tokenizer: str | None = None, lean: bool = False, special: bool = False, binary: bool = False) -> DataFrame:
     """Pieces of docs(doc_id, text): doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Each partition keeps open_windows windows. A document's whole windows are sequences of their own; its rest goes to
@@ -81,12 +84,15 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
     min_cut ids. What is left open at the end is merged, the leftovers of `merge` partitions at a time, by cutting; the
     end of each such merge becomes sequences whose lengths are powers of two, which need no padding.
     special: special tokens in texts are encoded as such, as the tokenizer's library does; else as plain text.
+    binary: ids are their little-endian unsigned 32-bit integers instead of an array.
     lean: memory goes back to the system after every few texts, a tenth slower, for workers that keep much from other stages.
     Null and empty texts are one piece with end_id alone; a null doc_id is kept; repeated rows are packed each; extra
     columns are dropped; an empty table gives no pieces.
     """
     path = tokenizer or default_path()
-    schema = pa.schema([*FIELDS, ("task", pa.int64())])
+    plain = pa.schema([(n, pa.binary() if n == "ids" and binary else t) for n, t in FIELDS])
+    schema = plain.append(pa.field("task", pa.int64()))
+    piece = f"doc_id long, start long, length long, ids {'binary' if binary else 'array<int>'}, doc_tokens long, sequence_id long, offset long"
 
     def first(batches):
         from pyspark import TaskContext
@@ -104,20 +110,20 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
                     begin = end
                 for k in range(0, len(done), 512):
                     part = done[k : k + 512]
-                    yield rows_of(part, schema, lambda j, m=made: (task << 36) + m + j, {"task": None})
+                    yield rows_of(part, schema, (task << 36) + made)
                     made += len(part)
                 del ids, done, texts
                 if lean:
                     free_memory()
         if left := windows.rest():
-            yield rows_of(left, schema, lambda j: (task << 36) + made + j, {"task": task})
+            yield rows_of(left, schema, (task << 36) + made, task)
         free_memory()
 
     def last(group: pa.Table) -> pa.Table:
         from_rows = sorted(group.to_pylist(), key=lambda r: (r["sequence_id"], r["offset"]))
         number, done, window, room = int(from_rows[0]["task"]) // merge, [], [], size
         for r in from_rows:
-            ids, at = np.asarray(r["ids"], np.int32), 0
+            ids, at = np.frombuffer(r["ids"], "<i4") if binary else np.asarray(r["ids"], np.int32), 0
             while at < len(ids):
                 part = ids[at : at + room]
                 window.append((r["doc_id"], r["start"] + at, part, r["doc_tokens"]))
@@ -138,10 +144,9 @@ def pack(docs: DataFrame, end_id: int, size: int = 1024, open_windows: int = 64,
                 room -= take
             done.append(cut)
             window = rest
-        plain = pa.schema(FIELDS)
-        return pa.Table.from_batches([rows_of(done, plain, lambda j: (1 << 62) + (number << 32) + j)])
+        return pa.Table.from_batches([rows_of(done, plain, (1 << 62) + (number << 32))])
 
-    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, f"{PIECE}, task long"), "pieces")
+    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, f"{piece}, task long"), "pieces")
     closed = pieces.where("task is null").drop("task")
-    merged = pieces.where("task is not null").groupBy(F.expr(f"task div {merge}")).applyInArrow(last, PIECE)
+    merged = pieces.where("task is not null").groupBy(F.expr(f"task div {merge}")).applyInArrow(last, piece)
     return closed.unionByName(merged)

@@ -107,8 +107,8 @@ def pii_digest(found: DataFrame) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"), end_id=0, special=True)
-    return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(table(spark, sf_dir, "documents"), end_id=0, special=True, binary=True)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

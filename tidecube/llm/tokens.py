@@ -11,19 +11,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stands for a line break that begins a piece while texts are cut; texts that hold it are encoded whole.
-BREAK = "\x01"
+#: Parts texts while they are cut; texts that hold it are encoded whole.
+CUT = "\x01"
 #: Parts pieces that are encoded together: always a token of its own between pieces that hold no tab.
 TAB = "\t"
 JOINED = 2000
-#: Pieces that are one word of Latin letters or figures and ASCII marks after it, but for the apostrophe: words of the
-#: tokenizer whatever Unicode version it has.
-PLAIN = re.compile(r"( ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))([!-&(-/:-@\[-`{-~]*)")
-#: Words whose ids are kept from slice to slice: those of the last two slices or more, this many at least.
-KEPT = 80_000
-#: Pieces that keep a text from being cut: empty, with white space at an end, with a tab or a stand-in inside.
-SPACES = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-APART = rf"^\x01?$|^\x01?[{SPACES}]|[{SPACES}]$|\t|(?s:.)\x01"
+#: Pieces that are a line break or none, one word of Latin letters or figures and ASCII marks after it, but for the
+#: apostrophe: words of the tokenizer whatever Unicode version it has.
+PLAIN = re.compile(r"(\n?)( ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))([!-&(-/:-@\[-`{-~]*)")
+#: Pieces whose ids are kept from slice to slice: the last ones used, this many at least.
+KEPT = 150_000
+#: Pieces that keep a text from being cut: empty but for the break or space before, with other white space at an end or a
+#: tab inside.
+SPACES = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+APART = rf"^[ \n]?$|^[ \n]?[{SPACES}]|[{SPACES}]$|\t"
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,7 +41,7 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct word of a batch once.
+    """Encodes batches of texts, each distinct piece of a batch once.
 
     The tokenizer's words never begin with white space other than one space, and a single space or line break between
     two other characters always begins a word or is one. So texts can be cut before these without changing ids. Where
@@ -48,7 +49,7 @@ class Encoder:
     encoded by itself. special: special tokens in a text are such tokens, as the library has it; else they are plain text.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = False, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -60,87 +61,81 @@ class Encoder:
         before = self.tokenizer.pre_tokenizer
         byte_level = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
         self.tab = tab[0] if len(tab) == 1 and byte_level and not any(TAB in x for x in self.added) else None
-        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.model, self.letters, self.kept = self.tokenizer.model, byte_letters(), kept
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, texts: list[str]) -> list[bytes]:
-        """Ids of words of the tokenizer, whose letters are spelled in bytes for its model."""
-        young, old, tokenize, space = self.young, self.old, self.model.tokenize, self.letters[32]
-        out = []
-        for t in texts:
-            found = young.get(t)
+    def word(self, text: str) -> bytes:
+        """Ids of a word of the tokenizer, whose letters are spelled in bytes for its model."""
+        found = self.young.get(text) or self.old.get(text)
+        if found is None:
+            spelled = (self.letters[32] + text[1:] if text[0] == " " else text) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            if text == "\n":
+                spelled = self.letters[10]
+            found = array("i", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+        self.young[text] = found
+        return found
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of each piece. Words share their ids with the pieces that have a break before or marks after them; pieces that
+        are no such words are encoded as they are, parted by tabs."""
+        table = list(map(self.young.get, texts))
+        others = []
+        for i, found in enumerate(table):
+            if found is not None:
+                continue
+            t = texts[i]
+            found = self.old.get(t)
             if found is None:
-                found = old.get(t)
-                if found is None:
-                    spelled = (space + t[1:] if t[0] == " " else t) if t.isascii() else t.encode().decode("latin-1").translate(self.letters)
-                    found = array("i", [x.id for x in tokenize(spelled)]).tobytes()
-                young[t] = found
-            out.append(found)
-        if len(young) > KEPT:
-            self.old, self.young = young, {}
-        return out
-
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after another, and the number of ids of each. Words with marks after them share the ids of
-        the word; other pieces are encoded as they are, parted by tabs."""
-        number: dict[str, int] = {}
-        parts, others = [], []
-        for i, t in enumerate(texts):
-            m = PLAIN.fullmatch(t)
-            if m:
-                marks = m[2]
-                parts.append((number.setdefault(m[1], len(number)), number.setdefault(marks, len(number)) if marks else -1))
-            else:
-                parts.append(None)
-                others.append(i)
-        known = [*self.words(list(number)), b""]
-        table = [known[p[0]] + known[p[1]] if p else b"" for p in parts]
+                m = PLAIN.fullmatch(t)
+                if m is None:
+                    others.append(i)
+                    continue
+                line, word, marks = m.groups()
+                found = self.word(word)
+                if line:
+                    found = self.word(line) + found
+                if marks:
+                    found += self.word(marks)
+            self.young[t] = table[i] = found
         for k in range(0, len(others), 8 * JOINED):
             part = others[k : k + 8 * JOINED]
             runs = [[texts[i] for i in part[j : j + JOINED]] for j in range(0, len(part), JOINED)]
             ids = np.concatenate(self.whole([TAB.join(r) + TAB for r in runs]))
             ends, data = np.flatnonzero(ids == self.tab).tolist(), ids.tobytes()
             for i, a, b in zip(part, [-1, *ends], ends):
-                table[i] = data[4 * a + 4 : 4 * b]
-        return np.frombuffer(b"".join(table), np.int32), np.array([len(x) for x in table], np.int64) // 4
+                self.young[texts[i]] = table[i] = data[4 * a + 4 : 4 * b]
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        return table
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (int32), and the number of ids of each."""
         if not texts:
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        cut = pc.replace_substring(pa.array(texts, pa.string()), "\n", " " + BREAK)
-        lists = pc.split_pattern(cut, " ")
-        del cut
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        coded = lists.values.dictionary_encode()
-        del lists
-        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        column = pa.array(texts, pa.string())
+        odd = np.asarray(pc.match_substring_regex(column, "|".join(map(re.escape, [CUT, *self.added])))) if self.tab is not None else np.ones(len(texts), bool)
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(column, " ", CUT + " "), "\n", CUT + "\n"), CUT)
+        offsets, coded = np.asarray(lists.offsets), lists.values.dictionary_encode()
+        del lists, column
+        codes = np.asarray(coded.indices)
         apart = np.asarray(pc.match_substring_regex(coded.dictionary, APART))
-        odd = {i for i, t in enumerate(texts) if BREAK in t or any(x in t for x in self.added)} if self.tab is not None else set(range(len(texts)))
         if apart.any():
-            odd |= set(np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets))[apart[codes]]).tolist())
-        if odd:
-            whole = dict(zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)])))
-            ids, counts = self.encode([t for i, t in enumerate(texts) if i not in odd])
+            odd = odd | np.logical_or.reduceat(apart[codes], offsets[:-1])
+        if odd.any():
+            some = np.flatnonzero(odd).tolist()
+            whole = dict(zip(some, self.whole([texts[i] for i in some])))
+            ids, counts = self.encode([t for i, t in enumerate(texts) if i not in whole])
             parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
-            each = [whole[i] if i in odd else next(parts) for i in range(len(texts))]
+            each = [whole[i] if i in whole else next(parts) for i in range(len(texts))]
             return np.concatenate(each).astype(np.int32), np.array([len(x) for x in each], np.int64)
-        firsts: dict[str, int] = {}
-        codes = codes.copy()
-        codes[offsets[:-1]] = [firsts.setdefault(words[c], len(words) + len(firsts)) for c in codes[offsets[:-1]].tolist()]
-        flat, size = self.pieces(["\n" + w[1:] if w[0] == BREAK else " " + w for w in words] + list(firsts))
-        begin, out = np.cumsum(size) - size, []
-        counts = np.add.reduceat(size[codes], offsets[:-1])
-        for a in range(0, len(codes), 500_000):
-            code = codes[a : a + 500_000]
-            per = size[code]
-            ends = np.cumsum(per)
-            out.append(flat[np.repeat(begin[code] - (ends - per), per) + np.arange(ends[-1])])
-        return np.concatenate(out), counts
+        table = self.pieces(coded.dictionary.to_pylist())
+        begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, table), np.int64, len(table)) // 4)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(begins, pa.array(np.frombuffer(b"".join(table), np.int32))).take(coded.indices)
+        return np.asarray(ids.values), np.diff(np.asarray(ids.offsets)[offsets].astype(np.int64))
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,7 +154,7 @@ def with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, ends
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 6 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """(row number, texts) of consecutive rows with about limit bytes at a time; null texts are empty."""
     values = batch.column(column)
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64))
