@@ -70,37 +70,36 @@ class Encoder:
 
     def word(self, text: str) -> bytes:
         """Ids of a word of the tokenizer, whose letters are spelled in bytes for its model."""
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        elif text[0] in " \n":
+            text = self.letters[ord(text[0])] + text[1:]
+        return array("i", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def part(self, text: str) -> bytes:
+        """Ids of a word that is a part of pieces."""
         found = self.young.get(text) or self.old.get(text)
         if found is None:
-            spelled = (self.letters[32] + text[1:] if text[0] == " " else text) if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            if text == "\n":
-                spelled = self.letters[10]
-            found = array("i", [x.id for x in self.model.tokenize(spelled)]).tobytes()
-        self.young[text] = found
+            found = self.young[text] = self.word(text)
         return found
 
     def pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of each piece. Words share their ids with the pieces that have a break before or marks after them; pieces that
         are no such words are encoded as they are, parted by tabs."""
-        table = list(map(self.young.get, texts))
-        others = []
+        young, old = self.young, self.old
+        table, others = list(map(young.get, texts)), []
         for i, found in enumerate(table):
-            if found is not None:
-                continue
-            t = texts[i]
-            found = self.old.get(t)
             if found is None:
-                m = PLAIN.fullmatch(t)
-                if m is None:
-                    others.append(i)
-                    continue
-                line, word, marks = m.groups()
-                found = self.word(word)
-                if line:
-                    found = self.word(line) + found
-                if marks:
-                    found += self.word(marks)
-            self.young[t] = table[i] = found
+                t = texts[i]
+                found = old.get(t)
+                if found is None:
+                    m = PLAIN.fullmatch(t)
+                    if m is None:
+                        others.append(i)
+                        continue
+                    line, word, marks = m.groups()
+                    found = self.word(t) if not (line or marks) else (self.part(line) if line else b"") + self.part(word) + (self.part(marks) if marks else b"")
+                young[t] = table[i] = found
         for k in range(0, len(others), 8 * JOINED):
             part = others[k : k + 8 * JOINED]
             runs = [[texts[i] for i in part[j : j + JOINED]] for j in range(0, len(part), JOINED)]
