@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,11 +91,17 @@ DIGIT = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
 BETWEEN = r"(?:[\s,.-]{1,3}|\s+(?:dot|point)\s+)"
 SPELLED = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b{DIGIT}(?:{BETWEEN}(?:{DIGIT}|oh|double\s{DIGIT}|[0-9]+)\b){{2,}}|(?:\bplus\s+)(?=[0-9])")
 SPELLED_PART = re.compile(rf"(?i)(plus)|(double)\s({DIGIT})|({DIGIT}|oh)\b|([0-9])|(?:^|(?<=[\s,.-]))(dot|point)\b|[^0-9a-z]+")
-BRACKETS = re.compile(r"(?i)\s*[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*")
-SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])")
-SPOKEN_PART = re.compile(r"(?i)\s+(at|dot)\s+|\s*(@)\s*")
+#: What follows is tried from its bracket, "at", @ or figure alone, and looked around from there, so no run of spaces or
+#: of words is gone over again for each of its places.
+BRACKETS = re.compile(r"(?i)[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]")
+BLANK = re.compile(r"\s*")
+DOT = re.compile(r"(?i)\s+dot\s+")
+AT = re.compile(r"(?i)(?<=\s)at(?=\s)|@")
+#: On the text before an AT, backwards: "tod" is "dot".
+BEFORE = re.compile(r"(?i)(\s*)([A-Za-z0-9._%+-]+(?:\s+tod\s+[A-Za-z0-9._%+-]+)*)")
+AFTER = re.compile(r"(?i)\s*([A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+)")
 #: A name that is no plain word: then "at" before a host is enough.
-NAME = re.compile(r"(?i)[a-z0-9]+[._%+-][a-z0-9]+|[a-z]+[0-9]+")
+NAME = re.compile(r"(?i)[a-z0-9]+(?:[._%+-][a-z0-9]+)+|[a-z]+[0-9]+")
 AT_HOST = re.compile(r"(?i)[a-z0-9]\s+at\s+[a-z0-9-]+\.[a-z0-9-]")
 SPOKEN_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9])")
 
@@ -134,15 +142,42 @@ def spelled(t: Traced) -> Traced:
     return t.rewrite(edits)
 
 
+def bracketed(text: str):
+    """Edits that put @ or . for these words or marks in brackets, with the white space around."""
+    floor = 0
+    for m in BRACKETS.finditer(text):
+        start = floor + len(text[floor : m.start()].rstrip())
+        floor = BLANK.match(text, m.end()).end()
+        yield start, floor, {"at": "@", "dot": "."}.get(m[1].lower(), m[1])
+
+
+def spoken(text: str):
+    """Edits of names "at" or @ hosts in which dots may be words; what is taken is not looked at again."""
+    floor = 0
+    for m in AT.finditer(text):
+        if m.start() < floor:
+            continue
+        before, after = BEFORE.match(text[floor : m.start()][::-1]), AFTER.match(text, m.end())
+        floor = after.end() if after else m.end()
+        if not (before and after):
+            continue
+        start, end = m.start() - before.end(), m.start() - before.start(2)
+        name, host = text[start:end], after[1]
+        if m[0] == "@" or NAME.fullmatch(name) or (re.split(r"[\s.]", host)[-1].lower() in TOP_DOMAINS and (DOT.search(name) or DOT.search(host))):
+            yield from ((d.start(), d.end(), ".") for d in DOT.finditer(text, start, end))
+            yield end, after.start(1), "@"
+            yield from ((d.start(), d.end(), ".") for d in DOT.finditer(text, after.start(1), after.end()))
+
+
+def spoken_ips(text: str):
+    for m in SPOKEN_IP.finditer(text):
+        yield from ((d.start(), d.end(), ".") for d in DOT.finditer(text, m.start(), m.end()))
+
+
 def at_and_dot(t: Traced) -> Traced:
-    t = t.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in BRACKETS.finditer(t.text)])
-    edits = []
-    for m in SPOKEN.finditer(t.text):
-        if m[2].strip() == "@" or NAME.fullmatch(m[1]) or (re.search(r"(?i)\sdot\s", m[0]) and re.split(r"[\s.]", m[0])[-1].lower() in TOP_DOMAINS):
-            edits += [(p.start(), p.end(), "." if (p[1] or "").lower() == "dot" else "@") for p in SPOKEN_PART.finditer(t.text, m.start(), m.end())]
-    t = t.rewrite([(s, e, new) for s, e, new in edits if t.text[s:e] != new])
-    edits = [(p.start(), p.end(), ".") for m in SPOKEN_IP.finditer(t.text) for p in SPOKEN_PART.finditer(t.text, m.start(), m.end())]
-    return t.rewrite([(s, e, new) for s, e, new in edits if t.text[s:e] != new])
+    for edits in (bracketed, spoken, spoken_ips):
+        t = t.rewrite([(s, e, new) for s, e, new in edits(t.text) if t.text[s:e] != new])
+    return t
 
 
 def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
@@ -158,9 +193,11 @@ def all_spans(text: str) -> list[tuple[int, int, int, bool]]:
         t = step(t)
     if t.text == text:
         return out
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for s, k, e in base_spans(t.text):
         s, e = int(t.begin[s:e].min()), int(t.end[s:e].max())
-        if not any(s2 <= s and e <= e2 for s2, _, e2 in base):
+        before = bisect_right(starts, s)
+        if not (before and reach[before - 1] >= e):
             out.append((s, k, e, False))
     return sorted(set(out))
 

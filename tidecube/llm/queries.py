@@ -100,6 +100,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
+    """n_email, n_ip, n_card, n_phone and base_sha256 are of base spans alone; spans has the added ones as well."""
     base = F.filter("spans", lambda x: x["base"])
     number = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     rows = found.select("doc_id", "spans", base.alias("base"))
