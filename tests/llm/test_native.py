@@ -9,7 +9,7 @@ from tidecube.llm.common import connected_components
 from tidecube.llm.preferences import format_preferences, neighbours
 from tidecube.llm.quality_rules import Rule, as_column, judge_quality, learn_rules
 from tidecube.llm.url_filters import Rule as UrlRule
-from tidecube.llm.url_filters import filter_urls
+from tidecube.llm.url_filters import filter_urls, with_rule
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -161,3 +161,63 @@ def test_preferences(spark):
     assert got[2].n_prefix == 2 and got[2].chosen == "" and got[2].chosen_spans == []
     assert got[6].n_prefix == 1 and got[6].rejected == "<|user|>\nsame<|end|>\n"
     assert format_preferences(data.limit(0), neighbours(data.limit(0))).count() == 0
+
+
+def test_links_of_tags_alone_with_entities_and_relative_targets(spark):
+    link = '<link rel="canonical" href="{}">'
+    bad = "http://b.net/es/x"
+    rows = [
+        (1, "http://a.org/1", f"<!-- {link.format(bad)} -->"),
+        (2, "http://a.org/2", f"<script>var x = '{link.format(bad)}'</script><textarea>{link.format(bad)}</textarea>"),
+        (3, "http://a.org/3", f"<!-- open {link.format(bad)}"),
+        (4, "http://a.org/4", link.format("http://c.org/p?a=1&amp;b=2")),
+        (5, "http://c.org/p?a=1&b=2", link.format(bad)),
+        (6, "http://c.org/d/e/f", link.format("../q")),
+        (7, "http://c.org/d/q", link.format(bad)),
+        (8, "http://d.org/x/y", link.format("./../../../z/./w/..")),
+        (9, "http://d.org/z/", link.format(bad)),
+        (10, "http://e.org/1", f"<link rel=stylesheet href=/s.css>{link.format('http://e.org/2')}<link href='{bad}' rel='nofollow CANONICAL'>"),
+        (11, "http://e.org/2", ""),
+        (12, "http://f.org", link.format("http&#58;//g.org&#x2F;1")),
+        (13, "http://g.org/1", link.format(bad)),
+        (14, "http://f.org/", None),
+        (15, "http://h.org/1", '<link rel="not-canonical" href="http://b.net/es/x"><link data-rel=canonical href="http://b.net/es/x"><meta name=refresh content="0;url=http://b.net/es/x">'),
+        (16, "http://h.org/2", link.format("mailto:x@b.net/es/")),
+        (17, "http://i.org/1?x", "<meta content='5; URL=&quot;http://b.net/es/x&quot;' http-equiv='Refresh'>"),
+        (18, "http://j.org/1?x", link.format("?y")),
+        (19, "http://j.org/1?y", link.format(bad)),
+        (20, "http://k.org/&#99999999;", link.format("http://k.org/&#99999999;&#xD800;&unknown;&")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in filter_urls(pages, RULES).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 17, 18, 19}
+
+
+def test_many_rules_are_joined_with_the_same_result(spark):
+    rng = random.Random(12)
+    label = lambda: rng.choice(["a", "b", "c", "example", "com"])
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(label() for _ in range(rng.randint(0, 3)))
+    rules = [UrlRule(rng.choice(["allow", "block"]), host(), path()) for _ in range(150)] + [UrlRule("block", "", ""), UrlRule("allow", "a", "/a")]
+    urls = spark.createDataFrame([(host() if rng.random() < 0.95 else "", path() if rng.random() < 0.9 else "", k) for k in range(600)] * 2, "host string, path string, k long")
+    plain, joined = (sorted((x.k, x.host, x.path, tuple(x.r or ())) for x in with_rule(urls, rules, n).collect()) for n in (1000, 0))
+    assert plain == joined and sum(bool(x[3]) for x in plain) > 100
+
+    def fits(r, h, p):
+        return (h == r.host or h.endswith("." + r.host)) and p.startswith(r.path)
+
+    for _, h, p, r in plain:
+        best = max((x for x in rules if fits(x, h, p)), key=lambda x: len(x.host + x.path), default=None)
+        assert r == (() if best is None else (best.host + best.path, best.verdict))
+
+
+def test_rules_are_learned_from_what_passes_the_base_limits(spark):
+    """Repetition tells bad from good only where the base limits have rejected already; what is left is told by symbols."""
+    rng = random.Random(13)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(i, ("again and again it says the very same thing " * 9 if i % 3 == 0 else words(60).replace(" ", " #$%") if i % 3 == 1 else words(90))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 2), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out, rules = judge_quality(docs, labels)
+    assert rules and not any(name == "repeat_ratio" for r in rules for name, _, _ in r.conditions)
+    assert {r.doc_id for r in out.where("kept").collect()} == {i for i, _ in rows if i % 3 == 2}

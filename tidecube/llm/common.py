@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 
 import pyarrow as pa
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in the one that driver and executors share: spark.checkpoint.dir, set here only where it
-    is unset. Whoever ends the application may delete it."""
+    is unset and all runs on one machine. Whoever ends the application may delete it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that the driver and all executors share")
         folder = "/tmp/checkpoints/tidecube"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/tidecube-{spark.sparkContext.applicationId}"
@@ -44,19 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large and small stars; DataFrame operations only.
 
     edges: columns a, b of one orderable type; null ends and loops are ignored, repeated edges count once.
     Returns node, component (the smallest node of the component); nodes without an edge are not in it.
     Each round is one or two shuffles of the edges that are left; the number of rounds follows the logarithm
-    of the longest path. Every round is written to the shared folder.
+    of the longest path, and they end when all components are stars. Every round is written to the shared folder.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     links = written(links.distinct(), "links")
-    for _ in range(max_rounds):
+    while True:
         ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up")))
         seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
         if seen.where("ups > 1 or (ups = 1 and least = 0)").isEmpty():
@@ -69,7 +72,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
         links = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

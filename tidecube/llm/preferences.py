@@ -29,7 +29,9 @@ def format_preferences(conversations: DataFrame, pairs: DataFrame, role: str = "
     conversations(conv_id, turn, role, text): turns in order of turn, then role, then text, so ties and repeated rows
     have a place. The prompt renders the turns that both begin with; the completions render the rest of each, and the
     spans are what of them counts in training. Null roles and texts are empty; rows with a null conv_id and pairs with an
-    unknown id have no result; extra columns are dropped; empty tables give an empty result. DataFrame operations only.
+    unknown id have no result; extra columns are dropped; empty tables give an empty result. Roles and texts are rendered as
+    they are: marks that stand in a text are not escaped, so a reader takes turns from the spans, not from the marks.
+    DataFrame operations only.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

@@ -219,11 +219,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, also: list[str] = []) -> t
     labels(doc_id, quality): quality 0 is bad, 1 good; null is no label. base_failed: under 20 words, or over 30 % of
     words in repeated windows. kept: not base_failed, and no rule rejects it. Null and empty texts have no words and
     fail; a doc_id that is there several times is judged row by row; extra columns but `also` are dropped; an empty table gives an
-    empty result. All labelled rows take part in learning, as counts.
+    empty result. All labelled rows that pass the base limits take part in learning, as counts.
     """
     stats = with_ratios(written(text_statistics(docs, also), "statistics"), also)
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rules = learn_rules(stats.join(known, "doc_id").withColumn("bad", (F.col("quality") == 0).cast("int")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rules = learn_rules(stats.where(~failed).join(known, "doc_id").withColumn("bad", (F.col("quality") == 0).cast("int")))
     out = stats.withColumn("base_failed", failed).withColumn("kept", ~failed & as_column(rules))
     return out, rules

@@ -11,11 +11,18 @@ from tidecube.llm.common import connected_components, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: A rule set is configuration; it is part of the plan as one conditional expression up to this size.
-MAX_RULES = 1000
+#: Up to so many rules are one conditional expression in the plan; more are joined. The result is the same.
+IN_PLAN = 1000
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*url\s*=\s*([^"'\s>]+)"""
+#: What is no tag, though it may hold the text of one.
+NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</\1\s*>|\z)"
+TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"""(?is)^<link\b.*(?<![\w-])rel\s*=\s*(?:"[^"]*(?<![\w-])canonical(?![\w-])|'[^']*(?<![\w-])canonical(?![\w-])|canonical(?![\w-]))"""
+REFRESH = r"""(?is)^<meta\b.*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""
+ATTRIBUTE = r"""(?is)(?<![\w-]){}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"']+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|amp|lt|gt|quot|apos);"
 
 
 class Rule(NamedTuple):
@@ -35,33 +42,90 @@ def path_of(url: Column) -> Column:
 
 def matching_rule(rules: list[Rule], host: Column, path: Column) -> Column:
     """The longest rule that fits as a struct(rule, verdict), or null. Among rules of one length the first listed wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.host + r.path)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):
         fits = (host == r.host) | host.endswith("." + r.host)
         found = F.when(fits & path.startswith(r.path), F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
     return found
 
 
+def with_rule(urls: DataFrame, rules: list[Rule], in_plan: int = IN_PLAN) -> DataFrame:
+    """urls(host, path, ...) with r, what matching_rule gives. Many rules are joined: every distinct host and path meets
+    those that have one of its host's endings and one of its path's beginnings, in the sizes that rules have."""
+    if len(rules) <= in_plan:
+        return urls.withColumn("r", matching_rule(rules, F.col("host"), F.col("path")))
+    spark = urls.sparkSession
+    known = spark.createDataFrame([(r.host, r.path, r.verdict, -i) for i, r in enumerate(rules)], "rule_host string, rule_path string, verdict string, early long")
+    shapes = sorted({(r.host.count(".") + 1, len(r.path)) for r in rules})
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in shapes]))
+    places = urls.select("host", "path").distinct().select("host", "path", sizes.alias("x")).where("x.k <= size(split(host, '[.]')) and x.n <= length(path)")
+    places = places.select("host", "path", F.expr("substring_index(host, '.', -x.k)").alias("rule_host"), F.expr("substring(path, 1, x.n)").alias("rule_path"))
+    rule = F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict")
+    best = places.join(known, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(rule, F.struct(F.length("rule_host") + F.length("rule_path"), "early")).alias("r"))
+    return urls.join(best, ["host", "path"], "left")
+
+
+def decoded(text: Column) -> Column:
+    """Character references (decimal, hexadecimal and the five of XML) as characters, once."""
+    code = lambda x: F.when(x.rlike("^#[xX]"), F.conv(F.substring(x, 3, 7), 16, 10)).otherwise(F.substring(x, 2, 8)).cast("long")
+    valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    numeric = lambda x: F.when(valid(code(x)), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&"), x, F.lit(";")))
+
+    def one(part: Column) -> Column:
+        x = F.regexp_extract(part, REFERENCE, 1)
+        char = F.when(x.startswith("#"), numeric(x))
+        for name, is_ in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            char = char.when(x == name, is_)
+        return F.when(x == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(x) + 2)))
+
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(F.get(parts, 0), F.concat_ws("", F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)))).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from / on without . and .. segments."""
+    start = F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step)
+    end = F.when(path.rlike(r"/[.][.]?$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.concat_ws("/", kept), end)).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
-    """Equal for spellings that reach one resource: no scheme, no fragment, host lower-cased."""
+    """Equal for spellings that reach one resource: no scheme, no fragment, host lower-cased, no dot segments, / for no path."""
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), query))
+    path = F.when(path_of(url) == "", "/").otherwise(without_dots(path_of(url)))
+    return F.when(url.contains("://"), F.concat(host_of(url), path, query))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Its value, without quotes and with character references decoded; empty where the tag has none."""
+    pattern = ATTRIBUTE.format(name)
+    return F.trim(decoded(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): url keys of a page and of its canonical link or refresh target. Relative targets are resolved against the host."""
-    target = lambda pattern: F.regexp_extract(F.coalesce("html", F.lit("")), pattern, 1)
+    """(a, b): url keys of a page and of each canonical link and refresh target in its tags, outside of comments and scripts.
+
+    Relative targets are resolved against the page's url; targets with a scheme but no host (mailto:) are none.
+    """
+    html = F.coalesce("html", F.lit(""))
     #: Plain substring tests first: most pages carry neither and never reach the regular expressions.
-    lowered = F.lower(F.coalesce("html", F.lit("")))
+    lowered = F.lower(html)
     found = pages.where(F.col("url").contains("://") & (lowered.contains("canonical") | lowered.contains("refresh")))
-    found = found.select("url", F.explode(F.array(target(CANONICAL), target(REFRESH))).alias("to")).where("to <> ''")
+    tags = found.select("url", F.explode(F.regexp_extract_all(F.regexp_replace(html, NO_TAGS, " "), F.lit(TAGS), F.lit(0))).alias("tag"))
+    tags = tags.where(F.col("tag").rlike(CANONICAL) | F.col("tag").rlike(REFRESH))
+    target = F.when(F.col("tag").rlike(CANONICAL), attribute(F.col("tag"), "href")).otherwise(F.trim(F.regexp_extract(attribute(F.col("tag"), "content"), REFRESH_URL, 1)))
+    found = tags.select("url", target.alias("to")).where(F.col("to") != "")
+    to, host, path = F.col("to"), host_of(F.col("url")), path_of(F.col("url"))
+    site = F.concat(F.lit("http://"), host)
     absolute = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
-        .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), "to"))
-        .otherwise(F.concat(F.lit("http://"), host_of(F.col("url")), F.regexp_replace(path_of(F.col("url")), r"[^/]*$", ""), F.when(path_of(F.col("url")) == "", "/").otherwise(""), "to"))
+        F.when(to.rlike(SCHEME), F.when(to.rlike(SCHEME + "//"), to))
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("/"), F.concat(site, to))
+        .when(to.startswith("?") | to.startswith("#"), F.concat(site, path, to))
+        .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), to))
     )
     return found.select(alias_key(F.col("url")).alias("a"), alias_key(absolute).alias("b"))
 
@@ -81,13 +145,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
         edges = edges.unionByName(redirects.select(alias_key(F.col("from_url")).alias("a"), alias_key(F.col("to_url")).alias("b")))
     edges = written(edges.where("a <> b").distinct(), "aliases")
     judged = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = judged.withColumn("r", matching_rule(rules, F.col("host"), F.col("path")))
+    judged = with_rule(judged, rules)
     own = judged.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     if edges.isEmpty():
         return own.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("component"))
     members = connected_components(edges)
     full = F.concat(F.lit("http://"), "node")
-    ruled = members.withColumn("v", matching_rule(rules, host_of(full), path_of(full))["verdict"])
+    ruled = with_rule(members.withColumns({"host": host_of(full), "path": path_of(full)}), rules).withColumn("v", F.col("r.verdict"))
     decided = ruled.groupBy("component").agg(
         (F.max(F.expr("coalesce(v = 'block', false)")) & ~F.max(F.expr("coalesce(v = 'allow', false)"))).alias("blocked")
     )
