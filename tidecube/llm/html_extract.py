@@ -5,7 +5,8 @@ repeated group, elements that only one side has become optional, texts that diff
 that they read, host by host, to partial wrappers; these are aligned with one another, first in salted groups and then
 per host, so what is gathered for a host is a few small trees, however many pages it has.
 
-The wrapper tells which slots are the article; every page is then read along it.
+The wrapper tells which slots are the article, by where the text that differs from page to page is; every page is then
+read along it. Nothing here recurses, so pages may nest as deep as they like.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import hashlib
 import html
 import json
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from tidecube.llm.common import written
 from tidecube.llm.url_filters import host_of
 
-TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: No part runs on over the next "<", so a page of broken tags is read in linear time.
+TOKEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
 ATTRIBUTE = re.compile(r"(?is)\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 SPACE = re.compile(r"\s+")
 
@@ -41,26 +44,65 @@ MARKS = set("ad ads adbox advert advertisement adverts sponsor sponsored promo b
 class Node:
     """An element: kind, how often ('' once, ? at most once, + and * repeated), children; a text is a child of kind #text.
 
-    text: a hash of the whole text if all pages that have one there have the same; seen: on one page, or on 2 and more.
+    text: a hash of all texts of a page there, in order, if all pages that have some have the same; seen: on one page, or on 2 and more;
+    size: code points of all texts that have met there.
     """
 
-    __slots__ = ("kind", "often", "children", "text", "seen")
+    __slots__ = ("kind", "often", "children", "text", "seen", "size")
 
-    def __init__(self, kind: str, often: str = "", children=None, text: str | None = None, seen: int = 1):
-        self.kind, self.often, self.children, self.text, self.seen = kind, often, children if children is not None else [], text, seen
+    def __init__(self, kind: str, often: str = "", children=None, text: str | None = None, seen: int = 1, size: int = 0):
+        self.kind, self.often, self.children, self.text, self.seen, self.size = kind, often, children if children is not None else [], text, seen, size
 
-    def plain(self):
-        return [self.kind, self.often, self.text, [c.plain() for c in self.children], self.seen]
+    def plain(self) -> list:
+        """The nodes in page order, each with its number of children."""
+        out, rest = [], [self]
+        while rest:
+            n = rest.pop()
+            out.append([n.kind, n.often, n.text, n.seen, n.size, len(n.children)])
+            rest += reversed(n.children)
+        return out
 
     @staticmethod
-    def of(x) -> Node:
-        return Node(x[0], x[1], [Node.of(c) for c in x[3]], x[2], x[4])
+    def of(rows: list) -> Node:
+        top, rest = Node(""), []  # rest: nodes that lack children, and how many
+        for kind, often, text, seen, size, n in rows:
+            node = Node(kind, often, [], text, seen, size)
+            (rest[-1][0] if rest else top).children.append(node)
+            if rest:
+                rest[-1][1] -= 1
+            rest.append([node, n])
+            while rest and not rest[-1][1]:
+                rest.pop()
+        return top.children[0]
 
     def pattern(self) -> str:
-        if self.kind == "#text":
-            return "#slot" if self.text is None else "#text"
-        inner = " ".join(c.pattern() for c in self.children)
-        return f"<{self.kind}>{inner}</>" if not self.often else f"(<{self.kind}>{inner}</>){self.often}"
+        out, rest = [], [(self, False)]
+        while rest:
+            n, closed = rest.pop()
+            if n.kind == "#text":
+                out.append("#slot " if n.text is None else "#text ")
+            elif closed:
+                if out[-1].endswith(" "):
+                    out[-1] = out[-1][:-1]
+                out.append(f"</>){n.often} " if n.often else "</> ")
+            else:
+                out.append(f"(<{n.kind}>" if n.often else f"<{n.kind}>")
+                rest.append((n, True))
+                rest += [(c, False) for c in reversed(n.children)]
+        return "".join(out).rstrip()
+
+
+def settled(step):
+    """The value of a generator that yields others like it where a function would call itself: their stack is a list."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
 
 
 def kind_of(name: str, attributes: str) -> str:
@@ -77,12 +119,16 @@ def events(page: str):
     Formatting inside a line is left out unless it has a class, id or role; a line break is a space.
     """
     stack: list[tuple[str, bool]] = []  # name, has an event
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by name
 
     def close(k: int):
         while len(stack) > k:
-            if stack.pop()[1]:
+            name, shown = stack.pop()
+            places[name].pop()
+            if shown:
                 yield None, None
 
+    last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=-1)
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -91,28 +137,23 @@ def events(page: str):
         name = (m[3] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                yield "#text", html.escape(m[0][9:-3], quote=False)
+                yield "#text", html.escape(m[0][9:].removesuffix("]]>"), quote=False)
             continue
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                yield from close(k)
+            if places.get(name):
+                yield from close(places[name][-1])
             continue
-        if name in CLOSES_P and (k := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
+        if name in CLOSES_P and places.get("p"):
+            yield from close(places["p"][-1])
+        if name in SELF_CLOSING and (k := last(SELF_CLOSING[name])) > last(LISTS):
             yield from close(k)
-        if name in SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in LISTS:
-                    break
-                if stack[i][0] in SELF_CLOSING[name]:
-                    yield from close(i)
-                    break
         if name in VOID:
             if name in ("br", "hr"):
                 yield "#text", " "
             continue
         kind = kind_of(name, m[4])
         shown = name not in INLINE or kind != name
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, shown))
         if shown:
             yield kind, None
@@ -133,72 +174,132 @@ def tree(page: str) -> Node:
         top = stack[-1]
         if kind is None:
             done = stack.pop()
-            done.children = fold(done.children)
+            done.children = settled(fold(done.children, True))
         elif kind == "#text":
-            if text.strip():
-                if top.children and top.children[-1].kind == "#text":
-                    top.children[-1].text = None
-                else:
-                    top.children.append(Node("#text", text=text_hash(text)))
+            if words := text.strip():
+                top.children.append(Node("#text", text=text_hash(text), size=len(words)))
         else:
             node = Node(kind)
             top.children.append(node)
             stack.append(node)
-    root.children = fold(root.children)
+    root.children = settled(fold(root.children, True))
     return root
 
 
-def repeated(a: Node, b: Node, often: str) -> Node:
-    out = merge(a, b, max)
+def repeated(a: Node, b: Node, often: str, one_page: bool):
+    out = yield aligned(a, b, max, one_page)
     out.often = often
     return out
 
 
-def fold(children: list[Node]) -> list[Node]:
+def fold(children: list[Node], one_page: bool = False):
     """Neighbours of one kind are one repeated group; so are squares of two or three kinds."""
     out: list[Node] = []
     for c in children:
         if out and out[-1].kind == c.kind:
-            out[-1] = repeated(out[-1], c, "" if c.kind == "#text" else "*" if "?" in (out[-1].often + c.often) or "*" in (out[-1].often + c.often) else "+")
+            out[-1] = yield repeated(out[-1], c, "" if c.kind == "#text" else "*" if "?" in (out[-1].often + c.often) or "*" in (out[-1].often + c.often) else "+", one_page)
             continue
         out.append(c)
         for size in (2, 3):
             if len(out) >= 2 * size and all(out[-i].kind == out[-i - size].kind for i in range(1, size + 1)):
-                out[-2 * size :] = [repeated(x, y, "" if x.kind == "#text" else "+") for x, y in zip(out[-2 * size : -size], out[-size:])]
+                both = []
+                for x, y in zip(out[-2 * size : -size], out[-size:]):
+                    both.append((yield repeated(x, y, "" if x.kind == "#text" else "+", one_page)))
+                out[-2 * size :] = both
                 break
     return out
 
 
 def optional(c: Node) -> Node:
-    return Node(c.kind, {"": "?", "+": "*"}.get(c.often, c.often) if c.kind != "#text" else "", c.children, c.text, c.seen)
+    return Node(c.kind, {"": "?", "+": "*"}.get(c.often, c.often) if c.kind != "#text" else "", c.children, c.text, c.seen, c.size)
+
+
+def merge(a: Node, b: Node) -> Node:
+    """The wrapper of both."""
+    return settled(aligned(a, b, lambda x, y: min(2, x + y)))
+
+
+#: Lists of children whose product is larger are aligned by the kinds that each has once, and between those.
+LARGE = 250_000
 
 
-def merge(a: Node, b: Node, seen=lambda x, y: min(2, x + y)) -> Node:
-    """The wrapper of both: children aligned in order (longest common subsequence of kinds). seen: on how many pages what
-    both have is; places of one page are put together by max."""
+def pairs_of(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of kinds: the longest, or between kinds that both have once if they are many."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        n, m = b - a, d - c
+        if not n or not m:
+            continue
+        if n * m > LARGE:
+            often, other = Counter(x[a:b]), Counter(y[c:d])
+            place = {k: j for j, k in enumerate(y[c:d], c)}
+            tops: list[int] = []  # patience sorting: the least last place of an increasing run of each length
+            runs: list[tuple] = []
+            for i in range(a, b):
+                if often[x[i]] == 1 and other[x[i]] == 1:
+                    k = bisect_left(tops, place[x[i]])
+                    runs[k : k + 1] = [(i, place[x[i]], runs[k - 1] if k else None)]
+                    tops[k : k + 1] = [place[x[i]]]
+            ends, run = [(b, d)], runs[-1] if runs else None
+            while run:
+                out.append(run[:2])
+                todo.append((run[0] + 1, ends[-1][0], run[1] + 1, ends[-1][1]))
+                ends.append(run[:2])
+                run = run[2]
+            if len(ends) > 1:
+                todo.append((a, ends[-1][0], c, ends[-1][1]))
+            else:  # no kind to go by: the first of each kind that follows
+                at = defaultdict(list)
+                for j in range(d - 1, c - 1, -1):
+                    at[y[j]].append(j)
+                j = c - 1
+                for i in range(a, b):
+                    while at[x[i]] and at[x[i]][-1] <= j:
+                        at[x[i]].pop()
+                    if at[x[i]]:
+                        j = at[x[i]].pop()
+                        out.append((i, j))
+            continue
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if x[a + i] == y[c + j] else max(table[i + 1][j], table[i][j + 1])
+        i = j = 0
+        while i < n and j < m:
+            if x[a + i] == y[c + j]:
+                out.append((a + i, c + j))
+                i, j = i + 1, j + 1
+            elif table[i + 1][j] >= table[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return sorted(out)
+
+
+def aligned(a: Node, b: Node, seen, one_page: bool = False):
+    """The wrapper of both: children aligned in order. seen: on how many pages what both have is; places of one page are put
+    together by max. one_page: a and b are parts of one page, whose texts follow one another."""
     both = a.often + b.often
     often = "*" if "*" in both or ("?" in both and "+" in both) else "+" if "+" in both else "?" if "?" in both else ""
     if a.kind == "#text":
-        return Node("#text", "", [], a.text if a.text == b.text else None, seen(a.seen, b.seen))
-    x, y = a.children, b.children
-    if [c.kind for c in x] == [c.kind for c in y]:
-        return Node(a.kind, often, [merge(c, d, seen) for c, d in zip(x, y)], None)
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if x[i].kind == y[j].kind else max(table[i + 1][j], table[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].kind == y[j].kind:
-            out.append(merge(x[i], y[j], seen))
-            i, j = i + 1, j + 1
-        elif j == len(y) or (i < len(x) and table[i + 1][j] >= table[i][j + 1]):
-            out.append(optional(x[i]))
-            i += 1
-        else:
-            out.append(optional(y[j]))
-            j += 1
-    return Node(a.kind, often, fold(out), None)
+        text = (text_hash(f"{a.text} {b.text}") if a.text and b.text else None) if one_page else a.text if a.text == b.text else None
+        return Node("#text", "", [], text, seen(a.seen, b.seen), a.size + b.size)
+    x, y, out, i, j = a.children, b.children, [], 0, 0
+    for k, m in [*pairs_of([c.kind for c in x], [c.kind for c in y]), (len(x), len(y))]:
+        out += [optional(c) for c in x[i:k]] + [optional(c) for c in y[j:m]]
+        if k < len(x):
+            out.append((yield aligned(x[k], y[m], seen, one_page)))
+        i, j = k + 1, m + 1
+    if len(out) > max(len(x), len(y)):
+        out = yield fold(out, one_page)
+    return Node(a.kind, often, out, None)
 
 
 def name_of(kind: str) -> str:
@@ -214,41 +315,63 @@ def is_article(kind: str) -> bool:
     return name_of(kind) in ("article", "main") or "@main" in kind or "@article" in kind
 
 
-def article_slots(wrapper: Node) -> tuple[list[str], list[str]]:
+def below(path: int, kind: str) -> int:
+    """A number for the path to an element of this kind below path."""
+    return int.from_bytes(hashlib.blake2b(path.to_bytes(8, "little", signed=True) + kind.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def article_slots(wrapper: Node, least: float = 0.2) -> tuple[list[int], list[int]]:
     """Paths of the article's texts, and paths of other texts that are no template and stand in nothing that is marked.
 
     A text is a template if it is on two pages or more and the same on all that have its path; where all pages of a host
-    are alike, nothing is. What is below article and main is the article's, template or not: its headings may well recur.
+    are alike, nothing is. Elements named article or main are the article if at least `least` of the text that is no
+    template and not marked is in them: else the name misleads, and the article is all such text. Repeated ones
+    with under a tenth of the largest's text are teasers of other articles. What is below the article's elements is the article's, template or
+    not: its headings may well recur.
 
     html and body are marked by nothing; article, main and what holds all of the wrapper's articles only by a whole name.
     """
-    inside, beside, alike = [], [], []
-
-    def articles(node: Node) -> int:
-        """Of outermost articles; counted once for each element."""
-        return sum(1 if is_article(c.kind) else articles(c) for c in node.children if c.kind != "#text")
-
-    every = articles(wrapper)
-
-    def walk(node: Node, path: str, off: bool, article: bool):
-        for c in node.children:
-            if c.kind == "#text":
-                if not off:
-                    (inside if article else beside if c.text is None or c.seen < 2 else alike).append(path)
-                continue
-            name, own = name_of(c.kind), is_article(c.kind)
-            holds_all = own or (not article and every and articles(c) == every)
-            not_it = False if name in ("html", "body") else marked(c.kind, exact=bool(holds_all))
-            walk(c, f"{path}/{c.kind}", off or not_it or (name == "header" and not article), article or own)
-
-    walk(wrapper, "", False, False)
+    order: list[tuple[Node, int]] = [(wrapper, -1)]  # nodes and the place of the one above
+    for k, (node, _) in enumerate(order):
+        order += [(c, k) for c in node.children if c.kind != "#text"]
+    own = [is_article(n.kind) for n, _ in order]
+    found = [0] * len(order)  # outermost articles in it, counted once for each element
+    for k in range(len(order) - 1, 0, -1):
+        found[order[k][1]] += 1 if own[k] else found[k]
+    every = found[0]
+
+    off, within, path = [False] * len(order), [-1] * len(order), [0] * len(order)  # within: the outermost article, itself included
+    mass: dict[int, int] = {}
+    texts = []  # (path, kind of text, article or -1)
+    for k, (node, up) in enumerate(order):
+        if up >= 0:
+            name, article = name_of(node.kind), within[up] >= 0
+            holds_all = own[k] or (not article and every and found[k] == every)
+            not_it = False if name in ("html", "body") else marked(node.kind, exact=bool(holds_all))
+            off[k] = off[up] or not_it or (name == "header" and not article)
+            within[k] = within[up] if article else k if own[k] else -1
+            path[k] = below(path[up], node.kind)
+        if not off[k]:
+            for c in node.children:
+                if c.kind == "#text":
+                    slot = c.text is None or c.seen < 2
+                    texts.append((path[k], slot, within[k]))
+                    mass[within[k]] = mass.get(within[k], 0) + (c.size if slot else 0)
+    held = {k: m for k, m in mass.items() if k >= 0}
+    if sum(held.values()) < least * sum(mass.values()):
+        held = {}
+    largest = max(held.values(), default=0)
+    held = {k for k, m in held.items() if not (order[k][0].often in ("+", "*") and 10 * m < largest)}
+    inside = [p for p, _, k in texts if k in held]
+    beside = [p for p, slot, k in texts if k not in held and slot and (k < 0 or not held)]
+    alike = [p for p, slot, k in texts if not slot]
     return sorted(set(inside)), sorted(set(beside or ([] if inside else alike)))
 
 
-def article_text(page: str, inside: set[str], beside: set[str]) -> str:
+def article_text(page: str, inside: set[int], beside: set[int]) -> str:
     """Blocks of the article in page order. A page without any slot of the host's article is read by the other slots."""
     for slots in (inside, beside):
-        blocks, path, block = [], [""], []
+        blocks, path, block = [], [(0, True)], []
 
         def flush():
             text = SPACE.sub(" ", html.unescape("".join(block))).strip()
@@ -256,18 +379,18 @@ def article_text(page: str, inside: set[str], beside: set[str]) -> str:
                 blocks.append(text)
             block.clear()
 
-        for kind, text in events(page):
+        for kind, text in events(page) if slots else ():
             if kind == "#text":
-                if path[-1] in slots:
+                if path[-1][0] in slots:
                     block.append(text)
             elif kind is None:
-                if re.split(r"[.#@]", path[-1].rpartition("/")[2])[0] not in INLINE:
+                if path.pop()[1]:
                     flush()
-                path.pop()
             else:
-                if re.split(r"[.#@]", kind)[0] not in INLINE:
+                apart = name_of(kind) not in INLINE
+                if apart:
                     flush()
-                path.append(f"{path[-1]}/{kind}")
+                path.append((below(path[-1][0], kind), apart))
         flush()
         if blocks:
             return "\n\n".join(blocks)
@@ -275,7 +398,7 @@ def article_text(page: str, inside: set[str], beside: set[str]) -> str:
 
 
 def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
-    """host, wrapper (its pattern as text), inside and beside (paths of slots) from all pages(url, html)."""
+    """host, wrapper (its pattern as text), inside and beside (numbers of paths of slots) from all pages(url, html)."""
 
     def partial(batches):
         found: dict[str, Node] = {}
@@ -306,12 +429,12 @@ def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
     def final(group: pa.Table) -> pa.Table:
         wrapper = joined(group)
         inside, beside = article_slots(wrapper)
-        return pa.table({"host": group.column("host")[:1], "wrapper": [wrapper.pattern()], "inside": pa.array([inside], pa.list_(pa.string())), "beside": pa.array([beside], pa.list_(pa.string()))})
+        return pa.table({"host": group.column("host")[:1], "wrapper": [wrapper.pattern()], "inside": pa.array([inside], pa.list_(pa.int64())), "beside": pa.array([beside], pa.list_(pa.int64()))})
 
     rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
     parts = rows.mapInArrow(partial, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salt)))
     some = parts.groupBy("host", "salt").applyInArrow(lambda t: salted(t), "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(final, "host string, wrapper string, inside array<string>, beside array<string>")
+    return some.groupBy("host").applyInArrow(final, "host string, wrapper string, inside array<long>, beside array<long>")
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
