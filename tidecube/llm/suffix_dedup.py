@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes under strings of a minimum length that an earlier document has too.
 
-The work runs over blocks of documents (dealt by a hash of doc_id) and buckets of strings (dealt by content):
+The work runs over blocks of documents (dealt by a hash of doc_id and text) and buckets of strings (dealt by content):
 
 1. Every block takes one anchor for each window of `length` bytes: the place in it whose k bytes hash lowest. Equal
    windows have equal anchors. A block sends each distinct anchor once, 5 bytes, with its number of documents.
@@ -328,11 +328,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 6 << 20
     buckets = blocks
     wide = length + (length - K)
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    copy = rows.where(F.octet_length("text") >= length).select("doc_id", F.sha2("text", 256).alias("h"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    copy = dealt.where(F.octet_length("text") >= length).select("block", "doc_id", F.sha2("text", 256).alias("h"))
     first = copy.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = written(first, "first")  # so that the join below can split what many copies of one text make large
-    copy = copy.join(first, "h").where("doc_id > first").select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "h").toDF("block", "doc_id", "h")
+    copy = copy.join(first, "h").where("doc_id > first").select("block", "doc_id", "h").toDF("block", "doc_id", "h")
 
     def send_keys(_key, group: pa.Table, copies: pa.Table) -> pa.Table:
         if not group.num_rows:
