@@ -260,15 +260,18 @@ def link_ngrams(docs: DataFrame, words: int = 5, percent: int = 80, fragments: i
 
     def divided(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
         """Members of lists that hold several components, with c, their own, and t1 and t2: the most central member of the
-        list and the most central one of another component than t1's."""
+        list and the most central one of another component than t1's. Components are dealt to classes first, and a list
+        has one best of each class, so a list of very many members is gathered nowhere; t2 is null where all are in t1's
+        class, whose members are then only met from the other side."""
         plain = lists.select("gram", "doc_id", "n", "score", "least", "most")
         own = plain.withColumn("c", F.col("doc_id"))
         if groups is not None:
             own = plain.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        each = own.groupBy("gram", "c").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("minus"), "n", "least", "most")).alias("best"))
-        first = each.groupBy("gram").agg(F.max(F.struct("best", "c")).alias("t1"), F.count("*").alias("k")).where("k > 1").drop("k")
-        second = each.join(first, "gram").where("c <> t1.c").groupBy("gram").agg(F.first("t1").alias("t1"), F.max(F.struct("best", "c")).alias("t2"))
-        return written(own.join(second, "gram"), "lists")
+        best = F.struct(F.struct("score", (-F.col("doc_id")).alias("minus"), "n", "least", "most").alias("best"), "c")
+        of_class = own.groupBy("gram", F.pmod(F.xxhash64("c"), F.lit(16)).alias("class")).agg(F.max(best).alias("t"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        tops = of_class.groupBy("gram").agg(F.sort_array(F.collect_list("t"), asc=False).alias("t"), F.min("c0").alias("c0"), F.max("c1").alias("c1")).where("c0 <> c1")
+        tops = written(tops.select("gram", F.col("t")[0].alias("t1"), F.get("t", F.lit(1)).alias("t2")), "tops")  # so that the join below can split a long list
+        return written(own.join(tops, "gram"), "lists")
 
     for _ in range(rounds):
         groups = None if found is None else join_up(groups, found)
