@@ -417,3 +417,50 @@ def test_html_of_hosts_without_article(spark):
         assert {r.page_id: r.text for r in extract_articles(pages.repartition(parts)).collect()} == expect
     two = extract_articles(pages.where("page_id in (2, 3)")).collect()
     assert {r.page_id: r.text for r in two} == {i: expect[i] for i in (2, 3)}
+
+
+def full_alignments(docs, items, least=0.5):
+    """(doc_id, item_id) of all pairs that a plain alignment of every item with every whole text finds."""
+    from tidecube.llm.decontaminate import MATCH, folded, words_of
+
+    words = {i: words_of(folded(t or ""))[0] for i, t in items}
+    out = set()
+    for d, t in docs:
+        text = words_of(folded(t or ""))[0]
+        for i, w in words.items():
+            if len(w) and align(w, text)[0] >= least * MATCH * len(w):
+                out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("edits", [0.0, 0.1, 0.2, 0.25])
+def test_decontamination_recall_against_full_alignment(spark, edits):
+    """Substitutions, insertions and deletions at a rate of edits in a document of other words."""
+    rng = random.Random(int(edits * 100) + 1)
+    common = [f"c{k}" for k in range(40)]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(rng.randint(12, 40)))) for i in range(25)]
+    docs = []
+    for d in range(250):
+        copy = []
+        for w in rng.choice(items)[1].split() if d % 2 else []:
+            x = rng.random()
+            copy += [word()] if x < edits / 2 else [] if x < 3 * edits / 4 else [w, word()] if x < edits else [w]
+        docs.append((d, " ".join([word() for _ in range(rng.randint(0, 40))] + copy + [word() for _ in range(rng.randint(0, 40))])))
+    expect = full_alignments(docs, items)
+    got = {(r.doc_id, r.item_id) for r in find_copies(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(expect) >= 60 and got <= expect and len(got) >= 0.95 * len(expect), (len(got), len(expect))
+
+
+def test_decontamination_query_against_full_alignment(spark):
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the tables")
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, sf).collect()}
+    short = [(d, t) for d, t in docs if len(t or "") < 20_000]
+    ids = {d for d, _ in short}
+    assert {x for x in got if x[0] in ids} == full_alignments(short, items) and got

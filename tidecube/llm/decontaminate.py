@@ -163,7 +163,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total, largest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
     if not total:
         return spark.createDataFrame([], schema)
     passes = -(-total // max_bytes)
