@@ -64,10 +64,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
         if seen.where("ups > 1 or (ups = 1 and least = 0)").isEmpty():
             break  # stars: every node has one edge up, to a node that has none
+        #: what is smallest is written, so that Spark can split the joins with the many edges of one node
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
