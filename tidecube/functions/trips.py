@@ -10,6 +10,7 @@ PAYMENT = {1: "Credit card", 2: "Cash", 3: "No charge", 4: "Dispute", 5: "Unknow
 RATECODE = {1: "Standard rate", 2: "JFK", 3: "Newark", 4: "Nassau or Westchester", 5: "Negotiated fare", 6: "Group ride", 99: "Unknown"}
 VENDOR = {1: "Creative Mobile Technologies", 2: "VeriFone Inc"}
 COMPANY = {"HV0002": "Juno", "HV0003": "Uber", "HV0004": "Via", "HV0005": "Lyft"}
+MONTHS = dict(enumerate("January February March April May June July August September October November December".split(), 1))
 DAYS = {1: "Sunday", 2: "Monday", 3: "Tuesday", 4: "Wednesday", 5: "Thursday", 6: "Friday", 7: "Saturday"}
 # End of fixed values.
 

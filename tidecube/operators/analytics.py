@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecube.functions import trips as fn
@@ -84,12 +84,25 @@ def top_per(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """A sample that the partitioning does not change: rows whose key hashes low."""
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.where(hashed(key, seed) < int(fraction * (1 << 32)))
+
+
+def hashed(key: str, seed: int) -> Column:
+    """32 bits of a hash that every SQL engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+
+
+def capped_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """At most `most` rows: a sample of min(1, most / rows), and of it the first in the order of the hash, so that no rows are
+    preferred. Ties of the hash go by key."""
+    total = df.agg(F.count("*").alias("total"))
+    rows = df.crossJoin(F.broadcast(total)).where(hashed(key, seed) < F.least(F.lit(1.0), F.lit(float(most)) / F.col("total")) * (1 << 32)).drop("total")
+    return rows.orderBy(hashed(key, seed), F.col(key)).limit(most)
 
 
 def balanced_sample(df: DataFrame, column: str, value, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows with the value and n without, in the order of a hash of key, tagged."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    order = [hashed(key, seed), F.col(key)]
     a = df.where(F.col(column) == value).orderBy(*order).limit(n).withColumn("sample_group", F.lit("target"))
     b = df.where(F.col(column) != value).orderBy(*order).limit(n).withColumn("sample_group", F.lit("other"))
     return a.unionByName(b)

@@ -41,9 +41,12 @@ def hvfhv_trips(raw: DataFrame, years: list[int]) -> DataFrame:
 
 
 def combined(*feeds: DataFrame) -> DataFrame:
-    """Feeds one after another, without rows that lack what the cube needs."""
+    """Feeds one after another, without rows that lack what the cube needs; an error if there is none.
+    sources.files.combined_sources reads those that are there."""
     from functools import reduce
 
+    if not feeds:
+        raise ValueError("no feeds")
     needed = [c for c in "source_id source_name pickup_hour_ts pickup_date pickup_year pickup_month pickup_hour pickup_day_of_week is_weekend PULocationID DOLocationID".split()]
     return reduce(DataFrame.unionByName, feeds).dropna(subset=needed)
 

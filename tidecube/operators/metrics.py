@@ -17,6 +17,14 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     return sums.select("n", rounded(F.sqrt(F.try_divide("sse", n)), 4).alias("rmse"), rounded(F.try_divide("sae", n), 4).alias("mae"), rounded(F.when(sst > 0, 1 - F.col("sse") / sst).otherwise(0.0), 4).alias("r2"))
 
 
+def checked_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> dict[str, float]:
+    """The row of regression_metrics; an error if no row has a label and a prediction."""
+    row = regression_metrics(df, label, prediction).first().asDict()
+    if not row["n"]:
+        raise ValueError("no rows to evaluate")
+    return row
+
+
 def with_errors(df: DataFrame) -> DataFrame:
     e = F.col("predicted_trip_count") - F.col("actual_trip_count")
     return df.withColumns({"prediction_error": e, "absolute_error": F.abs(e)})

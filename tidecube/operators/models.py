@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -37,13 +40,51 @@ def naive(test: DataFrame) -> DataFrame:
     return test.withColumn("prediction", F.col("location_dow_hour_avg"))
 
 
-def sweep(train: DataFrame, test: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """config, n, rmse, mae and r2 of the naive prediction and of each configuration on later data."""
-    rows = [("naive", *metrics.regression_metrics(naive(test)).first())]
-    for name, estimator in configurations().items():
-        if names is None or name in names:
-            rows.append((name, *metrics.regression_metrics(fit(train, estimator).transform(test)).first()))
-    return train.sparkSession.createDataFrame(rows, "config string, n long, rmse double, mae double, r2 double")
+@contextmanager
+def kept(*frames: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+    """The frames kept by executors while they are read again and again, and given up after, whatever happens."""
+    try:
+        yield [df.persist(level) for df in frames]
+    finally:
+        for df in frames:
+            df.unpersist()
+
+
+def select_and_save(train: DataFrame, test: DataFrame, folder: str, names: list[str] | None = None) -> DataFrame:
+    """Fits every configuration on train and measures it on test: config, model, selection (baseline or trainable), n, rmse,
+    mae, r2, artifact, best_of_model and best (by rmse, of what is trainable).
+
+    Each pipeline is saved below folder/models, the best once more as folder/best_pipeline, and the rows as folder/metrics
+    (CSV). Features are fitted once. An error if test has no rows.
+    """
+    spark = train.sparkSession
+    with kept(train, test) as (fit_on, measure_on):
+        features = Pipeline(stages=encoder()).fit(fit_on)
+        with kept(features.transform(fit_on), features.transform(measure_on)) as (x, y):
+            rows = [{"config": "naive", "model": "naive", "selection": "baseline", "artifact": None, **metrics.checked_metrics(naive(y))}]
+            best = None
+            for name, estimator in configurations().items():
+                if names is None or name in names:
+                    model = estimator.fit(x)
+                    whole, at = PipelineModel([*features.stages, model]), f"models/{name}"
+                    whole.write().overwrite().save(f"{folder}/{at}")
+                    rows.append({"config": name, "model": name.split("_")[0], "selection": "trainable", "artifact": at, **metrics.checked_metrics(model.transform(y))})
+                    if best is None or rows[-1]["rmse"] < best[0]:
+                        best = (rows[-1]["rmse"], whole)
+    if best is None:
+        raise ValueError("no configuration was fitted")
+    best[1].write().overwrite().save(f"{folder}/best_pipeline")
+    found = spark.createDataFrame([[r[c] for c in SELECTED] for r in rows], "config string, model string, selection string, n long, rmse double, mae double, r2 double, artifact string")
+    trained = found.where("selection = 'trainable'")
+    of_model = trained.groupBy("model").agg(F.min_by("config", F.struct("rmse", "config")).alias("of_model"))
+    top = trained.agg(F.min_by("config", F.struct("rmse", "config")).alias("top"))
+    out = found.join(of_model, "model", "left").crossJoin(F.broadcast(top))
+    out = out.select(*SELECTED, F.coalesce(F.col("config") == F.col("of_model"), F.lit(False)).alias("best_of_model"), (F.col("config") == F.col("top")).alias("best"))
+    out.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{folder}/metrics")
+    return out
+
+
+SELECTED = ["config", "model", "selection", "n", "rmse", "mae", "r2", "artifact"]
 
 
 def holdout(df: DataFrame, train_years: list[int], test_year: int) -> tuple[DataFrame, DataFrame]:

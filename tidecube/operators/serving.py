@@ -12,10 +12,30 @@ KEYS = ["source_id", "source_name", "PULocationID", "pickup_month", "pickup_day_
 
 
 def quartiles(df: DataFrame, column: str) -> DataFrame:
-    """One row of exact interpolated quartiles."""
+    """One row of exact interpolated quartiles, for tables of a known size: all distinct values meet in one task."""
     return df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int = 64) -> DataFrame:
+    """quartiles for columns of any number of distinct values: one row, q, of exact interpolated quantiles (nulls if there
+    are no values).
+
+    Values are counted, dealt to ranges of about equal size and numbered within each; only the ranges' sums meet.
+    """
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("cuts"))
+    dealt = values.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("of_part"))
+    before = sums.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy()).alias("total"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = dealt.join(F.broadcast(before), "part").withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
+    at = lambda place: F.max(F.when((F.col("begin") <= place) & (place < F.col("end")), F.col("v")))
+    pos = [(F.col("total") - 1) * F.lit(s) for s in shares]
+    found = placed.agg(F.max("total").alias("total"), *[at(near(p)).alias(f"{name}{i}") for i, p in enumerate(pos) for name, near in (("low", F.floor), ("high", F.ceil))])
+    value = lambda i, p: F.when(F.ceil(p) == F.floor(p), F.col(f"low{i}")).otherwise((F.ceil(p) - p) * F.col(f"low{i}") + (p - F.floor(p)) * F.col(f"high{i}"))
+    return found.select(F.array(*[value(i, p) for i, p in enumerate(pos)]).alias("q"))
+
+
 def banded(df: DataFrame, column: str) -> DataFrame:
     q = F.col("q")
     return df.crossJoin(F.broadcast(quartiles(df, column))).withColumn("demand_level", fn.quartile_band(F.col(column), q[0], q[1], q[2])).drop("q")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidecube.functions import trips as fn
-from tidecube.operators import analytics, cleaning, features, schema
+from tidecube.operators import cleaning, features, schema
 from tidecube.operators.schema import rounded
 from tidecube.plans.cube_queries import longs, r
 from tidecube.plans.proxies import HVFHV_CHECKS, RAW_HVFHV, RAW_YELLOW, TRIPS, YELLOW_CHECKS, raw_hvfhv, raw_yellow, table, trips
@@ -193,11 +193,6 @@ def p11(spark, sf):
     return longs(out, "PULocationID", "pickup_hour", "is_weekend_int")
 
 
-@query("p15_schema", None)
-def p15(spark, sf):
-    return schema.described(trips(spark, sf))
-
-
 @query("c15_date_stride", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE dayofyear(o_orderdate) % 7 = 1")
 def c15(spark, sf):
     from tidecube.operators.forecast import modelling_dates

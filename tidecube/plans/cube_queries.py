@@ -264,16 +264,6 @@ def u1(spark, sf):
     return t.where("source_id = 0").unionByName(t.where("source_id = 1")).groupBy("source_name").agg(F.count("*").alias("n"))
 
 
-@query("t9_hash_sample", None)
-def t9(spark, sf):
-    return analytics.hash_sample(table(spark, sf, "events"), "event_id", 0.1)
-
-
-@query("t10_balanced_sample", None)
-def t10(spark, sf):
-    return analytics.balanced_sample(table(spark, sf, "events"), "event_type", "click", "event_id", 100)
-
-
 @query("e14_hour_timestamp", f"WITH {CUBE} SELECT DISTINCT strftime(CAST(pickup_date AS TIMESTAMP) + to_hours(pickup_hour), '%Y-%m-%d %H:%M:%S') AS pickup_hour_ts FROM c")
 def e14(spark, sf):
     return hour_text(cube.with_hour_ts(demand(spark, sf)).select("pickup_hour_ts").distinct())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidecube.operators import forecast, metrics, models
 from tidecube.operators.schema import rounded
 from tidecube.plans.cube_queries import longs, r
-from tidecube.plans.proxies import FULL_GRID, GRID, ORDERS, ZONES, also_full, full_grid, orders_demand, orders_grid, table, zones
+from tidecube.plans.io_queries import fresh
+from tidecube.plans.proxies import FULL_GRID, GRID, ORDERS, ZONES, also_full, full_grid, orders_demand, orders_grid, zones
 
 QUERIES: dict = {}
 
@@ -174,4 +175,4 @@ def t12(spark, sf):
 def m6(spark, sf):
     rows = forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
     train, test = models.holdout(rows, [1995, 1996, 1997, 1998, 1999], 2000)
-    return models.sweep(train.persist(), test.persist())
+    return models.select_and_save(train, test, fresh(spark))

@@ -22,7 +22,11 @@ def query(name: str, sql: str | None):
 
 def fresh(spark) -> str:
     """A new folder in the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidecube"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that the driver and all executors share")
+        root = "/tmp/checkpoints/tidecube"
     return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidecube.operators import analytics, cube, forecast, metrics, models, schema, serving
+from tidecube.operators import cube, forecast, metrics, models, schema, serving
 from tidecube.operators.schema import rounded
 from tidecube.plans.cube_queries import INTS, longs, r
 from tidecube.plans.forecast_queries import ERRORS, NAIVE_SQL, naive_predictions
@@ -139,7 +139,7 @@ def j8(spark, sf):
 @query("j14_scalar_cross_join", "SELECT event_id, value > (SELECT quantile_cont(value, 0.5) FROM events) AS above FROM events")
 def j14(spark, sf):
     e = table(spark, sf, "events")
-    return e.crossJoin(F.broadcast(serving.quartiles(e, "value"))).select("event_id", (F.col("value") > F.col("q")[1]).alias("above"))
+    return e.crossJoin(F.broadcast(serving.exact_quantiles(e, "value", [0.25, 0.5, 0.75]))).select("event_id", (F.col("value") > F.col("q")[1]).alias("above"))
 
 
 @query("a29_source_agnostic", f"WITH {CUBE} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, sum(trip_count)::DOUBLE AS trip_count FROM c GROUP BY ALL")
@@ -172,11 +172,6 @@ def t5(spark, sf):
     return table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal").orderBy("c_nationkey", F.desc("c_acctbal"), "c_custkey").limit(50)
 
 
-@query("t11_sample_then_cap", None)
-def t11(spark, sf):
-    return analytics.hash_sample(table(spark, sf, "events"), "event_id", 0.2).orderBy("event_id").limit(500)
-
-
 @query("f2_modelling_dates", f"WITH {ORDERS} SELECT DISTINCT pickup_date FROM o WHERE dayofyear(pickup_date) % 30 = 1")
 def f2(spark, sf):
     return forecast.modelling_dates(orders_demand(spark, sf), 30)
@@ -213,9 +208,3 @@ def m9(spark, sf):
     target = forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2]), full).withColumn("zone", F.col("PULocationID").cast("string"))
     out = forecast.scored(model.transform(target).drop("zone"), zones(spark, sf))
     return out.select("PULocationID", "borough", "zone", "pickup_year", "pickup_month", "pickup_day_of_week", "pickup_hour", "predicted_trip_count", "demand_level").withColumn("prediction_timestamp", F.current_timestamp())
-
-
-@query("a32_evaluator", None)
-def a32(spark, sf):
-    rows = naive_predictions(spark, sf, full_grid).selectExpr("actual_trip_count as label", "predicted_trip_count as prediction")
-    return spark.createDataFrame(list(models.evaluated(rows).items()), "metric string, value double")

@@ -35,7 +35,7 @@ def x5(spark, sf):
 
 @query("a40_quartiles", "SELECT unnest(quantile_cont(value, [0.25, 0.5, 0.75])) AS quartile FROM events")
 def a40(spark, sf):
-    return serving.quartiles(spark.read.parquet(f"{sf}/events.parquet"), "value").select(F.explode("q").alias("quartile"))
+    return serving.exact_quantiles(spark.read.parquet(f"{sf}/events.parquet"), "value", [0.25, 0.5, 0.75]).select(F.explode("q").alias("quartile"))
 
 
 @query("x7_slice_one_source", f"WITH {BASE} SELECT PULocationID, borough, zone, predicted_trip_count, demand_level FROM s WHERE source_id = 0 AND pickup_month = 1 AND pickup_day_of_week = 2 AND pickup_hour = 8")

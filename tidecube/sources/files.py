@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecube.operators import schema
 
+log = logging.getLogger(__name__)
+
 
 def read_months(spark: SparkSession, paths: list[str], types: str) -> DataFrame:
-    """Files whose types drift, each brought to the schema before they are put together; one scan where they do not."""
+    """Files whose types drift: those of one schema are one scan, and each scan is brought to the schema before they are put
+    together. So the plan grows with the number of schemas, not with the number of months."""
     if not paths:
         raise FileNotFoundError("no input files")
-    return reduce(DataFrame.unionByName, [schema.enforce(spark.read.option("mergeSchema", "false").parquet(p), types) for p in paths])
+    alike: dict[str, list[str]] = {}
+    for p in paths:
+        alike.setdefault(spark.read.option("mergeSchema", "false").parquet(p).schema.json(), []).append(p)
+    scans = [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*group) for s, group in alike.items()]
+    return reduce(DataFrame.unionByName, [schema.enforce(df, types) for df in scans])
+
+
+def combined_sources(spark: SparkSession, paths: dict[str, str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Those of the named Parquet sources that are there, each prepared and put together. A missing one is warned of; an
+    error if there is none."""
+    found = []
+    for name, path in paths.items():
+        if exists(spark, path):
+            found.append(prepare(spark.read.parquet(path)))
+        else:
+            log.warning("%s is missing: %s", name, path)
+    if not found:
+        raise FileNotFoundError(f"none of the sources is there: {', '.join(paths)}")
+    return reduce(DataFrame.unionByName, found)
+
+
+def read_table(spark: SparkSession, path: str, name: str, kind: str = "parquet") -> DataFrame:
+    """The table at path; where that cannot be read, the catalog's table of that name."""
+    from pyspark.errors import PySparkException
+
+    try:
+        return spark.read.format(kind).load(path)
+    except PySparkException as e:
+        log.warning("%s cannot be read, taking table %s: %s", path, name, str(e).split("\n")[0])
+        return spark.table(name)
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,13 +62,53 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or a glob has anything, on any file system that Spark reads."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").head(1))
-    except AnalysisException:
-        return False
+    """Whether there is a file or folder at a path or a glob, on any file system that Spark reads; what is below is not listed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return bool(found)
+
+
+def copy_files(spark: SparkSession, pairs: list[tuple[str, str]], overwrite: bool = False) -> list[dict]:
+    """Copies files, (source, target) each, by tasks; returns source, target, action and size of each.
+
+    A target with content is skipped unless overwrite; an empty one, left by a broken copy, is replaced. A file is copied
+    to a name of its own and renamed when it is whole. A missing source is an error.
+    """
+
+    def open_fs(path: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+    def copy(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                (store, at), (to, target) = open_fs(r["source"]), open_fs(r["target"])
+                size, there = store.get_file_info(at).size, to.get_file_info(target)
+                if size is None:
+                    raise FileNotFoundError(r["source"])
+                action = "copied" if there.type == fs.FileType.NotFound else "replaced" if overwrite or not there.size else "skipped"
+                if action != "skipped":
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    to.create_dir(target.rpartition("/")[0], recursive=True)
+                    with store.open_input_stream(at) as a, to.open_output_stream(part) as b:
+                        while block := a.read(8 << 20):
+                            b.write(block)
+                    if there.type != fs.FileType.NotFound:
+                        to.delete_file(target)
+                    to.move(part, target)
+                done.append(r | {"action": action, "size": size})
+            if done:
+                yield pa.RecordBatch.from_pylist(done)
+
+    if not pairs:
+        return []
+    rows = spark.createDataFrame(pairs, "source string, target string").repartition(min(len(pairs), spark.sparkContext.defaultParallelism))
+    return [r.asDict() for r in rows.mapInArrow(copy, "source string, target string, action string, size long").collect()]
 
 
 def qualified(path: str, uri: str) -> str:
@@ -52,14 +129,15 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    """Parquet by partition; rows of one partition meet first, so that each has few files, and only partitions that df has are replaced."""
-    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Parquet by partition; rows of one partition meet first, so that each has few files, and only partitions that df has are
+    replaced. Spark splits what a hot partition gathers by size (rebalance), so no task writes all of it."""
+    df.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def write_once(df: DataFrame, path: str) -> DataFrame:
-    """df at path; if there is an output with the same columns in the same order, it is taken as it is."""
+    """df at path; if there is a finished output with the same columns in the same order, it is taken as it is."""
     spark = df.sparkSession
-    if exists(spark, path):
+    if exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         there = spark.read.parquet(path)
         if schema.same_columns(there, df.columns):
             return there
@@ -74,6 +152,26 @@ def medallion(spark: SparkSession, raw: DataFrame, folder: str, to_silver, to_go
     return write_once(to_gold(silver), f"{folder}/gold")
 
 
+def medallion_months(spark: SparkSession, months: list[str], read_month: Callable[[str], DataFrame], folder: str, to_silver, to_gold) -> DataFrame:
+    """Gold rows of all months. Each month has its own bronze, silver and gold outputs, and what is finished is not made
+    again: a run that broke off goes on at the layer and month where it was. Months that cannot be had are an error when
+    they are read, not skipped."""
+    if not months:
+        raise ValueError("no months")
+    gold = []
+    for m in months:
+        bronze = write_once(read_month(m), f"{folder}/bronze/{m}")
+        silver = write_once(to_silver(bronze), f"{folder}/silver/{m}")
+        gold.append(write_once(to_gold(silver), f"{folder}/gold/{m}"))
+    return spark.read.schema(gold[0].schema).parquet(*[f"{folder}/gold/{m}" for m in months])
+
+
+def rows_frame(spark: SparkSession, rows: list[dict], fields: list[str]) -> DataFrame:
+    """A few rows as texts, with these columns in this order: what a row lacks is null, what else it has is left out."""
+    text = lambda v: None if v is None else str(v)
+    return spark.createDataFrame([[text(r.get(f)) for f in fields] for r in rows], T.StructType([T.StructField(f, T.StringType()) for f in fields]))
+
+
 def write_single_csv(df: DataFrame, path: str) -> None:
     """For small results that one file should hold."""
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
@@ -84,9 +182,15 @@ def write_jdbc(df: DataFrame, url: str, name: str, **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=name, truncate="true", **options).mode("overwrite").save()
 
 
-def publish(df: DataFrame, name: str) -> None:
-    """Creates or replaces a catalog table."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+def publish(df: DataFrame, name: str, partition: str | None = None, order: list[str] | None = None) -> None:
+    """Creates or replaces a catalog table. partition and order lay it out by the columns that readers filter by: a folder
+    for each value, and files sorted so that row groups have narrow ranges, which is what Spark has for indexes."""
+    if partition:
+        df = df.hint("rebalance", F.col(partition))
+    if order:
+        df = df.sortWithinPartitions(*([partition] if partition else []), *order)
+    writer = df.write.mode("overwrite").format("parquet")
+    (writer.partitionBy(partition) if partition else writer).saveAsTable(name)
 
 
 def cleaning_report(steps: DataFrame) -> str:
@@ -99,3 +203,13 @@ def cleaning_report(steps: DataFrame) -> str:
         a, b = rows[0]["rows_before"], rows[-1]["rows_after"]
         lines.append(f"| all | {a:,} | {b:,} | {a - b:,} | {pct(a - b, a)} |")
     return "\n".join(lines)
+
+
+def analysis_report(table: str, files: DataFrame, columns: DataFrame, summary: DataFrame, outputs: list[str]) -> str:
+    """Markdown of a table's files (an inventory), columns (schema.described), sources (analytics.source_summary) and outputs."""
+    size = files.agg(F.count("*").alias("n"), F.count_if("is_parquet").alias("data"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    lines = [f"# {table}", "", "## Files", "", f"* files: {size['n']:,}", f"* data files: {size['data']:,}", f"* bytes: {size['bytes']:,}", "", "## Columns", "", "| column | type |", "|---|---|"]
+    lines += [f"| {r['column_name']} | {r['data_type']} |" for r in columns.collect()]
+    lines += ["", "## Sources", "", "| source | rows | trips | trips a row | zones |", "|---:|---:|---:|---:|---:|"]
+    lines += [f"| {r['source_id']} | {r['row_count']:,} | {r['trips'] or 0:,} | {r['avg_trips'] or 0:.2f} | {r['zones']:,} |" for r in summary.orderBy("source_id").collect()]
+    return "\n".join([*lines, "", "## Outputs", "", *[f"* {x}" for x in outputs]]) + "\n"
