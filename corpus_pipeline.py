@@ -34,6 +34,13 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return keyed(docs).join(gone, "row_key", "left_anti").select(*docs.columns)
 
 
+def once(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id and text. Only rows whose hash is there twice are compared."""
+    again = written(keyed(docs).where("row_key is not null").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "again")
+    single, several = (keyed(docs).join(again, "row_key", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the base limits or the learned decision list reject."""
     judged, _rules = judge_quality(keyed(docs), table(spark, sf_dir, "labels"), ["row_key"])
@@ -41,8 +48,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents that five-word shingles link at 0.8; all rows of a doc_id are one document."""
-    return without(docs, link_ngrams(docs).where("doc_id <> component_id"))
+    """Keeps the smallest doc_id of each group of documents that five-word shingles link at 0.8. All rows of a doc_id are one
+    document; of rows with equal doc_id and text one stays."""
+    return once(without(docs, link_ngrams(docs).where("doc_id <> component_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
