@@ -70,3 +70,10 @@ def test_other_texts_of_a_doc_id_are_kept(spark, tmp_path):
     docs = spark.createDataFrame([(5, f"{item} end"), (5, long), (5, None), (None, item), (6, long)], "doc_id long, text string")
     assert sorted(map(tuple, cp.decontamination(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(5, long), (5, None), (None, item), (6, long)], key=str)
     assert sorted(map(tuple, cp.quality(spark, docs, str(tmp_path)).collect()), key=str) == sorted([(5, long), (None, item), (6, long)], key=str)
+
+
+def test_repeated_rows_stay_once(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (1, long), (1, "another text"), (1, "another text"), (2, long), (3, None), (3, None), (3, ""), (None, long), (None, long)]
+    got = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, long), (1, "another text"), (3, None), (3, ""), (None, long), (None, long)], key=str)

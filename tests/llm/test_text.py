@@ -464,3 +464,13 @@ def test_decontamination_query_against_full_alignment(spark):
     short = [(d, t) for d, t in docs if len(t or "") < 20_000]
     ids = {d for d, _ in short}
     assert {x for x in got if x[0] in ids} == full_alignments(short, items) and got
+
+
+def test_rows_without_an_id_are_spread_over_files(spark):
+    docs = frame(spark, [(None, f"text {i % 40} of {i}") for i in range(400)] + [(7, f"text {i}") for i in range(100)])
+    manifest = write_records(docs, new_folder(spark), end_id=2, n_files=8)
+    assert len(manifest) >= 6 and max(m["n_docs"] for m in manifest) < 250
+    got = sorted(read_records(spark, manifest).collect(), key=lambda r: r.start)
+    order = sorted([f"text {i % 40} of {i}" for i in range(400)]) + sorted(f"text {i}" for i in range(100))
+    assert [list(r.ids) for r in got] == [x + [2] for x in reference_ids(order)]
+    assert len(write_records(docs, new_folder(spark), end_id=2, file_bytes=500)) > 8

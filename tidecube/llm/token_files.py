@@ -52,8 +52,9 @@ def open_fs(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | None = None, n_files: int | None = None, special: bool = False) -> list[dict]:
-    """Writes docs(doc_id, text) in ascending doc_id order, each with end_id, as n_files ranges of doc_id at most.
+def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | None = None, n_files: int | None = None, special: bool = False, file_bytes: int = 128 << 20) -> list[dict]:
+    """Writes docs(doc_id, text) in ascending doc_id order, each with end_id, as n_files ranges at most (so many that a range
+    has file_bytes of text or less on average, and as many as Spark's shuffles have partitions at least).
 
     Returns one manifest entry for each file: file, index, width, n_docs, n_tokens and start, the number of ids in the
     files before it. Null texts are empty, so a record always has end_id; a null doc_id sorts first and is marked in the
@@ -64,7 +65,10 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
     """
     spark = docs.sparkSession
     path = tokenizer or default_path()
-    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = n_files
+    if n is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
 
     def write(batches):
         from pyspark import TaskContext
@@ -102,7 +106,9 @@ def write_records(docs: DataFrame, folder: str, end_id: int, tokenizer: str | No
         free_memory()
 
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("index", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    ranges = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    #: ranges part rows of one doc_id, or of none, by how their texts begin, which is the order that they are to have
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = rows.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     made = ranges.mapInArrow(write, "part int, file string, index string, width int, n_docs long, n_tokens long").collect()
     manifest, start = [], 0
     for r in sorted(made, key=lambda r: r["part"]):
