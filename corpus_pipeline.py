@@ -42,9 +42,11 @@ def once(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the base limits or the learned decision list reject."""
-    judged, _rules = judge_quality(keyed(docs), table(spark, sf_dir, "labels"), ["row_key"])
-    return without_rows(docs, judged.where("not kept"))
+    """Drops what the base limits or the learned decision list reject. Rows go through with their statistics, so that no join
+    has to find them again."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    judged, _rules = judge_quality(rows, table(spark, sf_dir, "labels"), ["row"])
+    return judged.where("kept or doc_id is null").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
