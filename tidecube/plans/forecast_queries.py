@@ -40,7 +40,7 @@ def window_query(name, keys, measure, alias):
 
     @query(name, f"WITH {GRID}, m AS (SELECT {k}, month_index, avg({measure}) AS v FROM g GROUP BY ALL) SELECT {ints}, {r(f'avg(v) OVER (PARTITION BY {k} ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS {alias} FROM m")
     def f(spark, sf, grid=orders_grid):
-        out = forecast.expanding(grid(spark, sf), keys, **{alias: F.avg(F.expr(measure))})
+        out = forecast.expanding(grid(spark, sf), keys, **{alias: F.avg(F.expr(measure).cast("double"))})
         return longs(out, *keys, "month_index").withColumn(alias, rounded(alias, 4))
 
 
