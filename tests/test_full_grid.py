@@ -35,3 +35,17 @@ def test_full_grid_matches_sql(spark, tables, name):
 
 def test_sweep_has_every_configuration(spark, tables):
     assert forecast_queries.m6(spark, tables).count() == 10
+
+
+def test_saved_model_and_sweep_agree(spark, tables):
+    """The holdout's residuals are what they say, and their error is that of the sweep's same configuration."""
+    rows = registry.queries()["m8_saved_model_holdout"](spark, tables).collect()
+    assert len(rows) == 2 * 5 * 24
+    assert all(r.prediction_error == r.predicted_trip_count - r.actual_trip_count and r.absolute_error == abs(r.prediction_error) for r in rows)
+    swept = {r.config: r for r in forecast_queries.m6(spark, tables).collect()}
+    rmse = (sum(r.prediction_error**2 for r in rows) / len(rows)) ** 0.5
+    assert swept["linear_ridge"].n == len(rows) and abs(swept["linear_ridge"].rmse - rmse) < 0.001 * rmse + 0.0001
+    best = min((r for r in swept.values() if r.selection == "trainable"), key=lambda r: (r.rmse, r.config))
+    assert best.best and sum(r.best for r in swept.values()) == 1 and sum(r.best_of_model for r in swept.values()) == 3
+    plain = registry.queries()["m7_plain_forest"](spark, tables).first()
+    assert plain.n == len(rows) and 0 < plain.rmse < 10 * rmse and plain.mae <= plain.rmse
