@@ -98,7 +98,21 @@ def a30(spark, sf):
     return serving.filter_options(serving_rows(spark, sf), "pickup_hour")
 
 
-@query("x6_recommender", None)
+#: Scores of recommend() from the same cube; (x - least) / (most - least), 0 where all are alike.
+SCALED = "coalesce(({0} - min({0}) OVER ()) / nullif(max({0}) OVER () - min({0}) OVER (), 0), 0.0)"
+X6_SQL = f"""WITH {CUBE}, y AS (SELECT PULocationID, pickup_year, avg(trip_count) AS m FROM c GROUP BY ALL),
+slope AS (SELECT PULocationID, CASE WHEN count(*) > 1 THEN regr_slope(m, pickup_year) ELSE 0.0 END AS trend_slope FROM y GROUP BY 1),
+each AS (SELECT PULocationID, avg(trip_count) AS mean_demand, coalesce(stddev_samp(trip_count) / avg(trip_count), 0.0) AS demand_cv,
+  sum(CASE WHEN source_id = 0 THEN trip_count ELSE 0 END) / sum(trip_count) AS yellow_share FROM c GROUP BY 1),
+scored AS (SELECT *, {SCALED.format('mean_demand')} AS demand_score, 1 - {SCALED.format('demand_cv')} AS reliability_score, {SCALED.format('trend_slope')} AS growth_score, yellow_share AS source_score
+  FROM each JOIN slope USING (PULocationID)),
+summed AS (SELECT *, 0.4 * demand_score + 0.25 * reliability_score + 0.2 * growth_score + 0.15 * source_score AS opportunity_score FROM scored)
+SELECT PULocationID, {', '.join(f"{r(x)} AS {x}" for x in 'mean_demand demand_cv trend_slope yellow_share demand_score reliability_score growth_score source_score opportunity_score'.split())},
+  CASE WHEN opportunity_score >= 0.7 THEN 'top_pick' WHEN opportunity_score >= 0.5 THEN 'good' WHEN opportunity_score >= 0.3 THEN 'okay' ELSE 'avoid' END AS band
+FROM summed ORDER BY round(opportunity_score, 9) DESC, PULocationID LIMIT 15"""
+
+
+@query("x6_recommender", X6_SQL)
 def x6(spark, sf):
     return serving.recommend(demand(spark, sf))
 
