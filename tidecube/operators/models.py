@@ -40,11 +40,17 @@ def naive(test: DataFrame) -> DataFrame:
     return test.withColumn("prediction", F.col("location_dow_hour_avg"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. Fits are bound by computing, and the few partitions that suit its bytes would leave cores idle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @contextmanager
 def kept(*frames: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """The frames kept by executors while they are read again and again, and given up after, whatever happens."""
     try:
-        yield [df.persist(level) for df in frames]
+        yield tuple(df.persist(level) for df in frames)
     finally:
         for df in frames:
             df.unpersist()
@@ -58,7 +64,7 @@ def select_and_save(train: DataFrame, test: DataFrame, folder: str, names: list[
     (CSV). Features are fitted once. An error if test has no rows.
     """
     spark = train.sparkSession
-    with kept(train, test) as (fit_on, measure_on):
+    with kept(spread(train), spread(test)) as (fit_on, measure_on):
         features = Pipeline(stages=encoder()).fit(fit_on)
         with kept(features.transform(fit_on), features.transform(measure_on)) as (x, y):
             rows = [{"config": "naive", "model": "naive", "selection": "baseline", "artifact": None, **metrics.checked_metrics(naive(y))}]

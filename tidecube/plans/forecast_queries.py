@@ -174,5 +174,5 @@ def t12(spark, sf):
 @query("m6_model_sweep", None)
 def m6(spark, sf):
     rows = forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
-    train, test = models.holdout(rows, [1995, 1996, 1997, 1998, 1999], 2000)
+    train, test = models.holdout(rows.select("pickup_year", "label", "zone", *models.NUMBERS), [1995, 1996, 1997, 1998, 1999], 2000)
     return models.select_and_save(train, test, fresh(spark))

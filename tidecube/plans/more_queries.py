@@ -183,28 +183,36 @@ def f7(spark, sf, grid=orders_grid):
     return longs(rows, "pickup_hour")
 
 
-def labelled(spark, sf):
-    return forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string"), "is_weekend_int": F.col("is_weekend").cast("int")})
+def labelled(rows):
+    return rows.withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string"), "is_weekend_int": F.col("is_weekend").cast("int")})
+
+
+def with_features(spark, sf):
+    return labelled(forecast.with_history(full_grid(spark, sf)))
 
 
 @query("m7_plain_forest", None)
 def m7(spark, sf):
-    train, test = models.holdout(labelled(spark, sf), [1996, 1997, 1998, 1999], 2000)
-    model = models.plain_forest(train, ["PULocationID", "pickup_year", "pickup_month", "pickup_hour", "pickup_day_of_week", "is_weekend_int"])
+    names = ["PULocationID", "pickup_year", "pickup_month", "pickup_hour", "pickup_day_of_week", "is_weekend_int"]
+    train, test = models.holdout(labelled(full_grid(spark, sf)), [1996, 1997, 1998, 1999], 2000)  # needs no history
+    with models.kept(models.spread(train.select("label", *names))) as (fit_on,):
+        model = models.plain_forest(fit_on, names)
     return metrics.regression_metrics(model.transform(test))
 
 
 @query("m8_saved_model_holdout", None)
 def m8(spark, sf):
-    train, test = models.holdout(labelled(spark, sf), [1996, 1997, 1998, 1999], 2000)
-    model = models.saved(models.fit(train, models.configurations()["linear_ridge"]), fresh(spark))  # also k14
+    train, test = models.holdout(with_features(spark, sf), [1996, 1997, 1998, 1999], 2000)
+    with models.kept(models.spread(train.select("label", "zone", *models.NUMBERS))) as (fit_on,):
+        model = models.saved(models.fit(fit_on, models.configurations()["linear_ridge"]), fresh(spark))  # also k14
     return models.scored_holdout(model, test).select("PULocationID", "pickup_date", "pickup_hour", "actual_trip_count", "predicted_trip_count", "prediction_error", "absolute_error")
 
 
 @query("m9_refit_forecast", None)
 def m9(spark, sf):
     full = full_grid(spark, sf)
-    model = models.fit(labelled(spark, sf), models.configurations()["linear_plain"])
+    with models.kept(models.spread(with_features(spark, sf).select("label", "zone", *models.NUMBERS))) as (fit_on,):
+        model = models.fit(fit_on, models.configurations()["linear_plain"])
     target = forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2]), full).withColumn("zone", F.col("PULocationID").cast("string"))
     out = forecast.scored(model.transform(target).drop("zone"), zones(spark, sf))
     return out.select("PULocationID", "borough", "zone", "pickup_year", "pickup_month", "pickup_day_of_week", "pickup_hour", "predicted_trip_count", "demand_level").withColumn("prediction_timestamp", F.current_timestamp())
