@@ -168,3 +168,13 @@ def test_guard_takes_no_files_for_tables(spark, tmp_path):
 
 def test_month_names():
     assert (fn.MONTHS[1], fn.MONTHS[12], len(fn.MONTHS)) == ("January", "December", 12)
+
+
+def test_training_rows_are_spread_whole(spark):
+    """Nulls, repeated rows and an empty table: the same rows, over all cores at least."""
+    from tidecube.operators import models
+
+    for values in ([], [None, 1, 1, 2, None] * 40):
+        out = models.spread(spark.createDataFrame([(v,) for v in values], "v int").coalesce(1))
+        assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism or not values
+        assert sorted(map(str, values)) == sorted(str(r.v) for r in out.collect())
