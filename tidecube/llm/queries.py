@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidecube.llm.collocations import collocations
 from tidecube.llm.common import table
 from tidecube.llm.decontaminate import find_copies
 from tidecube.llm.html_extract import extract_articles
@@ -133,6 +134,34 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM w, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT c.*, unnest(generate_series(1, k - 1)) AS cut FROM c),
+s AS (SELECT t.lang, t.k, t.phrase, t.a, t.ws, t.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * t.a) // (x.a::HUGEINT + y.a) AS score
+      FROM cuts t JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(t.ws[1:t.cut], ' ')
+                  JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(t.ws[t.cut + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, a, unnest(flatten(list_transform(generate_series(2, k - 1), lambda m: list_transform(generate_series(1, k - m + 1), lambda i: array_to_string(ws[i:i + m - 1], ' '))))) AS phrase
+          FROM c WHERE k > 2),
+most AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, b.score::BIGINT AS score
+FROM best b JOIN n USING (lang) LEFT JOIN most m ON m.lang = b.lang AND m.phrase = b.phrase
+WHERE NOT coalesce(100::HUGEINT * m.most >= 80::HUGEINT * b.a, false)
+QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -145,9 +174,10 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     # The SQL of op10 holds while no page carries a canonical link or a refresh, as in these tables.
-    return {"op2_preferences": OP2_SQL, "op10_url_filters": OP10_SQL}
+    return {"op2_preferences": OP2_SQL, "op10_url_filters": OP10_SQL, "op13_collocations": OP13_SQL}
