@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidecube.llm.common import written
+from tidecube.llm.common import free_memory, written
 
 #: Ends of pieces, and what A-Z, these and tabs become before a text is split at spaces. No word holds a "." by then.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -26,9 +26,11 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + ENDS + b"\t", LOWER + b"." * len(ENDS) + b" ")
 END = 0  # the number of "."
 #: Bytes of text that are words at one time, and words that are counted together: what bounds a task's memory.
-TEXT_BYTES, WORDS = 4 << 20, 3_000_000
+TEXT_BYTES, WORDS = 2 << 20, 1_000_000
 #: A segment of a bitmap is 8 KB.
 SEGMENT = 16
+#: Rows that a task hands on at one time.
+ROWS = 50_000
 COUNTS = "lang string, phrase string, bucket long, n long"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32))
 
@@ -151,6 +153,12 @@ def counted(lang: str, ids: np.ndarray, numbers: Numbers, k: int, log2: int, las
             yield pa.RecordBatch.from_arrays([none, none, pa.array(found.astype(np.int64)), pa.array(n_of.astype(np.int64))], ["lang", "phrase", "bucket", "n"])
 
 
+def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def count_phrases(texts: DataFrame, k: int, log2: int, last: bool, frequent=None, buckets=None) -> DataFrame:
     """lang, phrase, bucket, n: exact counts of candidates (bucket null) and of buckets of longer ones (phrase null)."""
 
@@ -165,9 +173,10 @@ def count_phrases(texts: DataFrame, k: int, log2: int, last: bool, frequent=None
                     ids += [np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)), np.zeros(1, np.int32)]
                     n += len(tokens)
                     if n >= WORDS:
-                        yield from counted(lang, np.concatenate(ids), numbers, k, log2, last, frequent, buckets)
+                        yield from in_parts(counted(lang, np.concatenate(ids), numbers, k, log2, last, frequent, buckets))
                         numbers, ids, n = Numbers(), [np.zeros(1, np.int32)], 0
-                yield from counted(lang, np.concatenate(ids), numbers, k, log2, last, frequent, buckets)
+                yield from in_parts(counted(lang, np.concatenate(ids), numbers, k, log2, last, frequent, buckets))
+            free_memory()
 
     return texts.mapInArrow(scan, COUNTS).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
 
