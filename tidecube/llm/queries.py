@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecube.llm.collocations import collocations
-from tidecube.llm.common import table
+from tidecube.llm.common import table, written
 from tidecube.llm.decontaminate import find_copies
 from tidecube.llm.html_extract import extract_articles
 from tidecube.llm.ngram_join import link_ngrams
 from tidecube.llm.packing import pack
 from tidecube.llm.pii import find_pii, joined
 from tidecube.llm.preferences import format_preferences, neighbours
+from tidecube.llm.prefix_trie import prefix_trie, turn_labels
 from tidecube.llm.quality_rules import judge_quality
 from tidecube.llm.suffix_dedup import remove_repeats
 from tidecube.llm.token_files import new_folder, read_records, write_records
@@ -134,6 +135,43 @@ SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verd
 """
 
 
+def rebuilt(labels: DataFrame, ids: DataFrame) -> DataFrame:
+    """labels of each conversation c of ids: the first h turns of conversation c - c % 5, then c's own after its first h, with
+    h = crc32(c) % 9."""
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    cols = ["conv_id", "pos", "a", "b", "n_bytes"]
+    own = labels.where((F.col("conv_id") % 5 == 0) | (F.col("pos") > h)).select(*cols)
+    heads = labels.where("pos <= 8").withColumnRenamed("conv_id", "base")
+    others = ids.where("conv_id % 5 <> 0").select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h.alias("h"))
+    return own.unionByName(others.join(heads, "base").where("pos <= h").select(*cols))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    labels, ids = written(turn_labels(conversations), "labels"), conversations.select("conv_id").where("conv_id is not null").distinct()
+    return prefix_trie(rebuilt(labels, ids), ids)
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda s, x:
+        list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384)), 4294967295), 4294967295) % 9 AS h FROM c),
+r AS (SELECT h.conv_id, CASE WHEN h.conv_id % 5 = 0 THEN h.turns ELSE list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) END AS turns
+      FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(turns) AS length, unnest(generate_series(0, len(turns))) AS depth, turns FROM r),
+n AS (SELECT min(conv_id) AS conv_id, depth, turns[1:depth] AS path, count(*) AS n_convs, max(CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(turns[depth].text)) END) AS size,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+      FROM p GROUP BY depth, turns[1:depth]),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+full_n AS (SELECT n.*, coalesce(kids.n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+up AS (SELECT unnest(list_transform(generate_series(0, depth), lambda d: path[1:d])) AS path, n_children, n_convs, size FROM full_n),
+sums AS (SELECT path, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * size)::BIGINT AS saved_tokens FROM up GROUP BY path)
+SELECT a.conv_id, a.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens, a.ends_sha256
+FROM full_n a JOIN sums s USING (path) LEFT JOIN full_n b ON a.depth = b.depth + 1 AND b.path = a.path[1:a.depth - 1]
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -174,10 +212,11 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
+        "op11_prefix_trie": op11_prefix_trie,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     # The SQL of op10 holds while no page carries a canonical link or a refresh, as in these tables.
-    return {"op2_preferences": OP2_SQL, "op10_url_filters": OP10_SQL, "op13_collocations": OP13_SQL}
+    return {"op2_preferences": OP2_SQL, "op10_url_filters": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_collocations": OP13_SQL}
