@@ -26,7 +26,7 @@ UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 PLAIN = bytes.maketrans(UPPER + ENDS + b"\t", LOWER + b"." * len(ENDS) + b" ")
 END = 0  # the number of "."
 #: Bytes of text that are words at one time, and words that are counted together: what bounds a task's memory.
-TEXT_BYTES, WORDS = 2 << 20, 1_000_000
+TEXT_BYTES, WORDS = 1 << 20, 500_000
 #: A segment of a bitmap is 8 KB.
 SEGMENT = 16
 #: Rows that a task hands on at one time.
@@ -260,7 +260,13 @@ def scored_phrases(phrases: DataFrame, totals: DataFrame, scale: int = 2_000_000
 def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int = 4, log2_buckets: int = 26) -> DataFrame:
     """The `top` phrases of each lang: lang, rank (from 1), phrase, a, l, r, n, score, by score and a, both falling, then by
     the phrase's bytes. What frequent_phrases and scored_phrases say about odd rows holds."""
-    scored = scored_phrases(*frequent_phrases(docs, least, longest, log2_buckets))
+    scored = written(scored_phrases(*frequent_phrases(docs, least, longest, log2_buckets)), "scored")
+    #: scores lie between 0 and half the scale, so a lang has few bands; those below the band of its last rank take no part
+    band = F.expr("score div 1000")
+    bands = scored.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("band")))
+    lowest = bands.withColumn("above", above - F.col("n")).where(F.col("above") < top).groupBy("lang").agg(F.min("band").alias("lowest"))
+    near = scored.join(lowest, "lang").where(band >= F.col("lowest"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")

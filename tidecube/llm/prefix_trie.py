@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidecube.llm.common import written
 
 #: A prefix with more turns of distinct conversations at and below it is an upper level.
-SHARD_TURNS = 4096
+SHARD_TURNS = 512
 #: Shards are put together to tries of so many turns, which bounds a task's memory.
 TRIE_TURNS = 200_000
 #: Ids are joined to texts of so many at most before they meet.

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidecube.llm.collocations import collocations
 from tidecube.llm.common import table, written
 from tidecube.llm.decontaminate import find_copies
+from tidecube.llm.hash_search import nearest
 from tidecube.llm.html_extract import extract_articles
 from tidecube.llm.ngram_join import link_ngrams
 from tidecube.llm.packing import pack
@@ -172,6 +173,11 @@ FROM full_n a JOIN sums s USING (path) LEFT JOIN full_n b ON a.depth = b.depth +
 """
 
 
+def op12_hash_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -213,6 +219,7 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_hash_search": op12_hash_search,
         "op13_collocations": op13_collocations,
     }
 
