@@ -31,29 +31,31 @@ def f1(spark, sf):
 
 @query("f3_zero_filled_grid", f"WITH {GRID} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, trip_count, CAST(month_index AS BIGINT) AS month_index FROM g")
 def f3(spark, sf, grid=orders_grid):
-    return longs(grid(spark, sf).select("PULocationID", "pickup_date", "pickup_hour", "trip_count", "month_index"), "pickup_hour", "month_index")
+    return longs(grid(spark, sf).rows().select("PULocationID", "pickup_date", "pickup_hour", "trip_count", "month_index"), "pickup_hour", "month_index")
 
 
-def window_query(name, keys, measure, alias):
+def window_query(name, level, measure, alias):
+    keys = forecast.LEVELS[level][0]
+    of = "zeros" if "zero_rate" in alias else "mean"
     k = ", ".join(keys)
     ints = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in [*keys, "month_index"])
 
     @query(name, f"WITH {GRID}, m AS (SELECT {k}, month_index, avg({measure}) AS v FROM g GROUP BY ALL) SELECT {ints}, {r(f'avg(v) OVER (PARTITION BY {k} ORDER BY month_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS {alias} FROM m")
     def f(spark, sf, grid=orders_grid):
-        out = forecast.expanding(grid(spark, sf), keys, **{alias: F.avg(F.expr(measure).cast("double"))})
+        out = grid(spark, sf).expanding(level, **{alias: of})
         return longs(out, *keys, "month_index").withColumn(alias, rounded(alias, 4))
 
 
-window_query("w4_location_history", ["PULocationID"], "trip_count", "location_avg")
-window_query("w5_location_hour_history", ["PULocationID", "pickup_hour"], "trip_count", "location_hour_avg")
-window_query("w5_zero_rate_history", ["PULocationID", "pickup_hour"], "case when trip_count = 0 then 1.0D else 0.0D end".replace("1.0D", "1.0").replace("0.0D", "0.0"), "location_hour_zero_rate")
-window_query("w6_location_dow_hour_history", ["PULocationID", "pickup_day_of_week", "pickup_hour"], "trip_count", "location_dow_hour_avg")
-window_query("w7_hour_history", ["pickup_hour"], "trip_count", "hour_avg")
+window_query("w4_location_history", "location", "trip_count", "location_avg")
+window_query("w5_location_hour_history", "location_hour", "trip_count", "location_hour_avg")
+window_query("w5_zero_rate_history", "location_hour", "case when trip_count = 0 then 1.0D else 0.0D end".replace("1.0D", "1.0").replace("0.0D", "0.0"), "location_hour_zero_rate")
+window_query("w6_location_dow_hour_history", "location_dow_hour", "trip_count", "location_dow_hour_avg")
+window_query("w7_hour_history", "hour", "trip_count", "hour_avg")
 
 
 @query("f5_previous_month", f"WITH {GRID} SELECT PULocationID, CAST(pickup_hour AS BIGINT) AS pickup_hour, CAST(month_index + 1 AS BIGINT) AS month_index, {r('avg(trip_count)')} AS previous_month_location_hour_avg FROM g GROUP BY ALL")
 def f5(spark, sf, grid=orders_grid):
-    out = longs(forecast.previous_month(grid(spark, sf)), "pickup_hour", "month_index")
+    out = longs(grid(spark, sf).previous_month(), "pickup_hour", "month_index")
     return out.withColumn("previous_month_location_hour_avg", rounded("previous_month_location_hour_avg", 4))
 
 
@@ -71,13 +73,13 @@ f AS (SELECT *, coalesce(hlh_v, la) AS lh, coalesce(hld_v, hlh_v, la) AS ld, coa
 
 @query("f6_history_features", f"{FEATURES_SQL} SELECT PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, trip_count, {r('la')} AS location_avg, {r('lh')} AS location_hour_avg, {r('ld')} AS location_dow_hour_avg, {r('pmo')} AS previous_month_location_hour_avg, {r('zr')} AS location_hour_zero_rate FROM f")
 def f6(spark, sf, grid=orders_grid):
-    out = forecast.with_history(grid(spark, sf))
+    out = grid(spark, sf).with_history()
     names = ["location_avg", "location_hour_avg", "location_dow_hour_avg", "previous_month_location_hour_avg", "location_hour_zero_rate"]
     return longs(out.select("PULocationID", "pickup_date", "pickup_hour", "trip_count", *[rounded(c, 4).alias(c) for c in names]), "pickup_hour")
 
 
 def naive_predictions(spark, sf, grid=orders_grid):
-    full = forecast.with_history(grid(spark, sf)).where("pickup_year >= 1997")
+    full = grid(spark, sf).with_history().where("pickup_year >= 1997")
     return metrics.with_errors(full.withColumns({"actual_trip_count": F.col("trip_count"), "predicted_trip_count": F.round(F.col("location_dow_hour_avg").cast("decimal(30,10)"), 4).cast("double")}))
 
 
@@ -136,7 +138,7 @@ GRID12 = "s AS (SELECT zn.PULocationID, m.pickup_month, d.pickup_day_of_week, h.
 
 @query("f9_serving_grid", f"WITH {GRID}, {GRID12} SELECT PULocationID, CAST(pickup_month AS BIGINT) AS pickup_month, CAST(pickup_day_of_week AS BIGINT) AS pickup_day_of_week, CAST(pickup_hour AS BIGINT) AS pickup_hour, CAST(previous_month AS BIGINT) AS previous_month, pickup_day_of_week IN (1, 7) AS is_weekend FROM s")
 def f9(spark, sf, grid=orders_grid):
-    out = forecast.serving_grid(grid(spark, sf), 2002, [1, 2, 7]).drop("pickup_year")
+    out = forecast.serving_grid(grid(spark, sf).zones, 2002, [1, 2, 7]).drop("pickup_year")
     return longs(out, "pickup_month", "pickup_day_of_week", "pickup_hour", "previous_month")
 
 
@@ -147,7 +149,7 @@ F_INTS = "CAST(pickup_month AS BIGINT) AS pickup_month, CAST(pickup_day_of_week
 
 def future(spark, sf, grid=orders_grid):
     full = grid(spark, sf)
-    return forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2, 7]), full)
+    return forecast.forecast_features(forecast.serving_grid(full.zones, 2002, [1, 2, 7]), full)
 
 
 @query("f10_forecast_features", f"{FORECAST_SQL} SELECT PULocationID, {F_INTS}, {r('la')} AS location_avg, {r('lh')} AS location_hour_avg, {r('ld')} AS location_dow_hour_avg, {r('pm')} AS previous_month_location_hour_avg FROM f")
@@ -173,6 +175,6 @@ def t12(spark, sf):
 
 @query("m6_model_sweep", None)
 def m6(spark, sf):
-    rows = forecast.with_history(full_grid(spark, sf)).withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
+    rows = full_grid(spark, sf).with_history().withColumns({"label": F.col("trip_count"), "zone": F.col("PULocationID").cast("string")})
     train, test = models.holdout(rows.select("pickup_year", "label", "zone", *models.NUMBERS), [1995, 1996, 1997, 1998, 1999], 2000)
     return models.select_and_save(train, test, fresh(spark))

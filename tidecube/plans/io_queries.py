@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidecube.plans.proxies import CUBE, demand, table
 from tidecube.sources import files
+from tidecube.sources.files import fresh
 
 QUERIES: dict = {}
 
@@ -20,16 +19,6 @@ def query(name: str, sql: str | None):
     return add
 
 
-def fresh(spark) -> str:
-    """A new folder in the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir is unset: it names the folder that the driver and all executors share")
-        root = "/tmp/checkpoints/tidecube"
-    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
-
-
 @query("s5_row_count", "SELECT count(*) AS n FROM lineitem")
 def s5(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count("*").alias("n"))

@@ -127,7 +127,7 @@ def j2(spark, sf):
 
 @query("j4_grid_join", f"WITH {GRID} SELECT count(*) AS n, sum(trip_count) AS trips, count_if(trip_count = 0) AS zeros FROM g")
 def j4(spark, sf, grid=orders_grid):
-    return grid(spark, sf).agg(F.count("*").alias("n"), F.sum("trip_count").alias("trips"), F.count_if(F.col("trip_count") == 0).alias("zeros"))
+    return grid(spark, sf).rows().agg(F.count("*").alias("n"), F.sum("trip_count").alias("trips"), F.count_if(F.col("trip_count") == 0).alias("zeros"))
 
 
 @query("j8_holiday_orders", "SELECT holiday_name, count(*) AS n FROM orders JOIN (VALUES ('Midsummer', DATE '1996-06-24'), ('New Year', DATE '1997-01-01')) h(holiday_name, d) ON CAST(o_orderdate AS DATE) = d GROUP BY 1")
@@ -188,13 +188,13 @@ def labelled(rows):
 
 
 def with_features(spark, sf):
-    return labelled(forecast.with_history(full_grid(spark, sf)))
+    return labelled(full_grid(spark, sf).with_history())
 
 
 @query("m7_plain_forest", None)
 def m7(spark, sf):
     names = ["PULocationID", "pickup_year", "pickup_month", "pickup_hour", "pickup_day_of_week", "is_weekend_int"]
-    train, test = models.holdout(labelled(full_grid(spark, sf)), [1996, 1997, 1998, 1999], 2000)  # needs no history
+    train, test = models.holdout(labelled(full_grid(spark, sf).rows()), [1996, 1997, 1998, 1999], 2000)  # needs no history
     with models.kept(models.spread(train.select("label", *names))) as (fit_on,):
         model = models.plain_forest(fit_on, names)
     return metrics.regression_metrics(model.transform(test))
@@ -213,6 +213,6 @@ def m9(spark, sf):
     full = full_grid(spark, sf)
     with models.kept(models.spread(with_features(spark, sf).select("label", "zone", *models.NUMBERS))) as (fit_on,):
         model = models.fit(fit_on, models.configurations()["linear_plain"])
-    target = forecast.forecast_features(forecast.serving_grid(full, 2002, [1, 2]), full).withColumn("zone", F.col("PULocationID").cast("string"))
+    target = forecast.forecast_features(forecast.serving_grid(full.zones, 2002, [1, 2]), full).withColumn("zone", F.col("PULocationID").cast("string"))
     out = forecast.scored(model.transform(target).drop("zone"), zones(spark, sf))
     return out.select("PULocationID", "borough", "zone", "pickup_year", "pickup_month", "pickup_day_of_week", "pickup_hour", "predicted_trip_count", "demand_level").withColumn("prediction_timestamp", F.current_timestamp())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecube.operators import cube, features, forecast, schema
+from tidecube.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,9 +93,14 @@ def orders_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS = "o AS (SELECT CAST(c_nationkey AS BIGINT) AS PULocationID, CAST(o_orderdate AS DATE) AS pickup_date, CAST(o_orderpriority[1:1] AS BIGINT) AS pickup_hour, CAST(count(*) AS DOUBLE) AS trip_count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
-def orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_cells(demand: DataFrame) -> DataFrame:
+    """The cells of a sparse grid, written: several parts of a plan read them, orders are read once."""
+    return files.kept(forecast.cells(demand), files.fresh(demand.sparkSession))
+
+
+def orders_grid(spark: SparkSession, sf_dir: str) -> forecast.SparseGrid:
     """A sample for quick looks: zones 0 to 4 on every 30th day of the year, hours 0 to 5, zero-filled."""
-    return forecast.grid(orders_demand(spark, sf_dir).where("PULocationID < 5"), stride=30, hours=6)
+    return forecast.SparseGrid(orders_cells(orders_demand(spark, sf_dir).where("PULocationID < 5")), stride=30, hours=6)
 
 
 GRID = ORDERS + """, d5 AS (SELECT * FROM o WHERE PULocationID < 5),
@@ -103,9 +109,9 @@ g AS (SELECT zn.PULocationID, dt.pickup_date, h.pickup_hour, coalesce(d5.trip_co
   LEFT JOIN d5 ON d5.PULocationID = zn.PULocationID AND d5.pickup_date = dt.pickup_date AND d5.pickup_hour = h.pickup_hour)"""
 
 
-def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def full_grid(spark: SparkSession, sf_dir: str) -> forecast.SparseGrid:
     """All zones, dates and hours: zero-filled."""
-    return forecast.grid(orders_demand(spark, sf_dir))
+    return forecast.SparseGrid(orders_cells(orders_demand(spark, sf_dir)))
 
 
 FULL_GRID = ORDERS + """, g AS (SELECT zn.PULocationID, dt.pickup_date, h.pickup_hour, coalesce(o.trip_count, 0.0) AS trip_count, year(dt.pickup_date) AS pickup_year, month(dt.pickup_date) AS pickup_month, dayofweek(dt.pickup_date) + 1 AS pickup_day_of_week, year(dt.pickup_date) * 12 + month(dt.pickup_date) AS month_index

@@ -17,6 +17,22 @@ from tidecube.operators import schema
 log = logging.getLogger(__name__)
 
 
+def fresh(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that the driver and all executors share")
+        root = "/tmp/checkpoints/tidecube"
+    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet at a new path, read again: what several parts of a plan read is made once, and outlives executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_months(spark: SparkSession, paths: list[str], types: str) -> DataFrame:
     """Files whose types drift: those of one schema are one scan, and each scan is brought to the schema before they are put
     together. So the plan grows with the number of schemas, not with the number of months."""
