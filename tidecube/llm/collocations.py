@@ -261,8 +261,8 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int
     """The `top` phrases of each lang: lang, rank (from 1), phrase, a, l, r, n, score, by score and a, both falling, then by
     the phrase's bytes. What frequent_phrases and scored_phrases say about odd rows holds."""
     scored = written(scored_phrases(*frequent_phrases(docs, least, longest, log2_buckets)), "scored")
-    #: scores lie between 0 and half the scale, so a lang has few bands; those below the band of its last rank take no part
-    band = F.expr("score div 1000")
+    #: a lang has few bands of scores, narrow where scores are low; those below the band of its last rank take no part
+    band = F.floor(F.log(F.col("score") + 1) * 64)
     bands = scored.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("band")))
     lowest = bands.withColumn("above", above - F.col("n")).where(F.col("above") < top).groupBy("lang").agg(F.min("band").alias("lowest"))
