@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,43 @@ def step_counts(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return total.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.rows_before") - F.col("r.rows_after")).alias("rows_removed"))
 
 
+class Counted:
+    """Cleaning that counts on the way: rows are what all steps keep, and the job that writes them tells how many rows each step
+    had and kept, which columns have nulls, and whether any row is left.
+
+    The counts are there once one action over rows has ended, and they are that action's. Nothing is read for them alone. All of
+    it is counted before the first shuffle, so a task that is tried again counts once.
+    """
+
+    def __init__(self, df: DataFrame, steps: list[tuple[str, Column]], audited: list[str] | None = None):
+        self.names, self.audited = [name for name, _ in steps], df.columns if audited is None else audited
+        self._steps, self._nulls = Observation(), Observation()
+        passed, reached = F.lit(True), F.lit(0)
+        for _, condition in steps:
+            passed = passed & F.coalesce(condition, F.lit(False))
+            reached = reached + passed.cast("int")
+        at = "_steps_passed"
+        counts = [F.count("*").alias("n0"), *[F.count_if(F.col(at) >= k).alias(f"n{k}") for k in range(1, len(steps) + 1)]]
+        kept = df.withColumn(at, reached).observe(self._steps, *counts).where(F.col(at) == len(steps)).drop(at)
+        self.rows = kept.observe(self._nulls, F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{k}") for k, c in enumerate(self.audited)])
+
+    def written(self, path: str) -> DataFrame:
+        """rows as Parquet, read again; an error if none is left, after they are written."""
+        self.rows.write.mode("overwrite").parquet(path)
+        if not self._nulls.get["rows"]:
+            raise ValueError("the table has no rows")
+        return self.rows.sparkSession.read.schema(self.rows.schema).parquet(path)
+
+    def steps(self) -> list[dict]:
+        """What step_counts gives, of the action that has ended."""
+        n = [self._steps.get[f"n{k}"] for k in range(len(self.names) + 1)]
+        return [{"step": name, "step_order": k, "rows_before": n[k - 1], "rows_after": n[k], "rows_removed": n[k - 1] - n[k]} for k, name in enumerate(self.names, 1)]
+
+    def nulls(self) -> dict[str, int]:
+        """Nulls of each audited column among the rows that are kept."""
+        return {c: self._nulls.get[f"null_{k}"] for k, c in enumerate(self.audited)}
+
+
 def null_audit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name and null_count, 0 for an empty table."""
     names = columns or df.columns

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidecube.operators import cube, guard
-from tidecube.plans.cube_queries import longs
-from tidecube.plans.proxies import CUBE, demand, table, trips
-from tidecube.sources.files import fresh
+from tidecube.operators import cleaning, cube, guard, sketches
+from tidecube.plans.cleaning_queries import YEARS, counts_sql, hvfhv, yellow
+from tidecube.plans.cube_queries import SPEED, longs
+from tidecube.plans.proxies import CUBE, HVFHV_CHECKS, RAW_HVFHV, RAW_YELLOW, TRIPS, YELLOW_CHECKS, demand, table, trips
+from tidecube.sources import layout
+from tidecube.sources.files import fresh, kept
 from tidecube.sources.versions import VersionedTable
 from tidecube.streaming.ledger import MONTH, Medallion, refresh_cube
 
@@ -89,3 +91,47 @@ def x1(spark, sf):
             one = row.select("n", F.lit(False).alias("allowed"), F.lit(None).cast("long").alias("row_count"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("k13_clustered_slice", f"WITH {CUBE} SELECT CAST(source_id AS BIGINT) AS source_id, PULocationID, pickup_date, CAST(pickup_hour AS BIGINT) AS pickup_hour, trip_count FROM c WHERE (PULocationID = 7 AND pickup_day_of_week IN (2, 3)) OR (pickup_hour = 5 AND pickup_month = 1)")
+def k13(spark, sf):
+    """Two slices by different columns of a cube that lies along a curve of four."""
+    at = fresh(spark)
+    layout.write_clustered(demand(spark, sf), at, ["PULocationID", "pickup_month", "pickup_day_of_week", "pickup_hour"], bits=5, bloom=["PULocationID"])
+    return cells(spark.read.parquet(at).where("(PULocationID = 7 and pickup_day_of_week in (2, 3)) or (pickup_hour = 5 and pickup_month = 1)"))
+
+
+def observed_counts(spark, rows, steps):
+    cleaner = cleaning.Counted(rows, steps)
+    cleaner.written(fresh(spark))
+    return spark.createDataFrame(cleaner.steps(), "step string, step_order long, rows_before long, rows_after long, rows_removed long")
+
+
+@query("c8_observed_counts", counts_sql(RAW_YELLOW, YELLOW_CHECKS))
+def c8(spark, sf):
+    """Step counts of the job that writes the cleaned rows."""
+    return observed_counts(spark, yellow(spark, sf), cleaning.yellow_steps(YEARS))
+
+
+@query("c13_observed_counts", counts_sql(RAW_HVFHV, HVFHV_CHECKS))
+def c13(spark, sf):
+    return observed_counts(spark, hvfhv(spark, sf), cleaning.hvfhv_steps(YEARS))
+
+
+PROFILED = ["PULocationID", "DOLocationID", "trip_miles", "speed_mph"]
+PROFILE_SQL = f"""WITH {TRIPS} SELECT CAST(source_id AS BIGINT) AS source_id, source_name, f AS feature_name, count(*) AS row_count, count(v) AS non_null_count, round((count(*) - count(v)) * 100.0 / count(*), 4)::DOUBLE AS null_pct, true AS distinct_near, true AS quartiles_near
+FROM (SELECT source_id, source_name, unnest({PROFILED}) AS f, unnest([CAST(PULocationID AS DOUBLE), CAST(DOLocationID AS DOUBLE), miles, {SPEED}]) AS v FROM t WHERE pickup_year = 2024 AND pickup_month BETWEEN 1 AND 6) GROUP BY ALL"""
+
+
+@query("a4_sketched_profile", PROFILE_SQL)
+def a4(spark, sf):
+    """A profile of half a year from monthly sketches, and whether it is as near to the exact one as the sketches promise."""
+    rows = trips(spark, sf)
+    monthly = kept(sketches.monthly_sketches(rows, PROFILED), fresh(spark))
+    found = sketches.profile(monthly, "2024-01", "2024-06")
+    values = rows.where("pickup_year = 2024 and pickup_month between 1 and 6").select("source_id", F.inline(F.array(*[F.struct(F.lit(c).alias("feature_name"), F.col(c).cast("double").alias("v")) for c in PROFILED])))
+    exact = values.groupBy("source_id", "feature_name").agg(F.count_distinct("v").alias("d"), *[F.percentile("v", F.lit(p)).alias(n) for p, n in ((0.21, "l1"), (0.29, "h1"), (0.46, "l2"), (0.54, "h2"), (0.71, "l3"), (0.79, "h3"))])
+    both = found.join(exact, ["source_id", "feature_name"])
+    near = [F.col("quantiles")[k - 1].between(F.col(f"l{k}"), F.col(f"h{k}")) for k in (1, 2, 3)]
+    out = both.withColumn("distinct_near", F.abs(F.col("approx_distinct_count") - F.col("d")) <= 0.05 * F.col("d")).withColumn("quartiles_near", near[0] & near[1] & near[2])
+    return longs(out, "source_id").select("source_id", "source_name", "feature_name", "row_count", "non_null_count", "null_pct", "distinct_near", "quartiles_near")
