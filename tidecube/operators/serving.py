@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecube.functions import trips as fn
 from tidecube.operators.schema import rounded
+from tidecube.sources.layout import rank
 
 KEYS = ["source_id", "source_name", "PULocationID", "pickup_month", "pickup_day_of_week", "pickup_hour"]
 
@@ -16,24 +21,72 @@ def quartiles(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int = 64) -> DataFrame:
-    """quartiles for columns of any number of distinct values: one row, q, of exact interpolated quantiles (nulls if there
-    are no values).
+class Range(NamedTuple):
+    """Values from low to high, n rows, with `before` rows below them."""
+
+    low: float
+    high: float
+    before: int
+    n: int
+
+
+def narrowed(values: DataFrame, ranks: list[int], parts: int, fits: int) -> dict[int, Range]:
+    """For each rank (from 0) of the non-null doubles v a range that holds it and either is one value or has `fits` rows at most.
 
-    Values are counted, dealt to ranges of about equal size and numbered within each; only the ranges' sums meet.
+    Each pass cuts the ranges that are still too large at approximate quantiles of their own and counts the pieces; a value
+    that is a cut is a piece by itself, so hot values end a search, and every pass leaves a smaller range. A pass gives the
+    driver a few rows for each rank. Only the rows of those ranges are looked at again.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    cuts = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / parts for i in range(1, parts)], 1000).alias("cuts"))
-    dealt = values.crossJoin(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    sums = dealt.groupBy("part").agg(F.sum("n").alias("of_part"))
-    before = sums.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"), F.sum("of_part").over(Window.partitionBy()).alias("total"))
-    end = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    placed = dealt.join(F.broadcast(before), "part").withColumn("end", end).withColumn("begin", F.col("end") - F.col("n"))
-    at = lambda place: F.max(F.when((F.col("begin") <= place) & (place < F.col("end")), F.col("v")))
-    pos = [(F.col("total") - 1) * F.lit(s) for s in shares]
-    found = placed.agg(F.max("total").alias("total"), *[at(near(p)).alias(f"{name}{i}") for i, p in enumerate(pos) for name, near in (("low", F.floor), ("high", F.ceil))])
-    value = lambda i, p: F.when(F.ceil(p) == F.floor(p), F.col(f"low{i}")).otherwise((F.ceil(p) - p) * F.col(f"low{i}") + (p - F.floor(p)) * F.col(f"high{i}"))
-    return found.select(F.array(*[value(i, p) for i, p in enumerate(pos)]).alias("q"))
+    v, found = F.col("v"), {}
+    whole = values.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).first()
+    todo = {Range(whole["low"], whole["high"], 0, whole["n"]): list(ranks)} if whole["n"] else {}
+    while todo:
+        for r in [r for r in todo if r.low == r.high or r.n <= fits]:
+            found |= dict.fromkeys(todo.pop(r), r)
+        if not todo:
+            break
+        large = sorted(todo)
+        inside = values.where(reduce(Column.__or__, [v.between(r.low, r.high) for r in large]))
+        of = reduce(lambda c, r: F.when(v >= F.lit(r.low), F.lit(r.low)).otherwise(c), large, F.lit(None).cast("double"))
+        cuts = inside.groupBy(of.alias("of")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).collect()
+        cuts = sorted({c for row in cuts for c in row["cuts"]} | {r.low for r in large})
+        place = rank(v, cuts)
+        hit = v.isin(cuts)
+        pieces = inside.groupBy(place.alias("place"), (~hit).alias("between")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).orderBy("place", "between").collect()
+        smaller: dict[Range, list[int]] = {}
+        for r in large:
+            before = r.before
+            for p in pieces:
+                if r.low <= p["low"] <= r.high:
+                    held = [k for k in todo[r] if before <= k < before + p["n"]]
+                    if held:
+                        smaller.setdefault(Range(p["low"], p["high"], before, p["n"]), []).extend(held)
+                    before += p["n"]
+        todo = smaller
+    return found
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int = 64, fits: int = 10_000) -> DataFrame:
+    """quartiles for columns of any number of distinct values and any skew: one row, q, of exact interpolated quantiles (nulls if
+    there are no values). Ranges that hold the ranks are narrowed until `fits` rows are left, and only those rows are sorted."""
+    spark, values = df.sparkSession, df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    places = [(n - 1) * s for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))}) if n else []
+    ranges = narrowed(values, ranks, parts, fits)
+    known = {k: r.low for k, r in ranges.items() if r.low == r.high}
+    if rest := {r for r in ranges.values() if r.low < r.high}:
+        inside = values.where(reduce(Column.__or__, [F.col("v").between(r.low, r.high) for r in rest]))
+        counts = inside.groupBy("v").count().orderBy("v").collect()
+        for r in rest:
+            at = r.before
+            for row in counts:
+                if r.low <= row["v"] <= r.high:
+                    known |= {k: row["v"] for k in ranges if at <= k < at + row["count"]}
+                    at += row["count"]
+    between = lambda p, a, b: known[a] if a == b else (b - p) * known[a] + (p - a) * known[b]
+    q = [between(p, math.floor(p), math.ceil(p)) if n else None for p in places]
+    return spark.createDataFrame([(q,)], "q array<double>")
 
 
 def banded(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,15 +34,50 @@ def kept(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_schemas(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths of Parquet files or folders by schema (as JSON). Footers are read by tasks and told apart there; the driver opens one
+    file of each kind. What tasks cannot open by themselves, as on a file system that only Spark knows, the driver opens."""
+
+    def footer(path: str) -> str | None:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        try:
+            store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        except (pa.ArrowInvalid, OSError):
+            return None
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            below = [f.path for f in store.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+            if not below:
+                return None
+            at = min(below)
+        with store.open_input_file(at) as f:
+            kind = pq.read_schema(f)
+        own = (kind.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+        return own.decode() if own else kind.remove_metadata().to_string()
+
+    def footers(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"path": p, "kind": footer(p) or f"path {p}"} for p in b.column("path").to_pylist()])
+
+    tasks = max(min(len(paths), 2 * spark.sparkContext.defaultParallelism), 1)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks).mapInArrow(footers, "path string, kind string")
+    kinds = rows.groupBy("kind").agg(F.collect_list("path").alias("paths")).collect()
+    found: dict[str, list[str]] = {}
+    for r in kinds:
+        found.setdefault(spark.read.option("mergeSchema", "false").parquet(r["paths"][0]).schema.json(), []).extend(r["paths"])
+    return found
+
+
 def read_months(spark: SparkSession, paths: list[str], types: str) -> DataFrame:
     """Files whose types drift: those of one schema are one scan, and each scan is brought to the schema before they are put
     together. So the plan grows with the number of schemas, not with the number of months."""
     if not paths:
         raise FileNotFoundError("no input files")
-    alike: dict[str, list[str]] = {}
-    for p in paths:
-        alike.setdefault(spark.read.option("mergeSchema", "false").parquet(p).schema.json(), []).append(p)
-    scans = [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*group) for s, group in alike.items()]
+    scans = [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*sorted(group)) for s, group in sorted(file_schemas(spark, paths).items())]
     return reduce(DataFrame.unionByName, [schema.enforce(df, types) for df in scans])
 
 
@@ -60,13 +96,16 @@ def combined_sources(spark: SparkSession, paths: dict[str, str], prepare: Callab
 
 
 def read_table(spark: SparkSession, path: str, name: str, kind: str = "parquet") -> DataFrame:
-    """The table at path; where that cannot be read, the catalog's table of that name."""
-    from pyspark.errors import PySparkException
+    """The table at path; where there is none, the catalog's table of that name. Files that are there but cannot be read are an
+    error: another table's rows do not take their place."""
+    from pyspark.errors import AnalysisException
 
     try:
         return spark.read.format(kind).load(path)
-    except PySparkException as e:
-        log.warning("%s cannot be read, taking table %s: %s", path, name, str(e).split("\n")[0])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.warning("%s is not there, taking table %s", path, name)
         return spark.table(name)
 
 
@@ -194,8 +233,50 @@ def write_single_csv(df: DataFrame, path: str) -> None:
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, **options: str) -> None:
-    """Overwrites the rows of a table and keeps its definition and indexes."""
-    df.write.format("jdbc").options(url=url, dbtable=name, truncate="true", **options).mode("overwrite").save()
+    """Replaces the rows of a table and keeps its definition and indexes; a table that is not there is made.
+
+    Rows go to a stage, a table of this batch alone, by many tasks. When all are there, one transaction empties the table and
+    fills it from the stage. So a load that fails on the way leaves the old rows, and readers never see a part of the new.
+    """
+    jvm = df.sparkSession._jvm
+    stage = f"{name}_stage_{uuid.uuid4().hex[:12]}"
+    writer = lambda rows, to, mode: rows.write.format("jdbc").options(url=url, dbtable=to, **options).mode(mode).save()
+    writer(df.limit(0), name, "append")
+    if "driver" in options:
+        jvm.java.lang.Class.forName(options["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    login = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in options:
+            login.setProperty(k, options[k])
+    try:
+        writer(df, stage, "overwrite")
+        connection = jvm.java.sql.DriverManager.getConnection(url, login)
+        try:
+            connection.setAutoCommit(False)
+            quote = connection.getMetaData().getIdentifierQuoteString().strip()
+            columns = ", ".join(f"{quote}{c}{quote}" for c in df.columns)
+            statement = connection.createStatement()
+            statement.executeUpdate(f"DELETE FROM {name}")
+            statement.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {stage}")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+    finally:
+        drop_jdbc(jvm, url, stage, login)
+
+
+def drop_jdbc(jvm, url: str, name: str, login) -> None:
+    """Drops a stage, where it was made."""
+    connection = jvm.java.sql.DriverManager.getConnection(url, login)
+    try:
+        connection.createStatement().executeUpdate(f"DROP TABLE {name}")
+    except Py4JJavaError as e:
+        log.warning("stage %s is not dropped: %s", name, str(e.java_exception.getMessage()))
+    finally:
+        connection.close()
 
 
 def publish(df: DataFrame, name: str, partition: str | None = None, order: list[str] | None = None) -> None:
