@@ -87,3 +87,12 @@ def cleaning_summary(cube: DataFrame, raw_rows: dict[int, int | None], names: di
     metric = lambda name, v: F.struct(F.lit(name).alias("metric"), v.cast("double").alias("value"))
     rows = F.array(metric("curated_rows", F.col("trip_count")), metric("raw_rows", F.col("raw")), metric("removed_rows", F.col("raw") - F.col("trip_count")), metric("removed_pct", F.when(F.col("raw").isNotNull(), pct)))
     return both.select(*SOURCE, F.explode(rows).alias("m")).select(*SOURCE, "m.*").where("value is not null")
+
+
+def named_summary(cube: DataFrame, raw_rows: dict[int, int | None], names: dict[int, str]) -> DataFrame:
+    """cleaning_summary as the published table has it: curated_row_count, raw_row_count, removed_row_count and an unrounded
+    removed_pct."""
+    rows = cleaning_summary(cube, raw_rows, names).where("metric <> 'removed_pct'").withColumn("metric", F.regexp_replace("metric", "_rows$", "_row_count"))
+    of = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    share = rows.groupBy(*SOURCE).agg((of("removed_row_count") * 100.0).alias("removed"), of("raw_row_count").alias("raw")).where("raw is not null")
+    return rows.unionByName(share.select(*SOURCE, F.lit("removed_pct").alias("metric"), F.coalesce(F.try_divide("removed", "raw"), F.lit(0.0)).alias("value")))

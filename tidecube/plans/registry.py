@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecube.plans import cleaning_queries, cube_queries, forecast_queries, io_queries, more_queries, publish_queries, serving_queries, step_queries
+from tidecube.plans import cleaning_queries, cube_queries, forecast_queries, io_queries, more_queries, publish_queries, serving_queries, step_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [cube_queries, cleaning_queries, forecast_queries, serving_queries, io_queries, more_queries, step_queries, publish_queries]
+PARTS = [cube_queries, cleaning_queries, forecast_queries, serving_queries, io_queries, more_queries, step_queries, publish_queries, table_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -308,5 +308,5 @@ def analysis_report(table: str, files: DataFrame, columns: DataFrame, summary: D
     lines = [f"# {table}", "", "## Files", "", f"* files: {size['n']:,}", f"* data files: {size['data']:,}", f"* bytes: {size['bytes']:,}", "", "## Columns", "", "| column | type |", "|---|---|"]
     lines += [f"| {r['column_name']} | {r['data_type']} |" for r in columns.collect()]
     lines += ["", "## Sources", "", "| source | rows | trips | trips a row | zones |", "|---:|---:|---:|---:|---:|"]
-    lines += [f"| {r['source_id']} | {r['row_count']:,} | {r['trips'] or 0:,} | {r['avg_trips'] or 0:.2f} | {r['zones']:,} |" for r in summary.orderBy("source_id").collect()]
+    lines += [f"| {r['source_id']} | {r['row_count']:,} | {r['trips'] or 0:,} | {(r['trips'] or 0) / r['row_count']:.2f} | {r['zones']:,} |" for r in summary.orderBy("source_id").collect()]
     return "\n".join([*lines, "", "## Outputs", "", *[f"* {x}" for x in outputs]]) + "\n"
