@@ -266,7 +266,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, longest: int
     bands = scored.groupBy("lang", band.alias("band")).agg(F.count("*").alias("n"))
     above = F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("band")))
     lowest = bands.withColumn("above", above - F.col("n")).where(F.col("above") < top).groupBy("lang").agg(F.min("band").alias("lowest"))
-    near = scored.join(lowest, "lang").where(band >= F.col("lowest"))
+    near = written(scored.join(lowest, "lang").where(band >= F.col("lowest")), "near")  # before its langs meet
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
