@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,13 +18,20 @@ IN_PLAN = 1000
 
 #: What is no tag, though it may hold the text of one.
 NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template|textarea|title)\b.*?(?:</\1\s*>|\z)"
-TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+TAGS = r"(?is)<(?:link|meta|base)\b[^>]*>"
+BASE = r"(?is)^<base\b"
 CANONICAL = r"""(?is)^<link\b.*(?<![\w-])rel\s*=\s*(?:"[^"]*(?<![\w-])canonical(?![\w-])|'[^']*(?<![\w-])canonical(?![\w-])|canonical(?![\w-]))"""
 REFRESH = r"""(?is)^<meta\b.*(?<![\w-])http-equiv\s*=\s*["']?\s*refresh\b"""
 ATTRIBUTE = r"""(?is)(?<![\w-]){}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"']+)"""
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
-REFERENCE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|amp|lt|gt|quot|apos);"
+#: What follows a &: a number, or a name; without its ; a name only counts where no letter, figure or = follows.
+REFERENCE = r"^((?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7});?|[A-Za-z][A-Za-z0-9]{0,31}(?:;|(?![A-Za-z0-9=;])))"
+#: Numbers 128 to 159 are read as Windows-1252 has them.
+OLD_NUMBERS = {n: bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+#: Characters of a URL that are not written as they are, and percent signs.
+UNUSUAL = r"[^\x21-\x7e]|%"
+UNRESERVED = r"^(?:2[dDeE]|3[0-9]|4[1-9a-fA-F]|5[0-9aAfF]|6[1-9a-fA-F]|7[0-9aAeE])"
 
 
 class Rule(NamedTuple):
@@ -65,21 +74,42 @@ def with_rule(urls: DataFrame, rules: list[Rule], in_plan: int = IN_PLAN) -> Dat
     return urls.join(best, ["host", "path"], "left")
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def literal_map(known: dict) -> Column:
+    """One literal, whatever its size: Spark folds it when it plans."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in known.items()})), "map<string,string>")
+
+
 def decoded(text: Column) -> Column:
-    """Character references (decimal, hexadecimal and the five of XML) as characters, once."""
-    code = lambda x: F.when(x.rlike("^#[xX]"), F.conv(F.substring(x, 3, 7), 16, 10)).otherwise(F.substring(x, 2, 8)).cast("long")
+    """Character references of an attribute (decimal, hexadecimal and all of HTML's names) as characters, once."""
+    code = lambda x: F.when(x.rlike("^#[xX]"), F.conv(F.regexp_extract(x, "([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "([0-9]+)", 1)).cast("long")
     valid = lambda n: n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-    numeric = lambda x: F.when(valid(code(x)), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&"), x, F.lit(";")))
+    plain = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    old, names = literal_map({n: c for n, c in OLD_NUMBERS.items() if c}), literal_map(html5)
+    numeric = lambda x: F.when(valid(code(x)), F.coalesce(F.try_element_at(old, code(x).cast("string")), plain(code(x))))
 
     def one(part: Column) -> Column:
-        x = F.regexp_extract(part, REFERENCE, 1)
-        char = F.when(x.startswith("#"), numeric(x))
-        for name, is_ in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-            char = char.when(x == name, is_)
-        return F.when(x == "", F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(x) + 2)))
+        char = lambda x: F.when(x.startswith("#"), let(x, numeric)).when(x != "", F.try_element_at(names, x))
+        whole = lambda x: F.coalesce(F.concat(char(x), F.substr(part, F.length(x) + 1)), F.concat(F.lit("&"), part))
+        return let(F.regexp_extract(part, REFERENCE, 1), whole)
 
-    parts = F.split(text, "&")
-    return F.when(text.contains("&"), F.concat(F.get(parts, 0), F.concat_ws("", F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)))).otherwise(text)
+    joined = lambda parts: F.concat(F.get(parts, F.lit(0)), F.concat_ws("", F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)))
+    return let(text, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), joined)).otherwise(t))
+
+
+def escaped(part: Column) -> Column:
+    """A path or query with one spelling of each character: those of names and figures as they are, other bytes that were
+    escaped as %XX in capitals, and so all that is no printable ASCII."""
+    bytes_of = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    chars = lambda s: F.transform(F.split(s, ""), lambda c: F.when(c.rlike(r"^[\x21-\x7e]?$"), c).otherwise(bytes_of(c)))
+    char = lambda p: F.decode(F.unhex(F.substr(p, F.lit(1), F.lit(2))), "UTF-8")
+    one = lambda p: F.when(p.rlike(UNRESERVED), F.concat(char(p), F.substr(p, F.lit(3)))).when(p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.lit("%"), F.upper(F.substr(p, F.lit(1), F.lit(2))), F.substr(p, F.lit(3)))).otherwise(F.concat(F.lit("%25"), p))
+    joined = lambda pieces: F.concat(F.get(pieces, F.lit(0)), F.concat_ws("", F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one)))
+    return let(part, lambda s: F.when(s.rlike(UNUSUAL), let(F.split(F.concat_ws("", chars(s)), "%"), joined)).otherwise(s))
 
 
 def without_dots(path: Column) -> Column:
@@ -92,42 +122,69 @@ def without_dots(path: Column) -> Column:
     return F.when(path.contains("/."), F.concat(F.lit("/"), F.concat_ws("/", kept), end)).otherwise(path)
 
 
+def scheme_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+
+
 def alias_key(url: Column) -> Column:
-    """Equal for spellings that reach one resource: no scheme, no fragment, host lower-cased, no dot segments, / for no path."""
-    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    path = F.when(path_of(url) == "", "/").otherwise(without_dots(path_of(url)))
-    return F.when(url.contains("://"), F.concat(host_of(url), path, query))
+    """Equal for spellings that reach one resource: no scheme, no fragment, no port that is the scheme's own, host lower-cased, one
+    spelling of escaped characters, no dot segments, / for no path, no ? without a query."""
+
+    def key(u: Column) -> Column:
+        scheme, host = scheme_of(u), host_of(u)
+        host = F.when(scheme == "http", F.regexp_replace(host, ":(?:80)?$", "")).when(scheme == "https", F.regexp_replace(host, ":(?:443)?$", "")).otherwise(F.regexp_replace(host, ":$", ""))
+        query = escaped(F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]+)", 1))
+        path = let(path_of(u), lambda p: F.when(p == "", "/").otherwise(let(escaped(p), without_dots)))
+        return F.when(u.contains("://"), F.concat(host, path, query))
+
+    return let(url, key)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """A reference against an absolute url, which is read without its dot segments; null for a scheme without a host (mailto:)."""
+
+    def against(base: Column, to: Column, path: Column) -> Column:
+        scheme, host = scheme_of(base), host_of(base)
+        site = F.concat(scheme, F.lit("://"), host)
+        query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+        return (
+            F.when(to.rlike(SCHEME), F.when(to.rlike(SCHEME + "//"), to))
+            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
+            .when(to.startswith("/"), F.concat(site, to))
+            .when(to.startswith("?"), F.concat(site, path, to))
+            .when(to.startswith("#") | (to == ""), F.concat(site, path, query))
+            .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), to))
+        )
+
+    own = lambda b, t: t.rlike(SCHEME) & ~t.rlike(SCHEME + "//") & (scheme_of(t) == scheme_of(b))
+    plain = lambda b, t: F.when(own(b, t), F.regexp_replace(t, SCHEME, "")).otherwise(t)
+    return let(base, lambda b: let(let(path_of(b), without_dots), lambda p: let(let(to, lambda t: plain(b, t)), lambda t: against(b, t, p))))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Its value, without quotes and with character references decoded; empty where the tag has none."""
     pattern = ATTRIBUTE.format(name)
-    return F.trim(decoded(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])))
+    return F.trim(F.regexp_replace(decoded(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])), r"[\t\n\r]", ""))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): url keys of a page and of each canonical link and refresh target in its tags, outside of comments and scripts.
 
-    Relative targets are resolved against the page's url; targets with a scheme but no host (mailto:) are none.
+    Relative targets are resolved against the page's first <base href>, if it has one, itself resolved against the page's url;
+    targets with a scheme but no host (mailto:) are none.
     """
     html = F.coalesce("html", F.lit(""))
     #: Plain substring tests first: most pages carry neither and never reach the regular expressions.
     lowered = F.lower(html)
     found = pages.where(F.col("url").contains("://") & (lowered.contains("canonical") | lowered.contains("refresh")))
-    tags = found.select("url", F.explode(F.regexp_extract_all(F.regexp_replace(html, NO_TAGS, " "), F.lit(TAGS), F.lit(0))).alias("tag"))
-    tags = tags.where(F.col("tag").rlike(CANONICAL) | F.col("tag").rlike(REFRESH))
+    tags = found.select("url", F.regexp_extract_all(F.regexp_replace(html, NO_TAGS, " "), F.lit(TAGS), F.lit(0)).alias("tags"))
+    base = F.get(F.filter("tags", lambda t: t.rlike(BASE) & t.rlike(ATTRIBUTE.format("href"))), F.lit(0))
+    tags = tags.select("url", base.alias("base"), F.explode("tags").alias("tag")).where(F.col("tag").rlike(CANONICAL) | F.col("tag").rlike(REFRESH))
     target = F.when(F.col("tag").rlike(CANONICAL), attribute(F.col("tag"), "href")).otherwise(F.trim(F.regexp_extract(attribute(F.col("tag"), "content"), REFRESH_URL, 1)))
-    found = tags.select("url", target.alias("to")).where(F.col("to") != "")
-    to, host, path = F.col("to"), host_of(F.col("url")), path_of(F.col("url"))
-    site = F.concat(F.lit("http://"), host)
-    absolute = (
-        F.when(to.rlike(SCHEME), F.when(to.rlike(SCHEME + "//"), to))
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(site, to))
-        .when(to.startswith("?") | to.startswith("#"), F.concat(site, path, to))
-        .otherwise(F.concat(site, F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", "")), to))
-    )
-    return found.select(alias_key(F.col("url")).alias("a"), alias_key(absolute).alias("b"))
+    found = tags.select("url", "base", target.alias("to")).where(F.col("to") != "")
+    at = F.coalesce(F.when(F.col("base").isNotNull(), resolved(F.col("url"), attribute(F.col("base"), "href"))), F.col("url"))
+    found = found.withColumn("at", at)
+    return found.select(alias_key(F.col("url")).alias("a"), alias_key(resolved(F.col("at"), F.col("to"))).alias("b"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
