@@ -23,21 +23,31 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(written(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(*docs.columns)
 
 
+def key_name(docs: DataFrame) -> str:
+    """row_key, or that with as many _ as set it apart from the columns of docs."""
+    name, taken = "row_key", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, a hash of doc_id and text; null without a doc_id."""
-    return docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
+    """docs with key_name(docs), a hash of doc_id and text; null without a doc_id."""
+    return docs.withColumn(key_name(docs), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows whose row_key is in dropped: other texts of a doc_id stay."""
-    gone = written(dropped.select("row_key").where("row_key is not null").distinct(), "dropped")
-    return keyed(docs).join(gone, "row_key", "left_anti").select(*docs.columns)
+    """docs but for the rows whose key is dropped.row_key: other texts of a doc_id stay."""
+    key = key_name(docs)
+    gone = written(dropped.where("row_key is not null").select(F.col("row_key").alias(key)).distinct(), "dropped")
+    return keyed(docs).join(gone, key, "left_anti").select(*docs.columns)
 
 
 def once(docs: DataFrame) -> DataFrame:
     """docs with one row for each doc_id and text. Only rows whose hash is there twice are compared."""
-    again = written(keyed(docs).where("row_key is not null").groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "again")
-    single, several = (keyed(docs).join(again, "row_key", how).select(*docs.columns) for how in ("left_anti", "left_semi"))
+    key = key_name(docs)
+    again = written(keyed(docs).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "again")
+    single, several = (keyed(docs).join(again, key, how).select(*docs.columns) for how in ("left_anti", "left_semi"))
     return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
@@ -57,7 +67,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a copy of a benchmark item, edited or not."""
-    rows = keyed(docs).where("row_key is not null").select(F.col("row_key").alias("doc_id"), "text")
+    key = F.col(key_name(docs))
+    rows = keyed(docs).where(key.isNotNull()).select(key.alias("doc_id"), "text")
     return without_rows(docs, find_copies(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row_key")))
 
 

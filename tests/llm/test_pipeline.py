@@ -77,3 +77,17 @@ def test_repeated_rows_stay_once(spark):
     rows = [(1, long), (1, long), (1, "another text"), (1, "another text"), (2, long), (3, None), (3, None), (3, ""), (None, long), (None, long)]
     got = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, long), (1, "another text"), (3, None), (3, ""), (None, long), (None, long)], key=str)
+
+
+def test_columns_of_clashing_names_keep_their_values(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = [" ".join(f"w{k * j}" for k in range(1, 60)) for j in (1, 1000)]
+    rows = [(i, t, f"mine{i}", 7, "yes", i * 10, "s", "c", "g") for i, t in enumerate([long[0], long[0], long[1] + " a@b.co", f"{long[1][:200]} {item}"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string, ROW_KEY_ int, kept string, n long, spans string, component_id string, row string")
+    for stage, gone in ((cp.quality, set()), (cp.near_duplicates, {1}), (cp.decontamination, {3}), (cp.personal_data, set())):
+        out = stage(spark, docs, str(tmp_path))
+        got = {r["doc_id"]: tuple(r) for r in out.collect()}
+        assert out.columns == docs.columns and set(got) == {0, 1, 2, 3} - gone
+        assert all(got[i][2:] == rows[i][2:] for i in got)
