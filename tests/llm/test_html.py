@@ -123,3 +123,50 @@ def test_the_wrapper_decides_where_names_are_none_or_mislead(spark, monkeypatch)
     alone = h.tree(plain[0][2])
     inside, beside = h.article_slots(alone)
     assert "Home" in h.article_text(plain[0][2], set(inside), set(beside))
+
+
+def remarks(i, n, box="thread"):
+    return f'<section class="{box}"><h2>What readers say</h2>' + "".join(f"<div><span class=who>reader {i}-{k}</span><span class=when>day {k * i}</span><p>remark {k} of {i} that goes on and on and on for long</p></div>" for k in range(n)) + "</section>"
+
+
+def test_the_article_is_told_by_structure_not_by_share(spark):
+    page = "<html><body><nav><a>Home</a></nav>{a}{b}<footer>x</footer></body></html>"
+    #: long remarks beside a short article, the same article on all pages, and neutral names for boxes
+    for box in ("thread", "b7"):
+        short = [(i, f"{box}.org", page.format(a=f"<article><p>Short text {i}.</p></article>", b=remarks(i, 12, box))) for i in range(1, 6)]
+        assert texts(spark, short) == {i: f"Short text {i}." for i in range(1, 6)}
+        same = [(i, f"s{box}.org", page.format(a="<main><p>The same story for all.</p></main>", b=remarks(i, 4, box))) for i in range(1, 5)]
+        assert texts(spark, same) == {i: "The same story for all." for i in range(1, 5)}
+        bare = [(i, f"n{box}.org", page.format(a=f"<div class=k1><h1>Title {i}</h1><p>Story {i} one.</p><p>Story {i} two.</p></div>", b=remarks(i, 4, box))) for i in range(1, 5)]
+        assert texts(spark, bare) == {i: f"Title {i}\n\nStory {i} one.\n\nStory {i} two." for i in range(1, 5)}
+
+
+def test_headings_that_recur_stay_between_slots(spark):
+    page = "<html><body><ul><li>Home</li></ul><div class=k1><h2>Introduction</h2><p>About {i} first.</p><h3>Methods</h3><p>About {i} then.</p></div><div><h4>Contact</h4></div></body></html>"
+    rows = [(i, "a.org", page.format(i=i)) for i in range(3)]
+    assert texts(spark, rows) == {i: f"Introduction\n\nAbout {i} first.\n\nMethods\n\nAbout {i} then." for i in range(3)}
+
+
+def test_sections_of_an_article_may_have_names_of_furniture(spark):
+    parts = ['<section class="login"><p>How login works, {i}.</p></section>', '<section id="search"><h2>Search</h2><p>Search explained {i}.</p></section>', '<div class="recommended-reading"><p>Read more on {i}.</p></div>']
+    off = '<div class="ad">Buy {i}</div><div class="related"><ul><li>Other story {i}</li></ul></div><div class="comment-list"><p>first! {i}</p></div><div class=share>Share</div>'
+    rows = [(i, "a.org", ("<html><body><main><h1>Title {i}</h1>" + "".join(parts) + off + "</main></body></html>").replace("{i}", str(i))) for i in range(4)]
+    assert texts(spark, rows) == {i: f"Title {i}\n\nHow login works, {i}.\n\nSearch\n\nSearch explained {i}.\n\nRead more on {i}." for i in range(4)}
+
+
+def test_teasers_beside_an_article_are_none(spark):
+    card = lambda i, k: f"<article class=card><h3>Teaser {i}{k}</h3><p>More on teaser {i}{k}, which is long.</p></article>"
+    rows = [(i, "a.org", f"<html><body><article class=full><h1>T{i}</h1><p>Text {i}.</p></article><div>{''.join(card(i, k) for k in range(3))}</div></body></html>") for i in range(4)]
+    assert texts(spark, rows) == {i: f"T{i}\n\nText {i}." for i in range(4)}
+
+
+def test_one_rule_aligns_lists_of_all_sizes():
+    """Long lists without kinds of their own, and in a time that goes with their product by words, not by steps."""
+    import time
+
+    rng = random.Random(3)
+    x, y = ([f"k{rng.randint(0, 3000)}" for _ in range(12_000)] for _ in range(2))
+    began = time.monotonic()
+    pairs = h.pairs_of(x, y)
+    assert time.monotonic() - began < 10
+    assert len(pairs) == h.common_lengths(x, y)[-1] and all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))

@@ -15,8 +15,7 @@ import hashlib
 import html
 import json
 import re
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +36,11 @@ CLOSES_P = set("address article aside blockquote details div dl fieldset figcapt
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = set("ul ol dl table menu".split())
 NEVER = set("head title nav footer aside form button dialog menu".split())
-MARKS = set("ad ads adbox advert advertisement adverts sponsor sponsored promo banner cookie consent gdpr notice alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead topbar toolbar comment comments respond discussion reply replies social share sharing related recommended newsletter subscribe signup login search skip pagination pager".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+NO_RECORDS = set("p tr td th thead tbody tfoot dt dd".split())
+#: Adverts, notices and readers: never the article. The others name page furniture, but sections of an article as well.
+FOREIGN = set("ad ads adbox advert advertisement adverts sponsor sponsored promo banner cookie consent gdpr notice alert popup modal overlay comment comments respond discussion reply replies".split())
+FURNITURE = set("menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer masthead topbar toolbar social share sharing related recommended newsletter subscribe signup login search skip pagination pager".split())
 # End of fixed values.
 
 
@@ -219,12 +222,34 @@ def merge(a: Node, b: Node) -> Node:
     return settled(aligned(a, b, lambda x, y: min(2, x + y)))
 
 
-#: Lists of children whose product is larger are aligned by the kinds that each has once, and between those.
-LARGE = 250_000
+#: Product of two lists, and so bits of their table of common lengths, beyond which one is halved first.
+LARGE = 1 << 29
+
+
+def common_rows(x: list[str], y: list[str]) -> list[int]:
+    """Row i tells, by its zeros, where the length of the longest common subsequence of x[:i] and y rises along y: a bit for each
+    place of y, all of a row at once (bit-parallel)."""
+    places: dict[str, int] = {}
+    for j, kind in enumerate(y):
+        places[kind] = places.get(kind, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    rows = [full]
+    for kind in x:
+        hit = rows[-1] & places.get(kind, 0)
+        rows.append(((rows[-1] + hit) | (rows[-1] - hit)) & full)
+    return rows
+
+
+def common_lengths(x: list[str], y: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of x and y[:j] for each j."""
+    row, out = common_rows(x, y)[-1], [0]
+    for bit in reversed(bin(row | 1 << len(y))[3:]):
+        out.append(out[-1] + (bit == "0"))
+    return out
 
 
 def pairs_of(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """Places of a common subsequence of kinds: the longest, or between kinds that both have once if they are many."""
+    """Places of a longest common subsequence of kinds."""
     out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -237,49 +262,23 @@ def pairs_of(x: list[str], y: list[str]) -> list[tuple[int, int]]:
         n, m = b - a, d - c
         if not n or not m:
             continue
-        if n * m > LARGE:
-            often, other = Counter(x[a:b]), Counter(y[c:d])
-            place = {k: j for j, k in enumerate(y[c:d], c)}
-            tops: list[int] = []  # patience sorting: the least last place of an increasing run of each length
-            runs: list[tuple] = []
-            for i in range(a, b):
-                if often[x[i]] == 1 and other[x[i]] == 1:
-                    k = bisect_left(tops, place[x[i]])
-                    runs[k : k + 1] = [(i, place[x[i]], runs[k - 1] if k else None)]
-                    tops[k : k + 1] = [place[x[i]]]
-            ends, run = [(b, d)], runs[-1] if runs else None
-            while run:
-                out.append(run[:2])
-                todo.append((run[0] + 1, ends[-1][0], run[1] + 1, ends[-1][1]))
-                ends.append(run[:2])
-                run = run[2]
-            if len(ends) > 1:
-                todo.append((a, ends[-1][0], c, ends[-1][1]))
-            else:  # no kind to go by: the first of each kind that follows
-                at = defaultdict(list)
-                for j in range(d - 1, c - 1, -1):
-                    at[y[j]].append(j)
-                j = c - 1
-                for i in range(a, b):
-                    while at[x[i]] and at[x[i]][-1] <= j:
-                        at[x[i]].pop()
-                    if at[x[i]]:
-                        j = at[x[i]].pop()
-                        out.append((i, j))
+        if n * m > LARGE and n > 1:
+            middle = a + n // 2
+            before, after = common_lengths(x[a:middle], y[c:d]), common_lengths(x[middle:b][::-1], y[c:d][::-1])[::-1]
+            at = c + max(range(m + 1), key=lambda j: before[j] + after[j])
+            todo += [(a, middle, c, at), (middle, b, at, d)]
             continue
-        table = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                table[i][j] = table[i + 1][j + 1] + 1 if x[a + i] == y[c + j] else max(table[i + 1][j], table[i][j + 1])
-        i = j = 0
-        while i < n and j < m:
-            if x[a + i] == y[c + j]:
-                out.append((a + i, c + j))
-                i, j = i + 1, j + 1
-            elif table[i + 1][j] >= table[i][j + 1]:
-                i += 1
+        rows = common_rows(x[a:b][::-1], y[c:d][::-1])
+        length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
+        i, j = n, m  # what is left of both
+        while i and j:
+            if x[b - i] == y[d - j]:
+                out.append((b - i, d - j))
+                i, j = i - 1, j - 1
+            elif not rows[i] >> (j - 1) & 1 or length(i - 1, j) >= length(i, j - 1):
+                i -= 1
             else:
-                j += 1
+                j -= 1
     return sorted(out)
 
 
@@ -306,9 +305,9 @@ def name_of(kind: str) -> str:
     return re.split(r"[.#@]", kind)[0]
 
 
-def marked(kind: str, exact: bool = False) -> bool:
-    """Whether the kind names what is not the article. exact: by a whole class, id or role, not by a part of one."""
-    return name_of(kind) in NEVER or any(w in MARKS for part in re.split(r"[.#@]", kind)[1:] for w in ([part] if exact else re.split(r"[-_:]+", part)))
+def marked(kind: str, words: set[str], exact: bool = False) -> bool:
+    """Whether a class, id or role of the kind is one of the words. exact: as a whole, not as a part of one."""
+    return any(w in words for part in re.split(r"[.#@]", kind)[1:] for w in ([part] if exact else re.split(r"[-_:]+", part)))
 
 
 def is_article(kind: str) -> bool:
@@ -320,52 +319,74 @@ def below(path: int, kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.to_bytes(8, "little", signed=True) + kind.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def article_slots(wrapper: Node, least: float = 0.2) -> tuple[list[int], list[int]]:
+def article_slots(wrapper: Node) -> tuple[list[int], list[int]]:
     """Paths of the article's texts, and paths of other texts that are no template and stand in nothing that is marked.
 
-    A text is a template if it is on two pages or more and the same on all that have its path; where all pages of a host
-    are alike, nothing is. Elements named article or main are the article if at least `least` of the text that is no
-    template and not marked is in them: else the name misleads, and the article is all such text. Repeated ones
-    with under a tenth of the largest's text are teasers of other articles. What is below the article's elements is the article's, template or
-    not: its headings may well recur.
+    A text is a template if it is on two pages or more and the same on all that have its path; where all pages of a host are
+    alike, nothing is. Elements named article or main are the article, however much other text there is; of those that are
+    there once and those that repeat, the ones that are there once, as the others are teasers or remarks. If all repeat and
+    paragraphs stand outside of them, these are the article. What is below the article's elements is the article's, template
+    or not: its headings may well recur. Names of page furniture (login, related) mark nothing there that has paragraphs
+    which differ from page to page.
+
+    Without such elements the article is what differs from page to page, with the headings between. Repeated groups of records
+    (texts at two places or more, none of them a heading) are remarks or teasers, if there are paragraphs outside of them.
 
     html and body are marked by nothing; article, main and what holds all of the wrapper's articles only by a whole name.
     """
     order: list[tuple[Node, int]] = [(wrapper, -1)]  # nodes and the place of the one above
     for k, (node, _) in enumerate(order):
         order += [(c, k) for c in node.children if c.kind != "#text"]
+    names = [name_of(n.kind) for n, _ in order]
     own = [is_article(n.kind) for n, _ in order]
+    slot = lambda c: c.kind == "#text" and (c.text is None or c.seen < 2)
+    fields = [int(any(map(slot, n.children))) for n, _ in order]  # places with slots, itself included
+    paragraphs = [bool(f) and name == "p" for f, name in zip(fields, names)]
+    headed = [name in HEADINGS for name in names]
     found = [0] * len(order)  # outermost articles in it, counted once for each element
     for k in range(len(order) - 1, 0, -1):
-        found[order[k][1]] += 1 if own[k] else found[k]
+        up = order[k][1]
+        found[up] += 1 if own[k] else found[k]
+        fields[up] += fields[k]
+        paragraphs[up] |= paragraphs[k]
+        headed[up] |= headed[k]
     every = found[0]
 
     off, within, path = [False] * len(order), [-1] * len(order), [0] * len(order)  # within: the outermost article, itself included
-    mass: dict[int, int] = {}
-    texts = []  # (path, kind of text, article or -1)
+    record = [False] * len(order)
+    texts = []  # (place of its element, whether it is a slot)
     for k, (node, up) in enumerate(order):
         if up >= 0:
-            name, article = name_of(node.kind), within[up] >= 0
+            name, article = names[k], within[up] >= 0
             holds_all = own[k] or (not article and every and found[k] == every)
-            not_it = False if name in ("html", "body") else marked(node.kind, exact=bool(holds_all))
+            foreign = marked(node.kind, FOREIGN, exact=bool(holds_all))
+            furniture = marked(node.kind, FURNITURE, exact=bool(holds_all)) and not (article and paragraphs[k])
+            not_it = False if name in ("html", "body") else name in NEVER or foreign or furniture
             off[k] = off[up] or not_it or (name == "header" and not article)
             within[k] = within[up] if article else k if own[k] else -1
             path[k] = below(path[up], node.kind)
+            record[k] = record[up] or (node.often in ("+", "*") and name not in NO_RECORDS and fields[k] >= 2 and not headed[k])
         if not off[k]:
-            for c in node.children:
-                if c.kind == "#text":
-                    slot = c.text is None or c.seen < 2
-                    texts.append((path[k], slot, within[k]))
-                    mass[within[k]] = mass.get(within[k], 0) + (c.size if slot else 0)
-    held = {k: m for k, m in mass.items() if k >= 0}
-    if sum(held.values()) < least * sum(mass.values()):
-        held = {}
-    largest = max(held.values(), default=0)
-    held = {k for k, m in held.items() if not (order[k][0].often in ("+", "*") and 10 * m < largest)}
-    inside = [p for p, _, k in texts if k in held]
-    beside = [p for p, slot, k in texts if k not in held and slot and (k < 0 or not held)]
-    alike = [p for p, slot, k in texts if not slot]
-    return sorted(set(inside)), sorted(set(beside or ([] if inside else alike)))
+            texts += [(k, slot(c)) for c in node.children if c.kind == "#text"]
+    held = {within[k] for k, _ in texts if within[k] >= 0}
+    once = {k for k in held if order[k][0].often in ("", "?")}
+    outside = any(is_slot and names[k] == "p" and within[k] < 0 and not record[k] for k, is_slot in texts)
+    headline = any(is_slot and names[k] in HEADINGS and within[k] < 0 and not record[k] and paragraphs[order[k][1]] for k, is_slot in texts)
+    misled = headline and not any(headed[k] for k in held)
+    held = set() if misled else once or (set() if outside else held)
+    inside = {path[k] for k, _ in texts if within[k] in held}
+    free = [k for k, is_slot in texts if is_slot and within[k] not in held and (within[k] < 0 or not held)]
+    if any(names[k] == "p" and not record[k] for k in free):
+        free = [k for k in free if not record[k]]
+    above = set()  # what has a part of the article at or below it
+    for k in free:
+        while k >= 0 and k not in above:
+            above.add(k)
+            k = order[k][1]
+    heads = [k for k, is_slot in texts if not is_slot and names[k] in HEADINGS and within[k] not in held and order[k][1] in above and not record[k]]
+    beside = {path[k] for k in [*free, *heads]} if free else set()
+    alike = {path[k] for k, is_slot in texts if not is_slot}
+    return sorted(inside), sorted(beside or (set() if inside else alike))
 
 
 def article_text(page: str, inside: set[int], beside: set[int]) -> str:
