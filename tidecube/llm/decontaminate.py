@@ -1,16 +1,14 @@
-"""Benchmark decontamination: n-grams of test items find places in training texts, local alignment scores them."""
+"""Benchmark decontamination: rare n-grams of test items are joined with training texts, local alignment scores the pairs."""
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecube.llm.common import free_memory
+from tidecube.llm.collocations import bitmap
+from tidecube.llm.common import free_memory, written
 
 CODE_BASE = 0x5851F42D4C957F2D
 CODE_BACK = pow(CODE_BASE, -1, 1 << 64)
@@ -96,91 +94,133 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class Items:
-    """Test items with their words and seeds: (gram, item, place) ordered by gram."""
-
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.ids = [i for i, _ in rows]
-        self.words = [words_of(folded(t or ""))[0] for _, t in rows]
-        each = [(grams_of(w, n), i) for i, w in enumerate(self.words) if len(w) >= n]
-        gram = np.concatenate([np.empty(0, np.uint64), *[g for g, _ in each]])
-        item = np.concatenate([np.empty(0, np.int64), *[np.full(len(g), i) for g, i in each]])
-        place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g, _ in each]])
-        order = np.lexsort((place, item, gram))
-        self.gram, self.item, self.place = gram[order], item[order], place[order]
-        self.distinct = np.unique(self.gram)
-
-
-def found_in(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
-
-
-def search(text: str, items: Items, n: int, least: float):
-    """(item, score as a share of the full score, first and end byte) of every item that the text has a copy of."""
-    words, starts, ends = words_of(folded(text))
-    grams = grams_of(words, n)
-    places = np.flatnonzero(found_in(grams, items.distinct))
-    ranges: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p in places:
-        for k in range(np.searchsorted(items.gram, grams[p]), np.searchsorted(items.gram, grams[p], "right")):
-            item = int(items.item[k])
-            size = len(items.words[item])
-            pad = size // 3 + 3
-            ranges[item].append((max(0, int(p - items.place[k]) - pad), min(len(words), int(p - items.place[k]) + size + pad)))
-    for item, spans in ranges.items():
-        best, full = (0, 0, 0), MATCH * len(items.words[item])
-        spans.sort()
-        a, b = spans[0]
-        for s, e in [*spans[1:], (len(words) + 1, 0)]:
-            if s <= b and e:
-                b = max(b, e)
-                continue
-            # no alignment scores more than a match of every word of the item that the stretch has
-            if MATCH * np.isin(items.words[item], words[a:b]).sum() >= least * full:
-                score, x, y = align(items.words[item], words[a:b])
-                if score > best[0]:
-                    best = (score, a + x, a + y)
-            a, b = s, e
-        if best[0] >= least * full:
-            yield items.ids[item], best[0] / full, int(starts[best[1]]), int(ends[best[2] - 1])
-
-
-def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, max_bytes: int = 16 << 20) -> DataFrame:
+def stretches(cells: list[int], pad: int, size: int, n_words: int) -> list[tuple[int, int]]:
+    """Parts of a text in which an item of `size` words may lie whose begin is in one of the cells, `pad` words each; those that
+    touch are one."""
+    out: list[tuple[int, int]] = []
+    for c in sorted(cells):
+        a, b = max(0, (c - 1) * pad), min(n_words, (c + 2) * pad + size)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def best_alignment(item: np.ndarray, words: np.ndarray, cells: list[int], pad: int, least: float) -> tuple[int, int, int]:
+    """The item's best alignment in those parts of the text; (0, 0, 0) where none can reach `least` of the full score."""
+    best, full = (0, 0, 0), MATCH * len(item)
+    for a, b in stretches(cells, pad, len(item), len(words)):
+        # no alignment scores more than a match of every word of the item that the stretch has
+        if MATCH * np.isin(item, words[a:b]).sum() >= least * full:
+            score, x, y = align(item, words[a:b])
+            if score > best[0]:
+                best = (score, a + x, a + y)
+    return best
+
+
+def lists_of(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int64), *[p.view(np.int64) if p.dtype == np.uint64 else p for p in parts]])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
+
+
+def with_grams(items: DataFrame, n: int) -> DataFrame:
+    """item (its key), words and grams, hashes both, of items(item, text)."""
+
+    def split(batches):
+        for b in batches:
+            words = [words_of(folded(t))[0] for t in b.column("text").to_pylist()]
+            grams = [grams_of(w, n) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column("item"), lists_of(words, pa.int64()), lists_of(grams, pa.int64())], ["item", "words", "grams"])
+
+    return items.select("item", "text").mapInArrow(split, "item long, words array<long>, grams array<long>")
+
+
+def with_hits(docs: DataFrame, known, n: int) -> DataFrame:
+    """Texts that have an n-gram of which the bitmap knows, with their key (k1, k2) and hits: each such n-gram and its places."""
+
+    def scan(batches):
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column("text")):
+                grams = grams_of(words_of(folded(t.as_py()))[0], n)
+                places = np.flatnonzero(known.value.has(grams))
+                if len(places):
+                    order = places[np.argsort(grams[places], kind="stable")]
+                    found, first = np.unique(grams[order], return_index=True)
+                    rows.append((i, found.view(np.int64).tolist(), [p.tolist() for p in np.split(order, first[1:])]))
+            kept = b.take(pa.array([i for i, _, _ in rows], pa.int64()))
+            hits = pa.array([[{"gram": g, "places": p} for g, p in zip(grams, places)] for _, grams, places in rows], HITS)
+            yield pa.RecordBatch.from_arrays([*kept.columns, hits], [*kept.schema.names, "hits"])
+        free_memory()
+
+    return docs.mapInArrow(scan, "doc_id long, text string, k1 long, k2 long, hits array<struct<gram: long, places: array<int>>>")
+
+
+HITS = pa.list_(pa.struct([("gram", pa.int64()), ("places", pa.list_(pa.int32()))]))
+
+
+def rare_seeds(items: DataFrame, hits: DataFrame, stretch: int) -> DataFrame:
+    """item, gram, place, size: for every `stretch` places in a row of an item the n-gram that the fewest texts have, of those that
+    any text has. So every part of an item has a seed, however many texts share other parts of it."""
+    frequency = hits.groupBy("gram").agg(F.count("*").alias("df"))
+    grams = items.select("item", F.size("words").alias("size"), F.posexplode("grams").alias("place", "gram")).join(frequency, "gram", "left")
+    following = Window.partitionBy("item").orderBy("place").rowsBetween(0, stretch - 1)
+    rarest = F.min(F.when(F.col("df").isNotNull(), F.struct("df", "place", "gram"))).over(following)
+    return grams.select("item", "size", rarest.alias("s")).where("s is not null").select("item", "size", "s.gram", "s.place").distinct()
+
+
+def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, max_bytes: int = 16 << 20, stretch: int = 3, salts: int = 16, log2_bits: int = 26) -> DataFrame:
     """Copies of benchmark(item_id, text) in docs(doc_id, text): doc_id, item_id, score, start, end.
 
-    Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are all n-grams of the
-    items, however frequent, so a text is judged alike in any table. Around every seed in a text the item is aligned
-    (match 2, other word -1, gap -1), unless the words there cannot reach the score; where the best score is at least
-    `least` of the item's full score, the pair is returned once, with that share as score and its bytes in the text. A
-    copy that has no n words in a row from the item is not found. Null and empty texts and items
-    of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id is kept; extra
-    columns are dropped; empty tables give an empty result. Items are sent to the tasks max_bytes of text at a time, so
-    a larger benchmark takes several passes.
+    Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are the rarest n-gram of every
+    `stretch` places of an item; texts and items that share a seed are joined, seeds that many texts have in `salts` parts.
+    Around every seed in a text the item is aligned (match 2, other word -1, gap -1), unless the words there cannot reach the
+    score; where the best score is at least `least` of the item's full score, the pair is returned once, with that share as
+    score and its bytes in the text. A copy of which no seed is left is not found.
+
+    Only a bitmap of 2 ** log2_bits bits, of the items' n-grams, passes the driver; it keeps texts without any of them out of the
+    join. Items and counts stay distributed. The items of one text are aligned in groups of about max_bytes of item text. Null
+    and empty texts and items of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id
+    is kept; extra columns are dropped; empty tables give an empty result.
     """
-    schema = "doc_id long, item_id long, score double, start long, end long"
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0]
-    if not total:
-        return spark.createDataFrame([], schema)
-    passes = -(-total // max_bytes)
-    out = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        known = Items([tuple(r) for r in part.collect()], n)
-
-        def score(batches, known=known):
-            for batch in batches:
-                found = []
-                for key, t in zip(batch.column("doc_id"), batch.column("text")):
-                    if t.is_valid:
-                        found += [(key.as_py(), *x) for x in search(t.as_py(), known, n, least)]
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "start", "end"])
-            free_memory()
-
-        out.append(rows.mapInArrow(score, schema))
-    return reduce(DataFrame.unionByName, out)
+    item_id, text = F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))
+    rows = written(benchmark.select(item_id.alias("item_id"), text.alias("text")).withColumn("item", F.xxhash64("item_id", "text")), "benchmark")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = written(with_grams(rows.dropDuplicates(["item"]), n).where(F.size("grams") > 0), "items")
+    grams = items.select(F.explode("grams").alias("gram"))
+    known = spark.sparkContext.broadcast(bitmap(grams.select(F.shiftrightunsigned("gram", 64 - log2_bits).alias("bucket")), log2_bits))
+    keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumns(keys)
+    texts = written(with_hits(texts, known, n), "hits")
+    hits = texts.select("k1", "k2", F.inline("hits")).dropDuplicates(["k1", "k2", "gram"]).join(grams.distinct(), "gram", "left_semi")
+    hits = written(hits, "seen")
+    seeds = written(rare_seeds(items, hits, stretch), "seeds")
+    #: a text's pairs with items: where the item would begin, in cells of a third of its size
+    split = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pad = F.floor(F.col("size") / 3) + 3
+    met = hits.withColumn("salt", F.pmod("k1", F.lit(salts)).cast("int")).join(split, ["gram", "salt"])
+    cells = F.array_distinct(F.transform("places", lambda p: F.floor((p - F.col("place")) / pad)))
+    pairs = met.select("k1", "k2", "item", pad.alias("pad"), F.explode(cells).alias("cell")).groupBy("k1", "k2", "item", "pad").agg(F.collect_set("cell").alias("cells"))
+    parts = max(-(-total // max_bytes), 1)
+    whole = pairs.join(items.select("item", "words"), "item").groupBy("k1", "k2", F.pmod("item", F.lit(parts)).alias("part"))
+    whole = written(whole.agg(F.collect_list(F.struct("item", "pad", "cells", "words")).alias("items")), "pairs")
+
+    def score(batches):
+        for b in batches:
+            found = []
+            for doc, t, some in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("items")):
+                words, starts, ends = words_of(folded(t.as_py()))
+                for x in some.as_py():
+                    item = np.array(x["words"], np.int64).view(np.uint64)
+                    best, at, to = best_alignment(item, words, x["cells"], x["pad"], least)
+                    if best and best >= least * MATCH * len(item):
+                        found.append((doc, x["item"], best / (MATCH * len(item)), int(starts[at]), int(ends[to - 1])))
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["doc_id", "item", "score", "start", "end"])
+        free_memory()
+
+    aligned = texts.join(whole, ["k1", "k2"]).select("doc_id", "text", "items").mapInArrow(score, "doc_id long, item long, score double, start long, end long")
+    return aligned.join(rows.select("item", "item_id"), "item").select("doc_id", "item_id", "score", "start", "end")
