@@ -170,3 +170,33 @@ def test_one_rule_aligns_lists_of_all_sizes():
     pairs = h.pairs_of(x, y)
     assert time.monotonic() - began < 10
     assert len(pairs) == h.common_lengths(x, y)[-1] and all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:]))
+
+
+def unlike(i, n=300):
+    """A page whose blocks have classes that no other page has, around what all pages have."""
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    blocks = "".join(f'<div class="x{letters(i)}q{letters(k)}"><p>Block {k} of {i}.</p></div>' for k in range(n))
+    return f'<html><body><div class=menu><p>Home</p></div><article><h1>Title {i}</h1>{blocks}<div class="ad{letters(i)} ad"><p>Buy {i}</p></div></article><footer>x</footer></body></html>'
+
+
+def test_wrappers_of_unlike_pages_stay_small_and_lose_no_text(spark, monkeypatch):
+    monkeypatch.setattr(h, "MOST_NODES", 2000)
+    w = h.tree(unlike(0))
+    for i in range(1, 40):
+        w = h.bounded(h.merge(w, h.tree(unlike(i))))
+    assert len(w.plain()) <= 2000 and w.seen == 0
+    again = h.Node.of(json.loads(json.dumps(w.plain())))
+    slots = [set(x) for x in h.all_slots(again)]
+    for i in (0, 7, 39, 99):
+        want = "\n\n".join([f"Title {i}", *[f"Block {k} of {i}." for k in range(300)]])
+        assert h.article_text(unlike(i), *slots) == want
+
+
+def test_unlike_pages_in_time(spark):
+    """1000 pages of one host with 60 blocks each that no other page has."""
+    import time
+
+    began, rows = time.monotonic(), [(i, "u.org", unlike(i, 60)) for i in range(1000)]
+    got = texts(spark, rows)
+    assert time.monotonic() - began < 120
+    assert all(got[i] == "\n\n".join([f"Title {i}", *[f"Block {k} of {i}." for k in range(60)]]) for i in range(1000))

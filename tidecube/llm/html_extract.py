@@ -16,6 +16,7 @@ import html
 import json
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -222,6 +223,28 @@ def merge(a: Node, b: Node) -> Node:
     return settled(aligned(a, b, lambda x, y: min(2, x + y)))
 
 
+#: Nodes of a wrapper beyond which what a single page has is left out of it.
+MOST_NODES = 20_000
+
+
+def bounded(wrapper: Node) -> Node:
+    """The wrapper itself, or if it is large, without optional elements of which no text was on two pages. Its seen is then 0:
+    pages may have elements that it does not know, which are read as slots of what they stand in."""
+    order: list[tuple[Node, int]] = [(wrapper, -1)]
+    for k, (node, _) in enumerate(order):
+        order += [(c, k) for c in node.children]
+    if len(order) <= MOST_NODES:
+        return wrapper
+    shared = [n.kind == "#text" and n.seen > 1 for n, _ in order]
+    for k in range(len(order) - 1, 0, -1):
+        shared[order[k][1]] |= shared[k]
+    number = {id(n): k for k, (n, _) in enumerate(order)}
+    for node, _ in order:
+        node.children = [c for c in node.children if c.kind == "#text" or c.often in ("", "+") or shared[number[id(c)]]]
+    wrapper.seen = 0
+    return wrapper
+
+
 #: Product of two lists, and so bits of their table of common lengths, beyond which one is halved first.
 LARGE = 1 << 29
 
@@ -298,7 +321,7 @@ def aligned(a: Node, b: Node, seen, one_page: bool = False):
         i, j = k + 1, m + 1
     if len(out) > max(len(x), len(y)):
         out = yield fold(out, one_page)
-    return Node(a.kind, often, out, None)
+    return Node(a.kind, often, out, None, min(a.seen, b.seen))
 
 
 def name_of(kind: str) -> str:
@@ -319,7 +342,23 @@ def below(path: int, kind: str) -> int:
     return int.from_bytes(hashlib.blake2b(path.to_bytes(8, "little", signed=True) + kind.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+class Slots(NamedTuple):
+    """Paths of the article's texts and of other texts that may be it; of a wrapper that does not know all elements, its paths
+    too, and those that have unknown elements as slots."""
+
+    inside: list[int]
+    beside: list[int]
+    known: list[int]
+    open_inside: list[int]
+    open_beside: list[int]
+
+
 def article_slots(wrapper: Node) -> tuple[list[int], list[int]]:
+    """Paths of the article's texts, and of other texts that may be it: see all_slots."""
+    return all_slots(wrapper)[:2]
+
+
+def all_slots(wrapper: Node) -> Slots:
     """Paths of the article's texts, and paths of other texts that are no template and stand in nothing that is marked.
 
     A text is a template if it is on two pages or more and the same on all that have its path; where all pages of a host are
@@ -386,13 +425,17 @@ def article_slots(wrapper: Node) -> tuple[list[int], list[int]]:
     heads = [k for k, is_slot in texts if not is_slot and names[k] in HEADINGS and within[k] not in held and order[k][1] in above and not record[k]]
     beside = {path[k] for k in [*free, *heads]} if free else set()
     alike = {path[k] for k, is_slot in texts if not is_slot}
-    return sorted(inside), sorted(beside or (set() if inside else alike))
+    every_path = range(len(order)) if not wrapper.seen else ()
+    in_article = sorted({path[k] for k in every_path if not off[k] and within[k] in held})
+    elsewhere = sorted({path[k] for k in every_path if not off[k] and not record[k] and (not held or within[k] < 0)})
+    return Slots(sorted(inside), sorted(beside or (set() if inside else alike)), sorted({path[k] for k in every_path}), in_article, elsewhere)
 
 
-def article_text(page: str, inside: set[int], beside: set[int]) -> str:
-    """Blocks of the article in page order. A page without any slot of the host's article is read by the other slots."""
-    for slots in (inside, beside):
-        blocks, path, block = [], [(0, True)], []
+def article_text(page: str, inside: set[int], beside: set[int], known: set[int] = frozenset(), open_inside: set[int] = frozenset(), open_beside: set[int] = frozenset()) -> str:
+    """Blocks of the article in page order. A page without any slot of the host's article is read by the other slots. Elements
+    that are not known are slots where they stand in what is open, unless their name marks them."""
+    for slots, opened in ((inside, open_inside), (beside, open_beside)):
+        blocks, path, block = [], [(0, True, 0 in opened)], []
 
         def flush():
             text = SPACE.sub(" ", html.unescape("".join(block))).strip()
@@ -400,9 +443,10 @@ def article_text(page: str, inside: set[int], beside: set[int]) -> str:
                 blocks.append(text)
             block.clear()
 
-        for kind, text in events(page) if slots else ():
+        for kind, text in events(page) if slots or opened else ():
             if kind == "#text":
-                if path[-1][0] in slots:
+                at, _, unknown = path[-1]
+                if at in slots or (unknown and at not in known):
                     block.append(text)
             elif kind is None:
                 if path.pop()[1]:
@@ -411,7 +455,10 @@ def article_text(page: str, inside: set[int], beside: set[int]) -> str:
                 apart = name_of(kind) not in INLINE
                 if apart:
                     flush()
-                path.append((below(path[-1][0], kind), apart))
+                up, _, free = path[-1]
+                at = below(up, kind)
+                free = at in opened if at in known else free and not (name_of(kind) in NEVER or marked(kind, FOREIGN) or (slots is beside and marked(kind, FURNITURE)))
+                path.append((at, apart, bool(known) and free))
         flush()
         if blocks:
             return "\n\n".join(blocks)
@@ -419,7 +466,7 @@ def article_text(page: str, inside: set[int], beside: set[int]) -> str:
 
 
 def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
-    """host, wrapper (its pattern as text), inside and beside (numbers of paths of slots) from all pages(url, html)."""
+    """host, wrapper (its pattern as text) and its Slots (numbers of paths) from all pages(url, html)."""
 
     def partial(batches):
         found: dict[str, Node] = {}
@@ -430,7 +477,7 @@ def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
                 t = tree(page.as_py())
-                found[host] = merge(found[host], t) if host in found else t
+                found[host] = bounded(merge(found[host], t) if host in found else t)
                 if len(found) >= 5000:
                     yield out()
                     found.clear()
@@ -441,7 +488,7 @@ def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
         parts = [Node.of(json.loads(w)) for w in sorted(often) for _ in range(min(2, often[w]))]  # a third adds nothing
         out = parts[0]
         for p in parts[1:]:
-            out = merge(out, p)
+            out = bounded(merge(out, p))
         return out
 
     def salted(group: pa.Table) -> pa.Table:
@@ -449,13 +496,13 @@ def infer_wrappers(pages: DataFrame, salt: int = 32) -> DataFrame:
 
     def final(group: pa.Table) -> pa.Table:
         wrapper = joined(group)
-        inside, beside = article_slots(wrapper)
-        return pa.table({"host": group.column("host")[:1], "wrapper": [wrapper.pattern()], "inside": pa.array([inside], pa.list_(pa.int64())), "beside": pa.array([beside], pa.list_(pa.int64()))})
+        slots = {k: pa.array([v], pa.list_(pa.int64())) for k, v in all_slots(wrapper)._asdict().items()}
+        return pa.table({"host": group.column("host")[:1], "wrapper": [wrapper.pattern()], **slots})
 
     rows = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), "html")
     parts = rows.mapInArrow(partial, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salt)))
     some = parts.groupBy("host", "salt").applyInArrow(lambda t: salted(t), "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(final, "host string, wrapper string, inside array<long>, beside array<long>")
+    return some.groupBy("host").applyInArrow(final, "host string, wrapper string, " + ", ".join(f"{c} array<long>" for c in Slots._fields))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -465,20 +512,20 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     wrapper; repeated rows are read each; extra columns are dropped; an empty table gives an empty result.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    wrappers = written(infer_wrappers(rows), "wrappers").select("host", "inside", "beside")
+    wrappers = written(infer_wrappers(rows), "wrappers").select("host", *Slots._fields)
 
     def read(batches):
-        slots: dict = {}
+        sets: dict = {}
         for batch in batches:
             texts = []
-            for page, inside, beside in zip(batch.column("html"), batch.column("inside"), batch.column("beside")):
-                inside, beside = inside.as_py() or [], beside.as_py() or []
-                key = (tuple(inside), tuple(beside))
-                a, b = slots.setdefault(key, (set(inside), set(beside)))
-                if len(slots) > 10_000:
-                    slots.clear()
-                texts.append(article_text(page.as_py() or "", a, b))
+            for page, *slots in zip(*[batch.column(c) for c in ("html", *Slots._fields)]):
+                key = tuple(tuple(x.as_py() or ()) for x in slots)
+                if key not in sets:
+                    if len(sets) >= 1000:
+                        sets.clear()
+                    sets[key] = [set(x) for x in key]
+                texts.append(article_text(page.as_py() or "", *sets[key]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    joined = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", "inside", "beside")
+    joined = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", *Slots._fields)
     return joined.mapInArrow(read, "page_id long, url string, text string")
