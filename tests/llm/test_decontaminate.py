@@ -19,9 +19,9 @@ def test_every_stretch_has_its_rarest_seed(spark):
     grams = [11, 12, 13, 14, 15, 16, 17]
     df = {11: 5, 12: 1, 13: 9, 15: 2, 16: 2}  # 14 and 17 are in no text
     items = spark.createDataFrame([(1, list(range(9)), grams), (2, [1, 2, 3], [17])], "item long, words array<long>, grams array<long>")
-    hits = spark.createDataFrame([(k, g) for g, n in df.items() for k in range(n)], "k1 long, gram long")
+    frequency = spark.createDataFrame(list(df.items()), "gram long, df long")
     for stretch in (1, 2, 3, 7):
-        got = {(r.item, r.size, r.gram, r.place) for r in D.rare_seeds(items, hits, stretch).collect()}
+        got = {(r.item, r.size, r.gram, r.place) for r in D.rare_seeds(items, frequency, stretch).collect()}
         want = set()
         for a in range(len(grams)):
             known = [(df[g], p, g) for p, g in enumerate(grams[a : a + stretch], a) if g in df]

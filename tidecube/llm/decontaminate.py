@@ -137,34 +137,52 @@ def with_grams(items: DataFrame, n: int) -> DataFrame:
     return items.select("item", "text").mapInArrow(split, "item long, words array<long>, grams array<long>")
 
 
-def with_hits(docs: DataFrame, known, n: int) -> DataFrame:
-    """Texts that have an n-gram of which the bitmap knows, with their key (k1, k2) and hits: each such n-gram and its places."""
+def gram_counts(docs: DataFrame, known, n: int) -> DataFrame:
+    """gram, df: in how many rows of docs(text) it is, for the n-grams of the bitmap."""
 
     def scan(batches):
         for b in batches:
-            rows = []
-            for i, t in enumerate(b.column("text")):
+            found = [np.empty(0, np.uint64)]
+            for t in b.column("text"):
                 grams = grams_of(words_of(folded(t.as_py()))[0], n)
-                places = np.flatnonzero(known.value.has(grams))
-                if len(places):
-                    order = places[np.argsort(grams[places], kind="stable")]
-                    found, first = np.unique(grams[order], return_index=True)
-                    rows.append((i, found.view(np.int64).tolist(), [p.tolist() for p in np.split(order, first[1:])]))
-            kept = b.take(pa.array([i for i, _, _ in rows], pa.int64()))
-            hits = pa.array([[{"gram": g, "places": p} for g, p in zip(grams, places)] for _, grams, places in rows], HITS)
-            yield pa.RecordBatch.from_arrays([*kept.columns, hits], [*kept.schema.names, "hits"])
+                found.append(np.unique(grams[known.value.has(grams)]))
+            grams, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
         free_memory()
 
-    return docs.mapInArrow(scan, "doc_id long, text string, k1 long, k2 long, hits array<struct<gram: long, places: array<int>>>")
+    return docs.select("text").mapInArrow(scan, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+
+
+#: Texts that are looked through at one time.
+TEXTS = 200
+
 
+def with_hits(docs: DataFrame, known, n: int) -> DataFrame:
+    """Rows whose text has an n-gram of the bitmap, with grams and places, an entry for each time."""
+
+    def scan(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                rows, grams, places = [], [], []
+                for i, t in enumerate(b.column("text")):
+                    of = grams_of(words_of(folded(t.as_py()))[0], n)
+                    where = np.flatnonzero(known.value.has(of))
+                    if len(where):
+                        rows.append(i)
+                        grams.append(of[where])
+                        places.append(where)
+                if rows:
+                    kept = b.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, lists_of(grams, pa.int64()), lists_of(places, pa.int32())], [*kept.schema.names, "grams", "places"])
+        free_memory()
 
-HITS = pa.list_(pa.struct([("gram", pa.int64()), ("places", pa.list_(pa.int32()))]))
+    return docs.mapInArrow(scan, "doc_id long, text string, k1 long, k2 long, grams array<long>, places array<int>")
 
 
-def rare_seeds(items: DataFrame, hits: DataFrame, stretch: int) -> DataFrame:
-    """item, gram, place, size: for every `stretch` places in a row of an item the n-gram that the fewest texts have, of those that
-    any text has. So every part of an item has a seed, however many texts share other parts of it."""
-    frequency = hits.groupBy("gram").agg(F.count("*").alias("df"))
+def rare_seeds(items: DataFrame, frequency: DataFrame, stretch: int) -> DataFrame:
+    """item, gram, place, size: for every `stretch` places in a row of an item the n-gram that the fewest texts have, by frequency(gram,
+    df), of those that any text has. So every part of an item has a seed, however many texts share other parts of it."""
     grams = items.select("item", F.size("words").alias("size"), F.posexplode("grams").alias("place", "gram")).join(frequency, "gram", "left")
     following = Window.partitionBy("item").orderBy("place").rowsBetween(0, stretch - 1)
     rarest = F.min(F.when(F.col("df").isNotNull(), F.struct("df", "place", "gram"))).over(following)
@@ -180,8 +198,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     score; where the best score is at least `least` of the item's full score, the pair is returned once, with that share as
     score and its bytes in the text. A copy of which no seed is left is not found.
 
-    Only a bitmap of 2 ** log2_bits bits, of the items' n-grams, passes the driver; it keeps texts without any of them out of the
-    join. Items and counts stay distributed. The items of one text are aligned in groups of about max_bytes of item text. Null
+    Texts are read twice: n-grams of items are counted, then texts that have a seed are kept for the join. Only bitmaps of
+    2 ** log2_bits bits, of the items' n-grams and of the seeds, pass the driver; items and counts stay distributed. The items of one text are aligned in groups of about max_bytes of item text. Null
     and empty texts and items of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id
     is kept; extra columns are dropped; empty tables give an empty result.
     """
@@ -190,20 +208,18 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     rows = written(benchmark.select(item_id.alias("item_id"), text.alias("text")).withColumn("item", F.xxhash64("item_id", "text")), "benchmark")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     items = written(with_grams(rows.dropDuplicates(["item"]), n).where(F.size("grams") > 0), "items")
-    grams = items.select(F.explode("grams").alias("gram"))
-    known = spark.sparkContext.broadcast(bitmap(grams.select(F.shiftrightunsigned("gram", 64 - log2_bits).alias("bucket")), log2_bits))
     keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumns(keys)
-    texts = written(with_hits(texts, known, n), "hits")
-    hits = texts.select("k1", "k2", F.inline("hits")).dropDuplicates(["k1", "k2", "gram"]).join(grams.distinct(), "gram", "left_semi")
-    hits = written(hits, "seen")
-    seeds = written(rare_seeds(items, hits, stretch), "seeds")
+    shared = lambda grams: spark.sparkContext.broadcast(bitmap(grams.select(F.shiftrightunsigned("gram", 64 - log2_bits).alias("bucket")), log2_bits))
+    seeds = written(rare_seeds(items, gram_counts(texts, shared(items.select(F.explode("grams").alias("gram"))), n), stretch), "seeds")
+    texts = written(with_hits(texts, shared(seeds), n), "hits")
+    hits = texts.select("k1", "k2", F.explode(F.arrays_zip("grams", "places")).alias("h")).select("k1", "k2", F.col("h.grams").alias("gram"), F.col("h.places").alias("at"))
     #: a text's pairs with items: where the item would begin, in cells of a third of its size
     split = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     pad = F.floor(F.col("size") / 3) + 3
     met = hits.withColumn("salt", F.pmod("k1", F.lit(salts)).cast("int")).join(split, ["gram", "salt"])
-    cells = F.array_distinct(F.transform("places", lambda p: F.floor((p - F.col("place")) / pad)))
-    pairs = met.select("k1", "k2", "item", pad.alias("pad"), F.explode(cells).alias("cell")).groupBy("k1", "k2", "item", "pad").agg(F.collect_set("cell").alias("cells"))
+    cell = F.floor((F.col("at") - F.col("place")) / pad)
+    pairs = met.select("k1", "k2", "item", pad.alias("pad"), cell.alias("cell")).groupBy("k1", "k2", "item", "pad").agg(F.collect_set("cell").alias("cells"))
     parts = max(-(-total // max_bytes), 1)
     whole = pairs.join(items.select("item", "words"), "item").groupBy("k1", "k2", F.pmod("item", F.lit(parts)).alias("part"))
     whole = written(whole.agg(F.collect_list(F.struct("item", "pad", "cells", "words")).alias("items")), "pairs")
@@ -222,5 +238,5 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], ["doc_id", "item", "score", "start", "end"])
         free_memory()
 
-    aligned = texts.join(whole, ["k1", "k2"]).select("doc_id", "text", "items").mapInArrow(score, "doc_id long, item long, score double, start long, end long")
+    aligned = texts.select("doc_id", "text", "k1", "k2").join(whole.hint("merge"), ["k1", "k2"]).select("doc_id", "text", "items").mapInArrow(score, "doc_id long, item long, score double, start long, end long")
     return aligned.join(rows.select("item", "item_id"), "item").select("doc_id", "item_id", "score", "start", "end")
