@@ -3,7 +3,10 @@
 A table is a folder. Below data, every write has a folder of its own that is never changed again. Below manifests, each
 version has one small file that names the folders of its parts; the one with the largest number is the table. A new version
 appears by renaming a finished manifest to the next number, which fails if another writer was first. So a write that breaks
-off leaves the table as it was, readers keep the version that they began with, and old versions can be read.
+off leaves the table as it was, readers keep the version that they began with, and old versions can be read. This needs a
+file system whose rename is one step and does not overwrite (HDFS, local disks; not plain object stores).
+
+A table to which many batches were appended has as many parts; replace(read()) makes them one and keeps the ledger.
 """
 
 from __future__ import annotations
