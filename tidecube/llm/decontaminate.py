@@ -189,7 +189,7 @@ def rare_seeds(items: DataFrame, frequency: DataFrame, stretch: int) -> DataFram
     return grams.select("item", "size", rarest.alias("s")).where("s is not null").select("item", "size", "s.gram", "s.place").distinct()
 
 
-def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, max_bytes: int = 16 << 20, stretch: int = 3, salts: int = 16, log2_bits: int | None = None) -> DataFrame:
+def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.5, max_bytes: int = 16 << 20, stretch: int = 3, salts: int = 16, log2_bits: int = 26) -> DataFrame:
     """Copies of benchmark(item_id, text) in docs(doc_id, text): doc_id, item_id, score, start, end.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, in lower case. Seeds are the rarest n-gram of every
@@ -199,8 +199,8 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     score and its bytes in the text. A copy of which no seed is left is not found.
 
     Texts are read twice: n-grams of items are counted, then texts that have a seed are kept for the join. Only bitmaps of
-    2 ** log2_bits bits (unset, 16 for each n-gram of the items, 32 MB at most), of the items' n-grams and of the seeds, pass the
-    driver; items and counts stay distributed. The items of one text are aligned in groups of about max_bytes of item text. Null
+    2 ** log2_bits bits (8 MB), of the items' n-grams and of the seeds, pass the driver; items and counts stay distributed. Fewer
+    bits, or far more items, keep more texts for the join and change no result. The items of one text are aligned in groups of about max_bytes of item text. Null
     and empty texts and items of under n words have no copies; of rows that share an id each is judged; a null doc_id or item_id
     is kept; extra columns are dropped; empty tables give an empty result.
     """
@@ -211,9 +211,6 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     items = written(with_grams(rows.dropDuplicates(["item"]), n).where(F.size("grams") > 0), "items")
     keys = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").withColumns(keys)
-    if log2_bits is None:  # 16 bits an n-gram, within what a task can hold
-        n_grams = items.agg(F.sum(F.size("grams"))).first()[0] or 1
-        log2_bits = min(max((16 * n_grams).bit_length(), 16), 28)
     shared = lambda grams: spark.sparkContext.broadcast(bitmap(grams.select(F.shiftrightunsigned("gram", 64 - log2_bits).alias("bucket")), log2_bits))
     known = shared(items.select(F.explode("grams").alias("gram")))
     seeds = written(rare_seeds(items, gram_counts(texts, known, n), stretch), "seeds")
