@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecube.functions import trips as fn
+from tidecube.operators import serving
 from tidecube.operators.schema import rounded
 
 
@@ -27,10 +31,15 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), rounded(F.avg(c), 4).alias("mean"), rounded(F.stddev(c), 4).alias("stddev"), F.min(c).alias("least"), F.max(c).alias("most"), rounded(F.skewness(c), 4).alias("skewness"))
 
 
-def quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = 100_000) -> DataFrame:
-    """Elements of the column at the given shares, one row each."""
-    values = df.agg(F.percentile_approx(column, shares, accuracy).alias("v"))
-    return values.select(F.posexplode("v").alias("k", "value")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("k") + 1).alias("share"), "value")
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """Elements of the column at the given shares, one row each: the least with at least that share of the non-null rows at or
+    below it. Exact (nulls if there are no values); shares count as the decimals that they are written as."""
+    values = df.select(F.col(column).alias("v")).where("v is not null")
+    n = values.count()
+    ranks = [max(1, math.ceil(Fraction(str(s)) * n)) - 1 for s in shares] if n else []
+    known = serving.at_ranks(values, sorted(set(ranks)))
+    rows = [(float(s), known[ranks[i]] if n else None) for i, s in enumerate(shares)]
+    return df.sparkSession.createDataFrame(rows, f"share double, value {values.schema['v'].dataType.simpleString()}")
 
 
 def pivoted(df: DataFrame, row: str, column: str, values: list[str], value: str) -> DataFrame:

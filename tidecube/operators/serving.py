@@ -31,7 +31,7 @@ class Range(NamedTuple):
 
 
 def narrowed(values: DataFrame, ranks: list[int], parts: int, fits: int) -> dict[int, Range]:
-    """For each rank (from 0) of the non-null doubles v a range that holds it and either is one value or has `fits` rows at most.
+    """For each rank (from 0) of the non-null numbers v, none of them NaN, a range that holds it and either is one value or has `fits` rows at most.
 
     Each pass cuts the ranges that are still too large at approximate quantiles of their own and counts the pieces; a value
     that is a cut is a piece by itself, so hot values end a search, and every pass leaves a smaller range. A pass gives the
@@ -47,7 +47,7 @@ def narrowed(values: DataFrame, ranks: list[int], parts: int, fits: int) -> dict
             break
         large = sorted(todo)
         inside = values.where(reduce(Column.__or__, [v.between(r.low, r.high) for r in large]))
-        of = reduce(lambda c, r: F.when(v >= F.lit(r.low), F.lit(r.low)).otherwise(c), large, F.lit(None).cast("double"))
+        of = reduce(lambda c, r: F.when(v >= F.lit(r.low), F.lit(r.low)).otherwise(c), large, F.lit(None).cast(values.schema["v"].dataType))
         cuts = inside.groupBy(of.alias("of")).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts")).collect()
         cuts = sorted({c for row in cuts for c in row["cuts"]} | {r.low for r in large})
         place = rank(v, cuts)
@@ -66,15 +66,16 @@ def narrowed(values: DataFrame, ranks: list[int], parts: int, fits: int) -> dict
     return found
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int = 64, fits: int = 10_000) -> DataFrame:
-    """quartiles for columns of any number of distinct values and any skew: one row, q, of exact interpolated quantiles (nulls if
-    there are no values). Ranges that hold the ranks are narrowed until `fits` rows are left, and only those rows are sorted."""
-    spark, values = df.sparkSession, df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
-    places = [(n - 1) * s for s in shares]
-    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))}) if n else []
-    ranges = narrowed(values, ranks, parts, fits)
-    known = {k: r.low for k, r in ranges.items() if r.low == r.high}
+def at_ranks(values: DataFrame, ranks: list[int], parts: int = 64, fits: int = 10_000) -> dict[int, float]:
+    """The non-null number v at each rank (from 0), NaN above all others. Ranges that hold the ranks are narrowed until `fits`
+    rows are left, and only those rows are sorted."""
+    known: dict = {}
+    if values.schema["v"].dataType.typeName() in ("double", "float"):
+        values = values.where(~F.isnan("v"))
+        n = values.count()
+        known = {k: math.nan for k in ranks if k >= n}
+    ranges = narrowed(values, [k for k in ranks if k not in known], parts, fits)
+    known |= {k: r.low for k, r in ranges.items() if r.low == r.high}
     if rest := {r for r in ranges.values() if r.low < r.high}:
         inside = values.where(reduce(Column.__or__, [F.col("v").between(r.low, r.high) for r in rest]))
         counts = inside.groupBy("v").count().orderBy("v").collect()
@@ -84,6 +85,16 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int
                 if r.low <= row["v"] <= r.high:
                     known |= {k: row["v"] for k in ranges if at <= k < at + row["count"]}
                     at += row["count"]
+    return known
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], parts: int = 64, fits: int = 10_000) -> DataFrame:
+    """quartiles for columns of any number of distinct values and any skew: one row, q, of exact interpolated quantiles (nulls if
+    there are no values)."""
+    spark, values = df.sparkSession, df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    places = [(n - 1) * s for s in shares]
+    known = at_ranks(values, sorted({r for p in places for r in (math.floor(p), math.ceil(p))}) if n else [], parts, fits)
     between = lambda p, a, b: known[a] if a == b else (b - p) * known[a] + (p - a) * known[b]
     q = [between(p, math.floor(p), math.ceil(p)) if n else None for p in places]
     return spark.createDataFrame([(q,)], "q array<double>")
