@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -56,29 +57,33 @@ def kept(*frames: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK)
             df.unpersist()
 
 
-def select_and_save(train: DataFrame, test: DataFrame, folder: str, names: list[str] | None = None) -> DataFrame:
+def select_and_save(train: DataFrame, test: DataFrame, folder: str, names: list[str] | None = None, at_once: int = 4) -> DataFrame:
     """Fits every configuration on train and measures it on test: config, model, selection (baseline or trainable), n, rmse,
     mae, r2, artifact, best_of_model and best (by rmse, of what is trainable).
 
     Each pipeline is saved below folder/models, the best once more as folder/best_pipeline, and the rows as folder/metrics
-    (CSV). Features are fitted once. An error if test has no rows.
+    (CSV). Features are fitted once. at_once fits run beside each other, as a tree's levels and a boosted model's trees are short
+    jobs that wait for one another; the longest begin first. An error if test has no rows.
     """
     spark = train.sparkSession
     with kept(spread(train), spread(test)) as (fit_on, measure_on):
         features = Pipeline(stages=encoder()).fit(fit_on)
         with kept(features.transform(fit_on), features.transform(measure_on)) as (x, y):
             rows = [{"config": "naive", "model": "naive", "selection": "baseline", "artifact": None, **metrics.checked_metrics(naive(y))}]
-            best = None
-            for name, estimator in configurations().items():
-                if names is None or name in names:
-                    model = estimator.fit(x)
-                    whole, at = PipelineModel([*features.stages, model]), f"models/{name}"
-                    whole.write().overwrite().save(f"{folder}/{at}")
-                    rows.append({"config": name, "model": name.split("_")[0], "selection": "trainable", "artifact": at, **metrics.checked_metrics(model.transform(y))})
-                    if best is None or rows[-1]["rmse"] < best[0]:
-                        best = (rows[-1]["rmse"], whole)
-    if best is None:
+
+            def fitted(name: str, estimator) -> tuple[dict, PipelineModel]:
+                model = estimator.fit(x)
+                whole, at = PipelineModel([*features.stages, model]), f"models/{name}"
+                whole.write().overwrite().save(f"{folder}/{at}")
+                return {"config": name, "model": name.split("_")[0], "selection": "trainable", "artifact": at, **metrics.checked_metrics(model.transform(y))}, whole
+
+            chosen = [(name, estimator) for name, estimator in configurations().items() if names is None or name in names]
+            with ThreadPool(at_once) as pool:
+                done = pool.starmap(inheritable_thread_target(spark)(fitted), chosen[::-1], chunksize=1)[::-1]
+    if not done:
         raise ValueError("no configuration was fitted")
+    rows += [row for row, _ in done]
+    best = min(done, key=lambda d: (d[0]["rmse"], d[0]["config"]))
     best[1].write().overwrite().save(f"{folder}/best_pipeline")
     found = spark.createDataFrame([[r[c] for c in SELECTED] for r in rows], "config string, model string, selection string, n long, rmse double, mae double, r2 double, artifact string")
     trained = found.where("selection = 'trainable'")
